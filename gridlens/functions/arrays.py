@@ -86,7 +86,11 @@ def preceding_sums(values: Column, block: int = 128) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Softmax of an array of scores, shifted by its maximum."""
-    return let(
-        F.transform(scores, lambda x: F.exp(x - F.array_max(scores))),
-        lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)),
-    )
+
+    def shares(values: Column) -> Column:
+        powers = let(
+            F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top))
+        )
+        return let(powers, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
+
+    return let(scores, shares)

@@ -17,8 +17,8 @@ from gridlens.functions.columns import (
     quoted,
     require_columns,
 )
-from gridlens.operators.profile import value_counts
-from gridlens.operators.ranking import bucketed_row_number, lookup_join, quantiles
+from gridlens.operators.profile import columns_with_missing, value_counts
+from gridlens.operators.ranking import lookup_join, quantiles, with_ordinal
 
 # Fixed value: text that counts as a number (blanks around it are allowed).
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity)\s*$"
@@ -183,8 +183,13 @@ def fill_values(df: DataFrame, strategy: str = "median") -> DataFrame:
 
 
 def fill_missing(df: DataFrame, strategy: str = "median") -> DataFrame:
-    """Replace missing cells by :func:`fill_values`; one row per column is fetched."""
-    values = {r["column"]: r for r in fill_values(df, strategy).collect()}
+    """Replace missing cells by :func:`fill_values` in the columns that have any;
+    one row per such column is fetched."""
+    affected = [r["column"] for r in columns_with_missing(df).collect()]
+    if not affected:
+        return df
+    found = fill_values(df.select(*[quoted(c) for c in affected]), strategy)
+    values = {r["column"]: r for r in found.collect()}
     types = {f.name: f.dataType for f in df.schema}
     out = []
     for c in df.columns:
@@ -222,11 +227,7 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
         F.when(is_missing(df, column), F.lit("nan"))
         .otherwise(quoted(column).cast("string")).alias("value")
     ).distinct()
-    first = F.coalesce(F.ascii(F.substring("value", 1, 1)), F.lit(0))
-    second = F.coalesce(F.ascii(F.substring("value", 2, 1)), F.lit(0))
-    bucket = first * F.lit(0x110000).cast("long") + second
-    numbered = bucketed_row_number(values, [], bucket, [F.col("value")], "code")
-    return numbered.withColumn("code", F.col("code") - 1)
+    return with_ordinal(values, "value", name="code").withColumn("code", F.col("code") - 1)
 
 
 def label_encode(df: DataFrame, column: str, name: str = "code") -> DataFrame:

@@ -44,11 +44,33 @@ def train_test_split(
     df: DataFrame, id_column: str, label: str | None = None, test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Append ``is_test``; stratified by label where every class has two rows."""
-    if not 0 < test_size < 1:
-        raise ValueError("test_size lies between 0 and 1")
     if label is not None and not can_stratify(df, label):
         label = None
     placed = hash_positions(df, id_column, label, seed)
+    return _mark_test(df, placed, label, test_size).select(*df.columns, "is_test")
+
+
+def kfold(
+    df: DataFrame, id_column: str, label: str | None = None, folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """Append ``fold`` (0 .. folds-1), dealt out in hash order, per class if given."""
+    placed = hash_positions(df, id_column, label, seed)
+    return placed.withColumn("fold", _fold(folds)).select(*df.columns, "fold")
+
+
+def split_and_folds(
+    df: DataFrame, id_column: str, label: str | None, test_size: float, folds: int, seed: int = 42
+) -> DataFrame:
+    """Append ``is_test`` and ``fold`` with one ordering pass."""
+    if label is not None and not can_stratify(df, label):
+        label = None
+    placed = hash_positions(df, id_column, label, seed).withColumn("fold", _fold(folds))
+    return _mark_test(df, placed, label, test_size).select(*df.columns, "is_test", "fold")
+
+
+def _mark_test(df: DataFrame, placed: DataFrame, label: str | None, test_size: float) -> DataFrame:
+    if not 0 < test_size < 1:
+        raise ValueError("test_size lies between 0 and 1")
     by = [label] if label else []
     sizes = df.groupBy(*by).agg(
         F.greatest(F.lit(1), F.round(F.count("*") * F.lit(test_size)).cast("long")).alias("_n_test")
@@ -57,16 +79,10 @@ def train_test_split(
         sized = lookup_join(placed, sizes, by)
     else:
         sized = placed.withColumn("_n_test", sizes.scalar())
-    return sized.withColumn("is_test", F.col("_pos") <= F.col("_n_test")).select(*df.columns, "is_test")
+    return sized.withColumn("is_test", F.col("_pos") <= F.col("_n_test"))
 
 
-def kfold(
-    df: DataFrame, id_column: str, label: str | None = None, folds: int = 5, seed: int = 42
-) -> DataFrame:
-    """Append ``fold`` (0 .. folds-1), dealt out in hash order, per class if given."""
+def _fold(folds: int) -> Column:
     if folds < 2:
         raise ValueError("at least two folds")
-    placed = hash_positions(df, id_column, label, seed)
-    return placed.withColumn("fold", ((F.col("_pos") - 1) % folds).cast("int")).select(
-        *df.columns, "fold"
-    )
+    return ((F.col("_pos") - 1) % folds).cast("int")

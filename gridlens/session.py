@@ -45,9 +45,12 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/gridlens-{stem}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def materialise(df: DataFrame, stem: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For results that many later passes read: they start from files that
+    outlive any executor and read only the columns they need.
+    """
+    path = new_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
