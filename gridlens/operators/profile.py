@@ -210,7 +210,7 @@ def detect_task_type(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
     The cardinality sketch only rules columns out: 20 distinct values touch at
     most 20 registers, which estimates well under 64.  Columns under that are
-    counted exactly; the others report NULL.
+    counted exactly.  Over 20 values the count is reported as NULL.
     """
     columns = list(df.columns if columns is None else columns)
     clean = nan_to_null(df.select(*[quoted(c) for c in columns]))
@@ -229,13 +229,14 @@ def detect_task_type(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     else:
         exact = df.sparkSession.createDataFrame([], "column string, distinct_values long")
     counted = F.col("column").isin(few) if few else F.lit(False)
-    values = F.when(counted, F.coalesce(F.col("distinct_values"), F.lit(0)))
+    exactly = F.when(counted, F.coalesce(F.col("distinct_values"), F.lit(0)))
+    values = F.when(exactly <= CLASSIFICATION_MAX_VALUES, exactly)
     return names.join(exact, "column", "left").select(
         "column",
         values.alias("distinct_values"),
         F.when(
             (F.col("type_class") == "categorical")
-            | (F.coalesce(values, F.lit(CLASSIFICATION_MAX_VALUES + 1)) <= CLASSIFICATION_MAX_VALUES),
+            | values.isNotNull(),
             "classification",
         ).otherwise("regression").alias("task"),
     )

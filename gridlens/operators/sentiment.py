@@ -11,6 +11,7 @@ from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens.functions.columns import quoted
 from gridlens.operators.text import non_blank
@@ -40,7 +41,10 @@ def score_text(
     """
     kept = [c for c in df.columns if c != text]
     ready = non_blank(df, text).withColumnRenamed(text, "_text")
-    schema = ready.schema.add("_label", "string").add("_score", "double")
+    schema = T.StructType(
+        [*ready.schema.fields, T.StructField("_label", T.StringType()),
+         T.StructField("_score", T.DoubleType())]
+    )
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()

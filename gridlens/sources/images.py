@@ -24,17 +24,17 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
-def _brightness(data: pd.Series, channels: pd.Series) -> pd.Series:
-    def mean(raw: bytes, n: int) -> float:
-        pixels = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
-        return float(pixels[:, :3].mean())
-
-    return pd.Series([mean(d, c) for d, c in zip(data, channels)])
-
-
 def image_stats(spark: SparkSession, path: str) -> DataFrame:
     """(path, resolution, mode, brightness, size_kb) of the images that decode."""
+
+    @F.pandas_udf("double")
+    def brightness(data: pd.Series, channels: pd.Series) -> pd.Series:
+        means = [
+            np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)[:, :3].mean()
+            for raw, n in zip(data, channels)
+        ]
+        return pd.Series(means, dtype="float64")
+
     sizes = spark.read.format("binaryFile").load(path).select(
         F.regexp_replace("path", "^file:/+", "/").alias("_p"), F.col("length").alias("bytes")
     )
@@ -47,6 +47,6 @@ def image_stats(spark: SparkSession, path: str) -> DataFrame:
         "path",
         F.format_string("%d×%d", "width", "height").alias("resolution"),
         name.otherwise("other").alias("mode"),
-        F.round(_brightness("data", "channels"), 1).alias("brightness"),
+        F.round(brightness("data", "channels"), 1).alias("brightness"),
         F.round(F.col("bytes") / 1024, 1).alias("size_kb"),
     )
