@@ -85,15 +85,11 @@ def box_stats(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
         df.select(*[quoted(g) for g in by], quoted(value).cast("double").alias("_x"))
     ).where("_x is not null")
     fences = tukey_fences(clean, "_x", by)
-    joined = lookup_join(clean.select(*[quoted(g).alias(f"_g{i}") for i, g in enumerate(by)], "_x"),
-                         fences.select(*[quoted(g).alias(f"_g{i}") for i, g in enumerate(by)],
-                                       "q1", "median", "q3", "lower_fence", "upper_fence"),
-                         [f"_g{i}" for i in range(len(by))]) if by else _with_one_row(clean, fences)
+    joined = lookup_join(clean, fences.drop("n"), by) if by else _with_one_row(clean, fences.drop("n"))
     inside = F.col("_x").between(F.col("lower_fence"), F.col("upper_fence"))
-    keys = [f"_g{i}" for i in range(len(by))]
     same = ["q1", "median", "q3", "lower_fence", "upper_fence"]
     return (
-        joined.groupBy(*keys)
+        joined.groupBy(*[quoted(g) for g in by])
         .agg(
             F.count("*").alias("count"),
             *[F.first(c).alias(c) for c in same],
@@ -101,8 +97,6 @@ def box_stats(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
             F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
             F.count_if(~inside).alias("outliers"),
         )
-        .select(*[F.col(k).alias(g) for k, g in zip(keys, by)], "count", *same,
-                "whisker_low", "whisker_high", "outliers")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import quoted
-from gridlens.operators.ranking import bucket_of, split_points
+from gridlens.operators.ranking import bucket_of, distinct_points, split_points
 
 
 def _counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -106,7 +106,7 @@ def roc_auc(df: DataFrame, label: str, score: str, positive: object = 1) -> Data
     Rows collapse to one per distinct score; running counts are taken per
     score bucket and shifted by the bucket totals, so no task sees all scores.
     """
-    cuts = split_points(df, score)
+    cuts = distinct_points(split_points(df.select(quoted(score).cast("double").alias("s")), "s"))
     by_score = (
         df.where(quoted(label).isNotNull() & quoted(score).isNotNull())
         .groupBy(quoted(score).cast("double").alias("s"))

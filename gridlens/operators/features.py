@@ -28,6 +28,7 @@ from gridlens.operators.profile import value_counts
 from gridlens.operators.ranking import quantiles
 
 FEATURES = "features"
+MAX_CATEGORIES = 500_000
 
 
 @dataclass
@@ -89,7 +90,11 @@ def fit_features(df: DataFrame, columns: Sequence[str] | None = None) -> Feature
         scratch += [f"_num{i}" for i in used]
     if text:
         counts: dict[str, dict[str, int]] = {c: {} for c in text}
-        for r in value_counts(df, text).collect():
+        found = value_counts(df, text).limit(MAX_CATEGORIES + 1).collect()
+        if len(found) > MAX_CATEGORIES:
+            raise ValueError(f"text columns {text} have over {MAX_CATEGORIES} values; a model holds "
+                             "one weight for each: drop or group them first")
+        for r in found:
             counts[r["column"]][r["value"]] = r["n"]
         rows = df.count()
         for k, c in enumerate(text):

@@ -86,7 +86,7 @@ def anomalies(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     spread_ = clean.groupBy(*by).agg(F.avg(quoted(value)).alias("_mean"),
                                      F.stddev_samp(quoted(value)).alias("_std"))
     if by:
-        measured = lookup_join(clean, fences.join(spread_, by), by)
+        measured = lookup_join(clean, lookup_join(fences, spread_, by), by)
     else:
         f, s = fences.first(), spread_.first()
         measured = clean.select(

@@ -17,7 +17,7 @@ from gridlens.functions.columns import (
     require_columns,
     type_class,
 )
-from gridlens.operators.ranking import quantiles
+from gridlens.operators.ranking import lookup_join, quantiles
 
 CLASSIFICATION_MAX_VALUES = 20
 CORRELATION_COLUMNS_PER_PASS = 40
@@ -89,7 +89,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     names = comparable.columns
     hashed = comparable.withColumn("_h", F.xxhash64(*names))
     repeated = hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    groups = hashed.join(repeated, "_h", "left_semi").groupBy("_h", *names).agg(
+    # grouped without the hash, so equal rows are combined before they move
+    groups = lookup_join(hashed, repeated, ["_h"], "left_semi").groupBy(*names).agg(
         F.count("*").alias("n")
     )
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
@@ -199,7 +200,7 @@ def class_distribution(df: DataFrame, column: str) -> DataFrame:
         .groupBy("value")
         .agg(F.count("*").alias("count"))
     )
-    n = df.select(F.count_if(~is_missing(df, column))).scalar()
+    n = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("share", F.round(F.col("count") / n, 4)).orderBy(
         F.col("count").desc(), "value"
     )

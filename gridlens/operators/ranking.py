@@ -13,37 +13,63 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlens.functions.columns import numeric_columns, quoted
+from gridlens.functions.columns import quoted
 
 SMALL_TABLE_ROWS = 100_000
+JOIN_SALTS = 16
+SAMPLED_PER_BUCKET = 20
 
 
 def lookup_join(
     df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-    max_rows: int = SMALL_TABLE_ROWS,
+    max_rows: int = SMALL_TABLE_ROWS, salts: int = JOIN_SALTS,
 ) -> DataFrame:
-    """Join to a table that is usually small.
+    """Add the columns of a table that is usually small; NULL keys match NULL.
 
     Up to ``max_rows`` rows are fetched (that is the size check) and sent to
-    every task; a larger table is joined by an ordinary shuffle, where AQE
-    splits skewed partitions.
+    every task.  A larger table is repeated once per salt and joined by key
+    and salt, so rows with one hot key are spread over as many tasks.
     """
-    rows = small.limit(max_rows + 1).collect()
+    renamed = small.select(
+        *[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[quoted(c) for c in small.columns if c not in keys],
+    )
+    same = [quoted(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = renamed.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        side = F.broadcast(df.sparkSession.createDataFrame(rows, small.schema))
+        left = df
+        side = F.broadcast(df.sparkSession.createDataFrame(rows, renamed.schema))
     else:
-        side = small
-    return df.join(side, list(keys), how)
+        left = df.withColumn("_salt", F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), salts))
+        side = renamed.withColumn(
+            "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+        )
+        same.append(F.col("_salt") == F.col("_copy"))
+    added = [quoted(c) for c in small.columns if c not in keys and how != "left_semi"]
+    return left.join(side, reduce(lambda a, b: a & b, same), how).select(
+        *[quoted(c) for c in df.columns], *added
+    )
 
 
-def split_points(df: DataFrame, column: str, buckets: int = 256) -> list[float]:
-    """Ascending cut values that spread a numeric column over buckets.
+def split_points(df: DataFrame, column: str, buckets: int = 256) -> list:
+    """Ascending cut values that spread a column over buckets, NULL first; a
+    value that holds more rows than a bucket occurs more than once.
 
-    They only balance the work; results never depend on them.
+    They come from the rows with the smallest hashes, and only balance the
+    work: results never depend on them.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(quoted(column).cast("double"), shares, 10_000).alias("p")).first()
-    return sorted(set(row["p"] or []))
+    chosen = (
+        df.select(quoted(column).alias("v"), F.xxhash64(*[quoted(c) for c in df.columns]).alias("h"))
+        .orderBy("h")
+        .limit(buckets * SAMPLED_PER_BUCKET)
+    )
+    found = [r["v"] for r in chosen.select("v").collect() if r["v"] == r["v"]]
+    values = sorted(found, key=lambda v: (v is not None, v))
+    return [values[i * len(values) // buckets] for i in range(1, buckets)] if values else []
+
+
+def distinct_points(cuts: Sequence) -> list:
+    return sorted({c for c in cuts if c is not None})
 
 
 def bucket_of(value: Column, points: Sequence[float]) -> Column:
@@ -93,26 +119,26 @@ def bucketed_row_number(
 def with_ordinal(
     df: DataFrame, order_by: str, ties: Sequence[str] = (), name: str = "position", buckets: int = 256
 ) -> DataFrame:
-    """Row number (from 1) over the whole table, ordered by a column."""
-    order = [F.col(order_by).asc_nulls_first(), *[F.col(t) for t in ties]]
-    if order_by in numeric_columns(df):
-        bucket = bucket_of(F.col(order_by).cast("double"), split_points(df, order_by, buckets))
-    else:
-        bucket = bucket_by_rank_sample(df, order_by, buckets)
-    return bucketed_row_number(df, [], bucket, order, name)
+    """Row number (from 1) over the whole table, ordered by a column and its ties.
 
-
-def bucket_by_rank_sample(df: DataFrame, order_by: str, buckets: int) -> Column:
-    """Buckets for a column without a numeric sketch: cuts from a small sample."""
-    sample = (
-        df.select(F.col(order_by).alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy("v").agg(F.count("*").alias("n"))
-        .orderBy(F.xxhash64("v"))
-        .limit(buckets - 1)
-    )
-    cuts = sorted(r["v"] for r in sample.collect())
-    return bucket_of(F.col(order_by), cuts)
+    Without ties equal rows are ordered by their hash.
+    """
+    if not ties:
+        tied = df.withColumn("_tie", F.xxhash64(*[quoted(c) for c in df.columns]))
+        return with_ordinal(tied, order_by, ["_tie"], name, buckets).drop("_tie")
+    value = quoted(order_by)
+    cuts = split_points(df, order_by, buckets)
+    points = distinct_points(cuts)
+    hot = [p for p in points if cuts.count(p) > 1]
+    bucket = bucket_of(value, points).cast("long")
+    if hot or None in cuts:
+        # within a bucket NULL or its cut value comes first; a hot one is cut by the tie
+        inner = distinct_points(split_points(df, ties[0], buckets))
+        is_hot = value.isNull() | (value.isin(hot) if hot else F.lit(False))
+        part = F.when(is_hot, bucket_of(quoted(ties[0]), inner)).otherwise(len(inner) + 1)
+        bucket = bucket * (len(inner) + 2) + part
+    order = [value.asc_nulls_first(), *[quoted(c).asc_nulls_first() for c in ties]]
+    return bucketed_row_number(df, [], bucket, order, name)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -134,15 +160,17 @@ def top_k_per_group(
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-    accuracy: int = 10_000,
+    accuracy: int = 2_000, in_memory_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as rows
     (by..., column, n, q0, q1, ...).
 
-    ``percentile`` keeps every distinct value of a group in one task.  Here a
-    sketch first brackets each wanted rank, then one counting pass keeps the
-    values inside the brackets and only counts the rest, so the ordered part
-    holds about ``6 * len(probs) / accuracy`` of the rows.
+    ``percentile`` keeps every distinct value of a group in one task, so it
+    serves tables of at most ``in_memory_rows``.  For larger ones
+    sketches bracket each wanted rank, then one counting pass keeps the values
+    inside the brackets, under a hundredth of all, and only counts the rest.
+    The kept values are put in order in pieces, whose totals tell the piece
+    that holds the rank.
     """
     by = list(by)
     if not columns:
@@ -151,44 +179,60 @@ def quantiles(
         *[quoted(b).alias(b) for b in by],
         *[_number(quoted(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)],
     )
+    if work.count() <= in_memory_rows:
+        return _small_quantiles(work, columns, probs, by)
     cuts = _rank_brackets(work, len(columns), probs, by, accuracy)
     if by:
-        rows = cuts.limit(SMALL_TABLE_ROWS + 1).collect()
-        if len(rows) <= SMALL_TABLE_ROWS:
-            cuts = F.broadcast(df.sparkSession.createDataFrame(rows, cuts.schema))
-        same = reduce(lambda a, b: a & b,
-                      [F.col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)])
-        work = work.join(cuts, same)
+        work = lookup_join(work, cuts, by)
         limit = F.col
     else:
-        limit = cuts.first().asDict().get
+        row = cuts.first().asDict()
+        limit = lambda name: F.lit(row[name])
 
     cells = []
     for i in range(len(columns)):
         v = F.col(f"_v{i}")
-        reached = [v >= limit(f"_lo{i}_{j}") for j in range(len(probs))]
-        passed = [v > limit(f"_hi{i}_{j}") for j in range(len(probs))]
-        inside = reduce(lambda a, b: a | b, [r & ~p for r, p in zip(reached, passed)])
-        slot = reduce(lambda a, b: a + b, [x.cast("int") for x in (*reached, *passed)])
+        bounds = [(limit(f"_lo{i}_{j}"), limit(f"_hi{i}_{j}")) for j in range(len(probs))]
+        inside = [(v >= lo) & (v <= hi) for lo, hi in bounds]
+        slot = reduce(
+            lambda a, b: a + b, [x.cast("int") for lo, hi in bounds for x in (v >= lo, v > hi)]
+        )
+        piece = F.coalesce(*[F.when(x, _piece(v, lo, hi)) for x, (lo, hi) in zip(inside, bounds)])
         cells.append(
             F.struct(
                 F.lit(i).alias("c"),
                 F.when(v.isNotNull(), slot).alias("slot"),
-                F.when(inside, v).alias("value"),
+                F.coalesce(piece, F.lit(0)).alias("piece"),
+                F.when(reduce(lambda a, b: a | b, inside), v).alias("value"),
             )
         )
     counted = (
         work.select(*by, F.explode(F.array(*cells)).alias("r"))
         .where("r.slot is not null")
-        .groupBy(*by, F.col("r.c").alias("_c"), F.col("r.slot").alias("slot"),
-                 F.col("r.value").alias("value"))
+        .groupBy(*by, "r.c", "r.slot", "r.piece", "r.value")
         .agg(F.count("*").alias("cnt"))
     )
-    group = [*by, "_c"]
-    ordered = Window.partitionBy(*group).orderBy("slot", "value")
-    ranked = counted.withColumn(
-        "upto", F.sum("cnt").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("n", F.sum("cnt").over(Window.partitionBy(*group)))
+    group, piece = [*by, "c"], [*by, "c", "slot", "piece"]
+    in_order = Window.partitionBy(*group).orderBy("slot", "piece")
+    pieces = (
+        counted.groupBy(*piece)
+        .agg(F.sum("cnt").alias("held"))
+        .withColumn("n", F.sum("held").over(Window.partitionBy(*group)))
+        .withColumn("upto", F.sum("held").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("before", F.col("upto") - F.col("held"))
+    )
+    spots = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = [r for s in spots for r in (F.floor(s), F.ceil(s))]
+    wanted = pieces.where(
+        reduce(lambda a, b: a | b, [(F.col("before") <= r) & (r < F.col("upto")) for r in ranks])
+    ).select(*[quoted(k).alias(f"_p{i}") for i, k in enumerate(piece)], "n", "before")
+    same = reduce(
+        lambda a, b: a & b, [quoted(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(piece)]
+    )
+    running = Window.partitionBy(*piece).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(wanted, same).withColumn(
+        "upto", F.col("before") + F.sum("cnt").over(running)
+    )
 
     def at(rank: Column) -> Column:
         here = (F.col("upto") - F.col("cnt") <= rank) & (rank < F.col("upto"))
@@ -198,7 +242,6 @@ def quantiles(
         )
         return F.max(F.when(here, value))
 
-    spots = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     chosen = ranked.groupBy(*group).agg(
         F.max("n").alias("n"),
         *[at(F.floor(s)).alias(f"_a{j}") for j, s in enumerate(spots)],
@@ -207,7 +250,7 @@ def quantiles(
     names = F.array(*[F.lit(c) for c in columns])
     return chosen.select(
         *by,
-        F.get(names, F.col("_c")).alias("column"),
+        F.get(names, F.col("c")).alias("column"),
         "n",
         *[
             (F.col(f"_a{j}") + (s - F.floor(s)) * (F.col(f"_b{j}") - F.col(f"_a{j}"))).alias(f"q{j}")
@@ -216,29 +259,99 @@ def quantiles(
     )
 
 
+def _small_quantiles(
+    work: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
+) -> DataFrame:
+    wide = work.groupBy(*by).agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"), F.count(f"_v{i}").alias("n"),
+                F.percentile(f"_v{i}", list(probs)).alias("q"),
+            ).alias(f"_s{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    long = wide.select(*by, F.explode(F.array(*[f"_s{i}" for i in range(len(columns))])).alias("r"))
+    return long.where("r.n > 0").select(
+        *by, "r.column", "r.n", *[F.get("r.q", F.lit(j)).alias(f"q{j}") for j in range(len(probs))]
+    )
+
+
+PIECES_PER_BRACKET = 1024
+
+
+def _piece(value: Column, low: Column, high: Column) -> Column:
+    """Equal steps of a bracket; one piece if it is a point or has no end."""
+    width = high - low
+    step = F.floor((value - low) / width * PIECES_PER_BRACKET).cast("int")
+    return F.when((width > 0) & (width < F.lit(float("inf"))),
+                  F.least(step, F.lit(PIECES_PER_BRACKET - 1))).otherwise(0)
+
+
 def _rank_brackets(
     work: DataFrame, n_columns: int, probs: Sequence[float], by: Sequence[str], accuracy: int
 ) -> DataFrame:
     """Per group and column, values that enclose each wanted rank.
 
-    The sketch is off by at most ``n / accuracy`` ranks; brackets are three
-    times as wide.  In groups so small that this is under a few ranks the
-    bracket is everything.
+    Input partitions are sketched in a few bundles, so that no task merges the
+    sketches of all of them.  A bundle then counts as ``grid + 1`` points of
+    equal weight.  Its ranks are off by ``1 / accuracy + 2 / grid`` at most,
+    and brackets reach further than that.  In groups so small that this is
+    under a few ranks the bracket is everything.
     """
-    margin = 3.0 / accuracy
-    wanted = [p for q in probs for p in (max(0.0, q - margin), min(1.0, q + margin))]
-    sketch = work.groupBy(*by).agg(
-        *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(n_columns)],
-        *[F.percentile_approx(f"_v{i}", wanted, accuracy).alias(f"_p{i}") for i in range(n_columns)],
-    )
-    out = [F.col(b).alias(f"_k{i}") for i, b in enumerate(by)]
+    bundles, grid = (8 if by else 64), 1_000
+    margin = 2.0 / accuracy + 2.0 / grid
+    # one literal instead of a thousand
+    steps = F.expr(f"cast(split('{','.join(str(i / grid) for i in range(grid + 1))}', ',') as array<double>)")
+    parts = []
     for i in range(n_columns):
-        small = F.col(f"_n{i}") < 10 * accuracy
-        for j in range(len(probs)):
-            low, high = F.get(F.col(f"_p{i}"), F.lit(2 * j)), F.get(F.col(f"_p{i}"), F.lit(2 * j + 1))
-            out.append(F.when(small, F.lit(float("-inf"))).otherwise(low).alias(f"_lo{i}_{j}"))
-            out.append(F.when(small, F.lit(float("inf"))).otherwise(high).alias(f"_hi{i}_{j}"))
-    return sketch.select(*out)
+        parts += [
+            F.count(f"_v{i}").alias(f"_n{i}"),
+            F.percentile_approx(f"_v{i}", steps, accuracy).alias(f"_p{i}"),
+        ]
+    sketch = (
+        work.withColumn("_bundle", F.spark_partition_id() % bundles).groupBy(*by, "_bundle").agg(*parts)
+    )
+    per_column = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("c"), F.col(f"_n{i}").alias("n"), F.col(f"_p{i}").alias("p"))
+                for i in range(n_columns)
+            ]
+        )
+    ).alias("r")
+    group = [*by, "c"]
+    points = sketch.select(*by, per_column).select(
+        *by, "r.c", (F.col("r.n") / (grid + 1)).alias("weight"), F.explode("r.p").alias("value")
+    )
+    weighed = points.withColumn(
+        "upto", F.sum("weight").over(Window.partitionBy(*group).orderBy("value"))
+    ).withColumn("n", F.sum("weight").over(Window.partitionBy(*group)))
+    small = F.max("n") < 10 * accuracy
+    bounds = []
+    for j, p in enumerate(probs):
+        low = F.max(F.when(F.col("upto") <= (p - margin) * F.col("n"), F.col("value")))
+        high = F.min(F.when(F.col("upto") >= (p + margin) * F.col("n"), F.col("value")))
+        bounds += [
+            F.when(small, None).otherwise(low).alias(f"lo{j}"),
+            F.when(small, None).otherwise(high).alias(f"hi{j}"),
+        ]
+    found = weighed.groupBy(*group).agg(*bounds)
+    wide = found.groupBy(*by).agg(
+        *[
+            F.max(F.when(F.col("c") == i, F.col(f"{side}{j}"))).alias(f"_{side}{i}_{j}")
+            for i in range(n_columns)
+            for j in range(len(probs))
+            for side in ("lo", "hi")
+        ]
+    )
+    return wide.select(
+        *[quoted(b) for b in by],
+        *[
+            F.coalesce(F.col(c), F.lit(float("-inf") if c.startswith("_lo") else float("inf"))).alias(c)
+            for c in wide.columns[len(by):]
+        ],
+    )
 
 
 def _number(value: Column) -> Column:
