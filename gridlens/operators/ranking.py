@@ -165,12 +165,11 @@ def quantiles(
     """Exact quantiles with linear interpolation, as rows
     (by..., column, n, q0, q1, ...).
 
-    ``percentile`` keeps every distinct value of a group in one task, so it
-    serves tables of at most ``in_memory_rows``.  For larger ones
-    sketches bracket each wanted rank, then one counting pass keeps the values
-    inside the brackets, under a hundredth of all, and only counts the rest.
-    The kept values are put in order in pieces, whose totals tell the piece
-    that holds the rank.
+    Up to ``in_memory_rows`` the distinct values of a group are put in order by
+    one task.  For larger tables sketches bracket each wanted rank, then one
+    counting pass keeps the values inside the brackets, under a hundredth of
+    all, and only counts the rest.  The kept values are ordered in pieces,
+    whose totals tell the piece that holds the rank.
     """
     by = list(by)
     if not columns:
@@ -180,8 +179,58 @@ def quantiles(
         *[_number(quoted(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)],
     )
     if work.count() <= in_memory_rows:
-        return _small_quantiles(work, columns, probs, by)
-    cuts = _rank_brackets(work, len(columns), probs, by, accuracy)
+        ranked = _ranked_values(work, len(columns), by)
+    else:
+        ranked = _ranked_pieces(work, len(columns), probs, by, accuracy)
+    spots = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+
+    def at(rank: Column) -> Column:
+        here = (F.col("upto") - F.col("cnt") <= rank) & (rank < F.col("upto"))
+        value = F.coalesce(
+            F.col("value"),
+            F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"),
+        )
+        return F.max(F.when(here, value))
+
+    chosen = ranked.groupBy(*by, "c").agg(
+        F.max("n").alias("n"),
+        *[at(F.floor(s)).alias(f"_a{j}") for j, s in enumerate(spots)],
+        *[at(F.ceil(s)).alias(f"_b{j}") for j, s in enumerate(spots)],
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    return chosen.select(
+        *by,
+        F.get(names, F.col("c")).alias("column"),
+        "n",
+        *[
+            (F.col(f"_a{j}") + (s - F.floor(s)) * (F.col(f"_b{j}") - F.col(f"_a{j}"))).alias(f"q{j}")
+            for j, s in enumerate(spots)
+        ],
+    )
+
+
+def _ranked_values(work: DataFrame, n_columns: int, by: Sequence[str]) -> DataFrame:
+    """(by..., c, value, cnt, upto, n): distinct values in order, for tables of a
+    checked size."""
+    group = [*by, "c"]
+    cells = [F.struct(F.lit(i).alias("c"), F.col(f"_v{i}").alias("value")) for i in range(n_columns)]
+    counted = (
+        work.select(*by, F.explode(F.array(*cells)).alias("r"))
+        .where("r.value is not null")
+        .groupBy(*by, "r.c", "r.value")
+        .agg(F.count("*").alias("cnt"))
+    )
+    running = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("upto", F.sum("cnt").over(running)).withColumn(
+        "n", F.sum("cnt").over(Window.partitionBy(*group))
+    )
+
+
+def _ranked_pieces(
+    work: DataFrame, n_columns: int, probs: Sequence[float], by: Sequence[str], accuracy: int
+) -> DataFrame:
+    """The same columns, but only values near the wanted ranks."""
+    cuts = _rank_brackets(work, n_columns, probs, by, accuracy)
     if by:
         work = lookup_join(work, cuts, by)
         limit = F.col
@@ -190,7 +239,7 @@ def quantiles(
         limit = lambda name: F.lit(row[name])
 
     cells = []
-    for i in range(len(columns)):
+    for i in range(n_columns):
         v = F.col(f"_v{i}")
         bounds = [(limit(f"_lo{i}_{j}"), limit(f"_hi{i}_{j}")) for j in range(len(probs))]
         inside = [(v >= lo) & (v <= hi) for lo, hi in bounds]
@@ -230,52 +279,10 @@ def quantiles(
         lambda a, b: a & b, [quoted(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(piece)]
     )
     running = Window.partitionBy(*piece).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(wanted, same).withColumn(
+    return counted.join(wanted, same).withColumn(
         "upto", F.col("before") + F.sum("cnt").over(running)
     )
 
-    def at(rank: Column) -> Column:
-        here = (F.col("upto") - F.col("cnt") <= rank) & (rank < F.col("upto"))
-        value = F.coalesce(
-            F.col("value"),
-            F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"),
-        )
-        return F.max(F.when(here, value))
-
-    chosen = ranked.groupBy(*group).agg(
-        F.max("n").alias("n"),
-        *[at(F.floor(s)).alias(f"_a{j}") for j, s in enumerate(spots)],
-        *[at(F.ceil(s)).alias(f"_b{j}") for j, s in enumerate(spots)],
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    return chosen.select(
-        *by,
-        F.get(names, F.col("c")).alias("column"),
-        "n",
-        *[
-            (F.col(f"_a{j}") + (s - F.floor(s)) * (F.col(f"_b{j}") - F.col(f"_a{j}"))).alias(f"q{j}")
-            for j, s in enumerate(spots)
-        ],
-    )
-
-
-def _small_quantiles(
-    work: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
-) -> DataFrame:
-    wide = work.groupBy(*by).agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), F.count(f"_v{i}").alias("n"),
-                F.percentile(f"_v{i}", list(probs)).alias("q"),
-            ).alias(f"_s{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    long = wide.select(*by, F.explode(F.array(*[f"_s{i}" for i in range(len(columns))])).alias("r"))
-    return long.where("r.n > 0").select(
-        *by, "r.column", "r.n", *[F.get("r.q", F.lit(j)).alias(f"q{j}") for j in range(len(probs))]
-    )
-
 
 PIECES_PER_BRACKET = 1024
 
