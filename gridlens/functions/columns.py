@@ -54,6 +54,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash over all columns; maps, which have no order, are left out."""
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[quoted(c) for c in plain]) if plain else F.lit(0).cast("long")
+
+
 def fractional_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
 

@@ -149,10 +149,10 @@ def recommendations(df: DataFrame, class_columns: Sequence[str] = ()) -> DataFra
         )
     if class_columns:
         counts = prof.value_counts(df, class_columns)
-        per_column = Window.partitionBy("column")
-        share = F.col("n") / F.sum("n").over(per_column)
+        totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+        share = F.col("n") / F.col("total")
         out = out.unionByName(
-            counts.withColumn("share", share).where(F.col("share") < CLASS_SHARE_LIMIT).select(
+            lookup_join(counts, totals, ["column"]).withColumn("share", share).where(F.col("share") < CLASS_SHARE_LIMIT).select(
                 F.lit("rare_class").alias("rule"),
                 F.concat_ws(" = ", "column", "value").alias("subject"),
                 F.round("share", 4).alias("value"),

@@ -375,8 +375,10 @@ def train(
     everything = placed if fit_on == "all" else None
     fitted = fit(placed.where("not is_test"), target, model, task, columns, everything, **params)
     held_out = placed.where("is_test").drop("is_test", "fold")
-    scored = (
-        fitted.predict_proba(held_out) if task == "classification" else fitted.predict(held_out)
+    # scored once; metrics, confusion and report read the written rows
+    scored = materialise(
+        fitted.predict_proba(held_out) if task == "classification" else fitted.predict(held_out),
+        "scored",
     )
     scores = None
     if folds:

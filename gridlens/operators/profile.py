@@ -45,23 +45,35 @@ def column_types(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_values(df: DataFrame) -> DataFrame:
-    """(column, missing, missing_percent) in one pass; percent is NULL without rows."""
-    counts = df.agg(
+def _missing_counts(df: DataFrame) -> DataFrame:
+    """One row: n, and the missing cells m0, m1, ... of each column."""
+    return df.agg(
         F.count("*").alias("n"),
-        *[
-            F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)
-        ],
+        *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
     )
+
+
+def _missing_percent(i: int) -> Column:
+    return F.round(F.try_divide(F.col(f"m{i}") * 100.0, F.col("n")), 2)
+
+
+def missing_values(df: DataFrame) -> DataFrame:
+    """(column, missing, missing_percent) in one pass; percent is NULL without rows."""
     cells = [
         F.struct(
-            F.lit(c).alias("column"),
-            F.col(f"m{i}").alias("missing"),
-            F.round(F.try_divide(F.col(f"m{i}") * 100.0, F.col("n")), 2).alias("missing_percent"),
+            F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"),
+            _missing_percent(i).alias("missing_percent"),
         )
         for i, c in enumerate(df.columns)
     ]
-    return counts.select(_rows(cells)).select("r.*")
+    return _missing_counts(df).select(_rows(cells)).select("r.*")
+
+
+def column_overview(df: DataFrame) -> DataFrame:
+    """Types of the columns beside their missing cells."""
+    return column_types(df).join(missing_values(df), "column").select(
+        "ordinal", "column", "type", "type_class", "missing", "missing_percent"
+    )
 
 
 def columns_with_missing(df: DataFrame) -> DataFrame:
@@ -321,24 +333,20 @@ def _r_pairwise(i: int, j: int) -> Column:
 def profile(df: DataFrame) -> DataFrame:
     """Long table (column, metric, value): size, duplicates, missing values and
     the numeric summary; table-wide facts carry the column name ``*``."""
-    facts = table_size(df).select(
-        F.lit("*").alias("column"),
-        F.expr(
-            "stack(2, 'row_count', cast(row_count as double), 'features', cast(features as double))"
-        ).alias("metric", "value"),
-    )
+    def fact(column: str, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(column).alias("column"), F.lit(metric).alias("metric"),
+                        value.cast("double").alias("value"))
+
+    cells = [fact("*", "row_count", F.col("n")), fact("*", "features", F.lit(len(df.columns)))]
+    for i, c in enumerate(df.columns):
+        cells += [fact(c, "missing", F.col(f"m{i}")), fact(c, "missing_percent", _missing_percent(i))]
+    facts = _missing_counts(df).select(_rows(cells)).select("r.*")
     duplicates = duplicate_rows(df).select(
         F.lit("*").alias("column"),
         F.lit("duplicate_rows").alias("metric"),
         F.col("duplicate_rows").cast("double").alias("value"),
     )
-    missing = missing_values(df).select(
-        "column",
-        F.expr(
-            "stack(2, 'missing', cast(missing as double), 'missing_percent', missing_percent)"
-        ).alias("metric", "value"),
-    )
-    out = facts.unionByName(duplicates).unionByName(missing)
+    out = facts.unionByName(duplicates)
     if numeric_columns(df):
         numbers = numeric_summary(df).select(
             "column",

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlens.functions.columns import quoted
+from gridlens.functions.columns import quoted, row_hash
 
 SMALL_TABLE_ROWS = 100_000
 JOIN_SALTS = 16
@@ -40,7 +40,7 @@ def lookup_join(
         left = df
         side = F.broadcast(df.sparkSession.createDataFrame(rows, renamed.schema))
     else:
-        left = df.withColumn("_salt", F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), salts))
+        left = df.withColumn("_salt", F.pmod(row_hash(df), F.lit(salts)))
         side = renamed.withColumn(
             "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
         )
@@ -59,7 +59,7 @@ def split_points(df: DataFrame, column: str, buckets: int = 256) -> list:
     work: results never depend on them.
     """
     chosen = (
-        df.select(quoted(column).alias("v"), F.xxhash64(*[quoted(c) for c in df.columns]).alias("h"))
+        df.select(quoted(column).alias("v"), row_hash(df).alias("h"))
         .orderBy("h")
         .limit(buckets * SAMPLED_PER_BUCKET)
     )
@@ -124,7 +124,7 @@ def with_ordinal(
     Without ties equal rows are ordered by their hash.
     """
     if not ties:
-        tied = df.withColumn("_tie", F.xxhash64(*[quoted(c) for c in df.columns]))
+        tied = df.withColumn("_tie", row_hash(df))
         return with_ordinal(tied, order_by, ["_tie"], name, buckets).drop("_tie")
     value = quoted(order_by)
     cuts = split_points(df, order_by, buckets)

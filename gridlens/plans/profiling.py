@@ -44,6 +44,23 @@ def profile_missing(t: Tables) -> DataFrame:
     return prof.missing_values(t.rated)
 
 
+_RATED_TYPES = (
+    ("doc_id", "bigint", "numeric"), ("lang", "string", "categorical"), ("source", "string", "categorical"),
+    ("n_chars", "bigint", "numeric"), ("quality", "int", "numeric"), ("toxic", "int", "numeric"),
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT CAST({i} AS INTEGER) AS ordinal, "column", '{kind}' AS type, '{group}' AS type_class,
+        missing, missing_percent FROM ({_MISSING.format(c=c)})"""
+        for i, (c, kind, group) in enumerate(_RATED_TYPES, start=1)
+    )
+)
+def column_overview(t: Tables) -> DataFrame:
+    return prof.column_overview(t.rated)
+
+
 @query("SELECT * FROM (" + _each(RATED_COLUMNS, _MISSING) + ") WHERE missing > 0")
 def missing_columns_only(t: Tables) -> DataFrame:
     return prof.columns_with_missing(t.rated)

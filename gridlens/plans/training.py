@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridlens.operators import models
 from gridlens.plans.registry import QUERIES, Tables, query
 
-SMALL = dict(trees=10, depth=5, rounds=10, iterations=50, fourier=64)
+SMALL = dict(trees=8, depth=5, rounds=6, iterations=30, fourier=32)
 _NET = "l_quantity * (1 - l_discount)"
 
 
@@ -128,4 +128,25 @@ def lasso_one_feature(t: Tables) -> DataFrame:
     return _one_feature(t, "Lasso Regression", 1.0)
 
 
+@query(
+    """WITH s AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_discount) AS m2,
+      stddev_pop(l_discount) AS s2, avg(l_extendedprice) AS my, CAST(count(*) AS DOUBLE) AS n FROM lineitem),
+    x AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity - m1) / s1 AS a, (l_discount - m2) / s2 AS b,
+      l_extendedprice - my AS y, my, n FROM lineitem, s),
+    g AS (SELECT sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS yb, any_value(n) + 1.0::DOUBLE AS d FROM x),
+    c AS (SELECT (ay * d - yb * ab) / (d * d - ab * ab) AS p, (yb * d - ay * ab) / (d * d - ab * ab) AS q FROM g)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(my + p * a + q * b, 3) AS prediction FROM x, c"""
+)
+def ridge_predictions(t: Tables) -> DataFrame:
+    """Every line item with its prediction; closed form of two features."""
+    data = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount",
+        F.col("l_extendedprice").alias("y"),
+    )
+    fitted = models.fit(data, "y", "Ridge Regression", "regression", ["l_quantity", "l_discount"])
+    return fitted.predict(data).select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round("prediction", 3).alias("prediction")
+    )
+
+
 __all__ = ["QUERIES"]

@@ -19,11 +19,17 @@ KIND_BY_SUFFIX = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
+) -> DataFrame:
     """Header row, empty cell = missing.  Without a schema types are inferred in
-    an extra pass."""
+    an extra pass.
+
+    Quoted cells may hold line breaks; where they do not, ``multi_line=False``
+    lets Spark split one large file over many tasks.
+    """
     reader = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("nullValue", "")
     )
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)

@@ -94,3 +94,10 @@ def test_top_k_per_group_cuts_before_the_shuffle(spark):
     top = ranking.top_k_per_group(df, ["g"], [F.col("id").desc()], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["id"] for r in top.collect()) == [994, 995, 996, 997, 998, 999]
+
+
+def test_rows_with_maps_can_be_ordered_and_joined(spark):
+    df = spark.sql("select id, map('a', id) as m, id % 2 as k from range(10)")
+    assert sorted(r["position"] for r in ranking.with_ordinal(df, "k").collect()) == list(range(1, 11))
+    small = spark.createDataFrame([(0, "even")], "k long, name string")
+    assert ranking.lookup_join(df, small, ["k"], max_rows=0).count() == 5
