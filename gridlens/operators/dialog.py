@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens.functions.arrays import let
 from gridlens.functions.columns import quoted
 from gridlens.operators.ranking import bucketed_row_number
 
@@ -51,27 +53,26 @@ def intent(message: Column, rules: Sequence = INTENT_RULES, match: str = "substr
     ``match="substring"`` finds keywords inside other words ("hi" in
     "machine"), ``match="word"`` only whole words.
     """
-    text = F.lower(message)
-
-    def present(keyword: str) -> Column:
-        if match == "substring":
-            return F.contains(text, F.lit(keyword))
-        if match == "word":
-            return text.rlike(rf"(?<![a-z0-9]){re.escape(keyword.strip())}(?![a-z0-9])")
+    if match not in ("substring", "word"):
         raise ValueError("match is substring or word")
 
-    found = None
-    for number, (name, groups) in enumerate(rules, start=1):
-        holds = F.lit(True)
-        for group in groups:
-            any_of = F.lit(False)
-            for keyword in group:
-                any_of = any_of | present(keyword)
-            holds = holds & any_of
-        outcome = F.struct(F.lit(name).alias("intent"), F.lit(number).alias("rule"))
-        found = F.when(holds, outcome) if found is None else found.when(holds, outcome)
-    default = F.struct(F.lit(DEFAULT_INTENT).alias("intent"), F.lit(len(rules) + 1).alias("rule"))
-    return found.otherwise(default)
+    def any_of(text: Column, keywords: Sequence[str]) -> Column:
+        if match == "word":
+            words = "|".join(re.escape(k.strip()) for k in keywords)
+            return text.rlike(f"(?<![a-z0-9])({words})(?![a-z0-9])")
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keywords])
+
+    def choose(text: Column) -> Column:
+        found = None
+        for number, (name, groups) in enumerate(rules, start=1):
+            holds = reduce(lambda a, b: a & b, [any_of(text, g) for g in groups])
+            outcome = F.struct(F.lit(name).alias("intent"), F.lit(number).alias("rule"))
+            found = F.when(holds, outcome) if found is None else found.when(holds, outcome)
+        return found.otherwise(
+            F.struct(F.lit(DEFAULT_INTENT).alias("intent"), F.lit(len(rules) + 1).alias("rule"))
+        )
+
+    return let(F.lower(message), choose) if match == "word" else choose(F.lower(message))
 
 
 def message_intents(

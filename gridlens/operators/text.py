@@ -24,8 +24,12 @@ SUMMARY_STOP_WORDS = (
     "we you he she they all any each more most so very also just about than other such when which"
 ).split()
 
-# Blanks in the sense of Unicode, plus the four separators U+001C to U+001F.
-BLANK = r"(?U)[\s\x1c-\x1f]"
+# The blanks of Unicode.
+BLANKS = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+BLANK = f"[{BLANKS}]"
 MAX_SUMMARY_SENTENCES = 4
 SHORT_TEXT_CHARS = 400
 FIRST_SENTENCE_FACTOR = 1.3
@@ -34,7 +38,7 @@ LABEL_SHARPNESS = 8.0
 
 def stripped(text: Column) -> Column:
     """Text without blanks at either end."""
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(text: Column) -> Column:

@@ -193,7 +193,7 @@ def _word_case(rules, column: str) -> str:
 )
 def intent_counts_whole_words(t: Tables) -> DataFrame:
     """Documents as messages, keywords as whole words."""
-    return dialog.intent_counts(t.documents, "text", match="word")
+    return dialog.intent_counts(t.texts, "text", match="word")
 
 
 @query(
