@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gridlens.llm import fingerprint, mixing, tokens, toxicity, warc
+from gridlens.llm import decontaminate, fingerprint, jaccard, mixing, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_token_counts": tokens.op3_token_counts,
     "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_token_files": tokens.op7_token_files,
     "op8_warc": warc.op8_warc,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 SQL = {"op2_mixing": mixing.OP2_SQL}
