@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from gridlens.llm import decontaminate, fingerprint, jaccard, mixing, tokens, toxicity, warc
+from gridlens.llm import chat, decontaminate, fingerprint, html_text, jaccard, mixing, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_html": html_text.op4_html,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_token_files": tokens.op7_token_files,
     "op8_warc": warc.op8_warc,
+    "op9_chat": chat.op9_chat,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 SQL = {"op2_mixing": mixing.OP2_SQL}
