@@ -27,7 +27,7 @@ from gridlens.llm.shared import table, written
 ROLES = ("system", "user", "assistant")
 STATES = [(role, opens) for role in ROLES for opens in (True, False)]
 TURNS_PER_SEGMENT = 200
-MARKER = re.compile(r"^\s*(?:[#>*<|\[(]+\s*)*([A-Za-z]{1,20})\s*(?:[>|\])*]+\s*:?|:)(?:\s+|$)")
+MARKER = re.compile(r"^\s*(?:<\|([A-Za-z]{1,20})\|>|\[([A-Za-z]{1,20})\]:?|\*\*([A-Za-z]{1,20})\s*:?\*\*:?|(?:#+\s*|>+\s*)?([A-Za-z]{1,20})\s*:)(?: |$)")
 # ways in which transcripts mark speakers, in the order of ROLES
 STYLES = (
     ("System: ", "User: ", "Assistant: "),
@@ -42,7 +42,7 @@ STYLES = (
 def marker(line: str) -> tuple[str, int]:
     """The speaker marker's name in lower case ('' without one) and its length in the line."""
     found = MARKER.match(line)
-    return (found[1].lower(), found.end()) if found else ("", 0)
+    return (found[found.lastindex].lower(), found.end()) if found else ("", 0)
 
 
 def kind(line: str) -> int:
@@ -73,10 +73,10 @@ class Model:
         return self.sees_marker[:, at].T + self.sees_kind[:, [kind(x) for x in lines]].T
 
     def through(self, lines: list[str]) -> np.ndarray:
-        """Best score from the state before the first line to the state of the last one."""
-        best = None
+        """Best score from the state before the first line (last row: from the start) to the state of the last one."""
+        best, entered = None, np.vstack([self.step, self.start])
         for score in self.scores(lines):
-            best = self.step + score if best is None else (best[:, :, None] + self.step[None]).max(axis=1) + score
+            best = entered + score if best is None else (best[:, :, None] + self.step[None]).max(axis=1) + score
         return best
 
     def decode(self, lines: list[str], entering: int | None, leaving: int | None) -> list[int]:
@@ -154,19 +154,14 @@ def parse(segments: DataFrame, model: Model) -> DataFrame:
     matrices = long.mapInArrow(measure, f"conv_id {kind_of}, segment long, tie long, row long, best array<double>")
 
     def chain(found: pd.DataFrame) -> pd.DataFrame:
-        start = shared.value[1]
-        size = len(start)
         found = found.sort_values(["segment", "tie", "row"], kind="stable")
-        steps = [np.array(b).reshape(size, size) for b in found["best"]]
-        # the first segment has no state before it: every start leads into its first line
-        first = shared.value[2]
-        gain = start - first.max(axis=0)
         best, back = None, []
-        for matrix in steps:
+        for flat in found["best"]:
+            matrix = np.array(flat).reshape(-1, len(STATES))
             if best is None:
-                best = (matrix + 0).max(axis=0) if not np.isfinite(gain).all() else matrix.max(axis=0)
+                best = matrix[-1]
             else:
-                options = best[:, None] + matrix
+                options = best[:, None] + matrix[:-1]
                 back.append(options.argmax(axis=0))
                 best = options.max(axis=0)
         state = int(best.argmax())
