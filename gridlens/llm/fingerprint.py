@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlens.llm.shared import table, written
+from gridlens.llm.shared import free, table, written
 
 TABLES = 3
 BASE = 8  # cells of a sub-table in the printed fingerprint
@@ -153,6 +153,7 @@ def differences(pairs: DataFrame) -> DataFrame:
     done = None
     while True:
         tried = written(_peeled(todo), "peeled")
+        free(pairs.sparkSession)
         solved = tried.where("left = 0").select("pair", F.col("found").alias("differing"))
         done = solved if done is None else done.unionByName(solved)
         failed = tried.where("left > 0").select("pair")
@@ -189,6 +190,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         paragraph_digests(F.col("next_text")).alias("following"),
     )
     rows = written(rows, "paragraphs")
+    free(docs.sparkSession)
     versions = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("b")) for k, c in enumerate(("edited", "following"))]))
     pairs = rows.select("row", F.col("own").alias("a"), versions.alias("v"))
     pairs = pairs.select((F.col("row") * 2 + F.col("v.k")).alias("pair"), "a", F.col("v.b").alias("b"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.shared import GAMMA, mix64, shingle_hashes, table, text_bytes, word_hashes, written
+from gridlens.llm.shared import GAMMA, free, mix64, shingle_hashes, table, text_bytes, word_hashes, written
 
 CELLS = 1 << 20
 CHUNKS = 64
@@ -274,11 +274,15 @@ def group_links(queries: DataFrame, groups: DataFrame, sets: DataFrame, percent:
 def classes_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Stored rows of `described` and stored (digest, node, class) of their distinct sets."""
     rows = described(docs, id_column, text, percent)
-    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"))
+    spark = docs.sparkSession
+    free(spark)
+    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     unique = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
-    chosen = rows.join(nodes.select("node"), F.col("row") == F.col("node"))
-    chosen = written(chosen.select("node", "doc_id", "digest", "n", "bits", "minima", "listed"), "chosen")
+    # the rows but the first of equal sets are few as a rule, and have no lists to move
+    repeated = rows.select("digest", "row").join(nodes.where("copies > 1"), "digest").where("row <> node").select("row")
+    firsts = rows.where("digest is not null").join(written(repeated, "repeated"), "row", "left_anti").withColumnRenamed("row", "node")
+    chosen = written(firsts.select("node", "doc_id", "digest", "n", "bits", "minima"), "chosen")
     bits = chosen.select("node", "n", "bits")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -291,14 +295,16 @@ def classes_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
 
     # nodes with a common minimum hash: the first of them is compared with the others
     minima = chosen.select("node", F.posexplode("minima").alias("k", "hash"))
-    firsts = written(minima.groupBy("k", "hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
-    pairs = written(minima.join(firsts, ["k", "hash"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    heads = written(minima.groupBy("k", "hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "heads")
+    pairs = written(minima.join(heads, ["k", "hash"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     classes = merged(chosen.select("node", F.col("node").alias("class")), links_of(pairs))
 
     # listed tokens that stand in two nodes or more: first and last are combined before the shuffle
-    tokens = chosen.select("node", "n", F.posexplode("listed").alias("at", "token"))
+    tokens = firsts.select("node", F.col("n").cast("int").alias("n"), F.posexplode("listed").alias("at", "token"))
     shared = written(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "tokens")
+    free(spark)
     listed = written(tokens.join(shared, "token"), "listed")
+    free(spark)
 
     while True:
         named = listed.join(classes, "node")

@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that are done, which it does when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(33))
