@@ -13,8 +13,8 @@ from gridlens.operators.ranking import lookup_join, quantiles, with_ordinal
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, low, high, count): equal widths, right edge of the last bin closed,
-    empty bins included."""
-    values = nan_to_null(df.select(quoted(column).cast("double").alias("x"))).where("x is not null")
+    empty bins included.  Infinite values have no bin and are left out."""
+    values = nan_to_null(df.select(quoted(column).cast("double").alias("x"))).where("abs(x) < double('inf')")
     edges = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     if edges["lo"] is None:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, count long")

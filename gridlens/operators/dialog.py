@@ -118,7 +118,7 @@ def chat_context(
         quoted(role).alias("role"), quoted(text).alias("content"),
     )
     placed = bucketed_row_number(
-        said, ["conversation"], F.floor(F.col("turn") / TURNS_PER_BUCKET), [F.col("turn")], "_pos"
+        said, ["conversation"], F.floor(F.col("turn") / TURNS_PER_BUCKET), [F.col("turn"), F.col("role"), F.col("content")], "_pos"
     )
     place = F.col("_pos") - 1
     home = F.floor(place / block)

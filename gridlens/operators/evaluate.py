@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +18,24 @@ def _counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
     ).agg(F.count("*").alias("count"))
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(actual, predicted, count, share): every pair of labels, zero cells
-    included; share is the count over its row's total."""
+def confusion_matrix(
+    df: DataFrame, label: str, prediction: str, labels: Sequence[str] | None = None
+) -> DataFrame:
+    """(actual, predicted, count, share) of the cells that occur; share is the
+    count over its row's total.  With `labels` the matrix of exactly these, in
+    their order, zero cells included."""
     counts = _counts(df, label, prediction)
-    labels = counts.agg(
-        F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("l")
-    )
-    cells = labels.select("l", F.explode("l").alias("actual")).select(
-        "actual", F.explode("l").alias("predicted")
-    )
-    filled = cells.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("count", F.lit(0)).alias("count")
-    )
-    row_total = F.sum("count").over(Window.partitionBy("actual"))
-    return filled.withColumn("share", F.col("count") / (row_total + F.lit(1e-9)))
+    if labels is not None:
+        given = F.array(*[F.lit(str(x)) for x in labels]) if labels else F.array().cast("array<string>")
+        one = df.sparkSession.range(1)
+        cells = one.select(F.explode(given).alias("actual"), given.alias("l"))
+        cells = cells.select("actual", F.explode("l").alias("predicted"))
+        counts = F.broadcast(cells).join(counts, ["actual", "predicted"], "left").select(
+            "actual", "predicted", F.coalesce("count", F.lit(0)).alias("count")
+        ).orderBy(F.array_position(given, F.col("actual")), F.array_position(given, F.col("predicted")))
+    totals = counts.groupBy(F.col("actual").alias("_a")).agg(F.sum("count").alias("_n"))
+    joined = counts.join(totals, F.col("actual").eqNullSafe(F.col("_a")))
+    return joined.select("actual", "predicted", "count", (F.col("count") / (F.col("_n") + F.lit(1e-9))).alias("share"))
 
 
 def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -17,7 +17,7 @@ from gridlens.functions.columns import (
     require_columns,
     type_class,
 )
-from gridlens.operators.ranking import lookup_join, quantiles
+from gridlens.operators.ranking import quantiles
 
 CLASSIFICATION_MAX_VALUES = 20
 CORRELATION_COLUMNS_PER_PASS = 40
@@ -87,9 +87,8 @@ def total_missing(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows equal an earlier one (missing equals missing).
 
-    Only rows whose hash occurs twice can be duplicates.  The first pass
-    shuffles eight bytes per row; whole rows are compared for those
-    candidates alone, so the count stays exact.
+    Rows are compared by two 64-bit hashes of all their values, counted before
+    they move: sixteen bytes per distinct row and task, and no hot row.
     """
     comparable = nan_to_null(df).select(
         *[
@@ -99,12 +98,10 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         ]
     )
     names = comparable.columns
-    hashed = comparable.withColumn("_h", F.xxhash64(*names))
-    repeated = hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    # grouped without the hash, so equal rows are combined before they move
-    groups = lookup_join(hashed, repeated, ["_h"], "left_semi").groupBy(*names).agg(
-        F.count("*").alias("n")
-    )
+    # a null leaves the hash unchanged, so the place of nulls is hashed as well
+    nulls = F.concat(F.lit(""), *[F.col(c).isNull().cast("int").cast("string") for c in names])
+    hashed = comparable.select(F.xxhash64(nulls, *names).alias("a"), F.xxhash64(*names, nulls, F.lit(1)).alias("b"))
+    groups = hashed.groupBy("a", "b").agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

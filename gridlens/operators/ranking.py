@@ -40,7 +40,8 @@ def lookup_join(
         left = df
         side = F.broadcast(df.sparkSession.createDataFrame(rows, renamed.schema))
     else:
-        left = df.withColumn("_salt", F.pmod(row_hash(df), F.lit(salts)))
+        # by position: equal rows get different salts
+        left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
         side = renamed.withColumn(
             "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
         )
@@ -55,11 +56,11 @@ def split_points(df: DataFrame, column: str, buckets: int = 256) -> list:
     """Ascending cut values that spread a column over buckets, NULL first; a
     value that holds more rows than a bucket occurs more than once.
 
-    They come from the rows with the smallest hashes, and only balance the
-    work: results never depend on them.
+    They come from rows drawn at random, each with equal chance, and only balance
+    the work: results never depend on them.
     """
     chosen = (
-        df.select(quoted(column).alias("v"), row_hash(df).alias("h"))
+        df.select(quoted(column).alias("v"), F.rand(1).alias("h"))
         .orderBy("h")
         .limit(buckets * SAMPLED_PER_BUCKET)
     )

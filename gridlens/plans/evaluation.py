@@ -43,7 +43,7 @@ def accuracy_f1(t: Tables) -> DataFrame:
     GROUP BY a.label, b.label"""
 )
 def confusion(t: Tables) -> DataFrame:
-    return rounded(evaluate.confusion_matrix(t.class_predictions, "quality", "pred"))
+    return rounded(evaluate.confusion_matrix(t.class_predictions, "quality", "pred", ["0", "1"]))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +27,24 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "gridl
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Where the setting is absent a local master gets a temporary folder; on a
-    cluster that would lie on one machine, so there it is an error.
-    """
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, one below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="gridlens-")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended; the folder is left to its owner
+        pass
 
 
 def new_path(spark: SparkSession, stem: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark).rstrip('/')}/gridlens-{stem}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; what stands there is removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/gridlens-{stem}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def materialise(df: DataFrame, stem: str) -> DataFrame:
