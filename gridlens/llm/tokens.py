@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.shared import scratch, table
 
-CACHED_PIECES = 300_000
+CACHED_WORDS = 200_000
 LONGEST_CACHED = 48
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -38,35 +39,46 @@ def word_bpe_path() -> str:
 class PieceEncoder:
     """Encodes texts by the tokenizers library, one space- or newline-free piece at a time.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text
-    are those of its pieces in order.  Pieces are kept in a bounded table.
+    The tokenizer drops white space, lower-cases and never joins letters with other
+    characters, so the ids of a text are those of its pieces in order, and a word
+    before a full stop or comma can be encoded without it.  Words are kept in a
+    bounded table.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.marks = {m: self._encode([m])[0] for m in ".,"}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        long = [p for p in new if len(p) > LONGEST_CACHED]
-        if len(known) + len(new) > CACHED_PIECES:
+        known, none = self.known, b""
+        parts = {}
+        for piece in set().union(*split):
+            word = piece[:-1] if piece[-1:] in self.marks else piece
+            if not word.isalpha():
+                word = piece
+            mark = self.marks[piece[-1]] if len(word) < len(piece) else none
+            # a sigma's lower case depends on its place in Python, not in the tokenizer
+            parts[piece] = (word.lower() if word.isalpha() and "\u03a3" not in word else word, mark)
+        words = {word for word, _ in parts.values()}
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            known[""] = b""
-            new = list({p for pieces in split for p in pieces if p})
-            long = [p for p in new if len(p) > LONGEST_CACHED]
+            new = list(words)
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        out = [b"".join([known[p] for p in pieces]) for pieces in split]
-        for p in long:
-            known.pop(p, None)
-        return out
+            known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
+        ids = {piece: known[word] + mark for piece, (word, mark) in parts.items()}
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                known.pop(w, None)
+        return [none.join([ids[p] for p in pieces]) for pieces in split]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: int | None = None, text: str = "text") -> None:
@@ -89,7 +101,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
+            for at in range(0, whole.num_rows, 250):
                 batch = whole.slice(at, 500)
                 ids = [x + end for x in encoder.batch(batch.column("text").to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)

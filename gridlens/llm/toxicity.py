@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.shared import GAMMA, mix64, table
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
         scorer = Scorer(Model(shared.value[0], shared.value[1], Settings(**shared.value[2])))
         for part in parts:
             texts = [t if isinstance(t, str) else None for t in part.tolist()]
-            yield pd.Series(np.concatenate([scorer.score(texts[k : k + 500]) for k in range(0, len(texts), 500)]) if texts else np.empty(0))
+            yield pd.Series(np.concatenate([scorer.score(texts[k : k + 200]) for k in range(0, len(texts), 200)]) if texts else np.empty(0))
 
     return docs.withColumn(column, scored(F.col(text)))
 
