@@ -19,6 +19,7 @@ from gridlens.llm.shared import scratch, table
 
 CACHED_WORDS = 200_000
 LONGEST_CACHED = 48
+ROWS_AT_ONCE = 250
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -101,8 +102,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
                 ids = [x + end for x in encoder.batch(batch.column("text").to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
