@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.shared import scratch, table
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 LONGEST_CACHED = 48
-ROWS_AT_ONCE = 250
+ROWS_AT_ONCE = 1000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
