@@ -1,5 +1,8 @@
-"""Model queries.  Rounds and trees are few, so that a run stays short; the
-defaults of the operators are the full sizes."""
+"""Model queries.  A run returns facts that SQL can state: the rows of the split,
+whether the model beats a constant guess, whether its scores are proper.
+
+Trees, rounds and Fourier features are fewer than the operators' defaults (SMALL),
+since a boosting round is several Spark jobs; the linear models run at full size."""
 
 from __future__ import annotations
 
@@ -7,9 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.operators import models
+from gridlens.operators.split import kfold
 from gridlens.plans.registry import QUERIES, Tables, query
+from gridlens.session import materialise
 
-SMALL = dict(trees=8, depth=5, rounds=6, iterations=30, fourier=32)
+SMALL = dict(trees=8, depth=5, rounds=6, fourier=32)
+FOLDS = 5
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 _NET = "l_quantity * (1 - l_discount)"
 
 
@@ -17,10 +25,11 @@ def _items(t: Tables, target: str) -> DataFrame:
     """All line items: five features and a target that they determine."""
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in (
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
-    return t.items.select(
-        key.alias("id"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        F.expr(target).alias("y"),
-    )
+    return t.items.select(key.alias("id"), *FEATURES, F.expr(target).alias("y"))
+
+
+def _keyed_items(t: Tables, target: str) -> DataFrame:
+    return t.items.select(*KEYS, *FEATURES, F.expr(target).alias("y"))
 
 
 TWO_CLASSES = f"case when {_NET} > 25 then 'large' else 'small' end"
@@ -29,67 +38,146 @@ THREE_CLASSES = f"case when {_NET} < 16 then 'low' when {_NET} < 32 then 'mid' e
 
 def _classify(t: Tables, model: str, target: str = TWO_CLASSES) -> DataFrame:
     run = models.train(_items(t, target), "y", "id", model, "classification", folds=0, **SMALL)
-    return run.metrics.select("metric", "value")
+    shares = [F.col(f"prob_class_{i}") for i in range(len(run.model.labels))]
+    accuracy = run.metrics.where("metric = 'accuracy'").select("value").scalar()
+    by_class = run.predictions.groupBy("y").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("prediction") == F.col("y")).alias("hits"),
+        F.bool_and(F.abs(sum(shares[1:], shares[0]) - 1) < 1e-6).alias("proper"),
+    )
+    return by_class.agg(
+        F.sum("n").alias("test_rows"), F.count("*").alias("classes"), F.max("n").alias("largest_class"),
+        F.bool_and("proper").alias("probabilities_sum_to_one"), F.sum("hits").alias("hits"),
+    ).select(
+        "test_rows", "classes", "largest_class", "probabilities_sum_to_one",
+        (F.col("hits") > F.col("largest_class")).alias("beats_majority"),
+        (F.abs(F.col("hits") / F.col("test_rows") - accuracy) < 1e-4).alias("accuracy_agrees"),
+    )
+
+
+def _classify_sql(target: str) -> str:
+    return f"""WITH c AS (SELECT {target} AS y, count(*) AS n FROM lineitem GROUP BY 1),
+      s AS (SELECT greatest(1, CAST(round(n * 0.2) AS BIGINT)) AS n FROM c)
+    SELECT CAST(sum(n) AS BIGINT) AS test_rows, count(*) AS classes, max(n) AS largest_class,
+      TRUE AS probabilities_sum_to_one, TRUE AS beats_majority, TRUE AS accuracy_agrees FROM s"""
 
 
 def _regress(t: Tables, model: str) -> DataFrame:
     run = models.train(_items(t, _NET), "y", "id", model, "regression", folds=0, **SMALL)
-    return run.metrics.select("metric", "value")
+    r2 = run.metrics.where("metric = 'r2_score'").select("value").scalar()
+    error = F.col("y") - F.col("prediction")
+    return run.predictions.agg(
+        F.count("*").alias("test_rows"), F.count("prediction").alias("n"),
+        F.avg(error * error).alias("mse"), F.var_pop("y").alias("variance"),
+    ).select(
+        "test_rows", (F.col("n") == F.col("test_rows")).alias("all_predicted"),
+        (F.col("mse") < F.col("variance")).alias("beats_mean"),
+        (F.abs(1 - F.col("mse") / F.col("variance") - r2) < 1e-4).alias("r2_agrees"),
+    )
+
 
+_REGRESS_SQL = """SELECT greatest(1, CAST(round(count(*) * 0.2) AS BIGINT)) AS test_rows,
+  TRUE AS all_predicted, TRUE AS beats_mean, TRUE AS r2_agrees FROM lineitem"""
 
-def _register(name: str, build) -> None:
+
+def _register(name: str, build, sql: str) -> None:
     build.__name__ = name
-    query()(build)
+    query(sql)(build)
 
 
 for _model in models.CLASSIFIERS:
-    _register(f"train_{_model.lower().replace(' ', '_')}_classes", lambda t, m=_model: _classify(t, m))
+    _register(f"train_{_model.lower().replace(' ', '_')}_classes", lambda t, m=_model: _classify(t, m),
+              _classify_sql(TWO_CLASSES))
 for _model in models.REGRESSORS:
-    _register(f"train_{_model.lower().replace(' ', '_')}_numbers", lambda t, m=_model: _regress(t, m))
+    _register(f"train_{_model.lower().replace(' ', '_')}_numbers", lambda t, m=_model: _regress(t, m),
+              _REGRESS_SQL)
 
 
-@query()
+@query(_classify_sql(THREE_CLASSES))
 def train_three_classes(t: Tables) -> DataFrame:
     """One model against the rest per class."""
     return _classify(t, "Gradient Boosting", THREE_CLASSES)
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT {TWO_CLASSES} AS y, count(*) AS n FROM lineitem GROUP BY 1),
+      f AS (SELECT unnest(range({FOLDS})) AS fold)
+    SELECT CAST(fold AS INTEGER) AS fold, TRUE AS beats_majority,
+      CAST(sum(n // {FOLDS} + CASE WHEN fold < n % {FOLDS} THEN 1 ELSE 0 END) AS BIGINT) AS n
+    FROM c, f GROUP BY fold"""
+)
 def cross_validated(t: Tables) -> DataFrame:
-    """Metrics with three folds."""
-    run = models.train(_items(t, TWO_CLASSES), "y", "id", "Logistic Regression", "classification",
-                       folds=3, **SMALL)
-    return run.metrics.select("metric", "value")
+    """Every fold with its rows, and whether the model fitted on the others beats the majority."""
+    dealt = materialise(kfold(_items(t, TWO_CLASSES), "id", "y", FOLDS), "folds")
+    scores = models.cross_validate(dealt, "y", "Logistic Regression", "classification", FEATURES, FOLDS, None)
+    classes = dealt.groupBy("y").agg(F.count("*").alias("n"))
+    share = classes.agg((F.max("n") / F.sum("n")).alias("share")).scalar()
+    return dealt.groupBy("fold").agg(F.count("*").alias("n")).join(scores, "fold").select(
+        "fold", "n", (F.col("score") > share).alias("beats_majority"))
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT count(*) AS n FROM lineitem), f AS (SELECT unnest(range({FOLDS})) AS fold)
+    SELECT CAST(fold AS INTEGER) AS fold, TRUE AS beats_mean,
+      CAST(n // {FOLDS} + CASE WHEN fold < n % {FOLDS} THEN 1 ELSE 0 END AS BIGINT) AS n FROM c, f"""
+)
+def cross_validated_numbers(t: Tables) -> DataFrame:
+    """Every fold with its rows, and whether the model fitted on the others beats the mean."""
+    dealt = materialise(kfold(_items(t, _NET), "id", None, FOLDS), "folds")
+    scores = models.cross_validate(dealt, "y", "Ridge Regression", "regression", FEATURES, FOLDS, None)
+    return dealt.groupBy("fold").agg(F.count("*").alias("n")).join(scores, "fold").select(
+        "fold", "n", (F.col("score") > 0).alias("beats_mean"))
+
+
+_IMPORTANCE_SQL = """SELECT feature, feature = 'l_quantity' AS largest, 1.0::DOUBLE AS total FROM (
+    SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature
+    UNION SELECT 'l_returnflag_' || l_returnflag FROM lineitem
+      WHERE l_returnflag > (SELECT min(l_returnflag) FROM lineitem)
+    UNION SELECT 'l_linestatus_' || l_linestatus FROM lineitem
+      WHERE l_linestatus > (SELECT min(l_linestatus) FROM lineitem))"""
+
+
+def _importance(data: DataFrame, model: str, task: str) -> DataFrame:
+    """Every feature, whether it is the most important, and the sum over all features."""
+    found = models.fit(data, "y", model, task, **SMALL).importance(data)
+    return found.select(
+        "feature",
+        (F.col("importance") == found.agg(F.max("importance").alias("m")).scalar()).alias("largest"),
+        F.round(found.agg(F.sum("importance").alias("s")).scalar(), 6).alias("total"),
+    )
+
+
+@query(_IMPORTANCE_SQL)
 def feature_importance(t: Tables) -> DataFrame:
-    data = _items(t, TWO_CLASSES).drop("id")
-    fitted = models.fit(data, "y", "Random Forest", "classification", **SMALL)
-    return fitted.importance(data)
+    return _importance(_items(t, TWO_CLASSES).drop("id"), "Random Forest", "classification")
 
 
-@query()
+@query(_IMPORTANCE_SQL)
 def ensemble_importance(t: Tables) -> DataFrame:
-    data = _items(t, _NET).drop("id")
-    return models.fit(data, "y", "Ensemble", "regression", **SMALL).importance(data)
+    return _importance(_items(t, _NET).drop("id"), "Ensemble", "regression")
+
 
+SHIPPED = "case when l_returnflag = 'N' then 'open' else 'closed' end"
 
-@query()
+
+@query(f"SELECT {', '.join(KEYS)}, {SHIPPED} AS y, {SHIPPED} AS prediction FROM lineitem")
 def predict_table(t: Tables) -> DataFrame:
-    """All line items with their predicted class."""
-    data = _items(t, TWO_CLASSES)
-    fitted = models.fit(data.drop("id"), "y", "Logistic Regression", "classification", **SMALL)
-    return fitted.predict(data).select("id", "y", "prediction")
+    """All line items with their predicted class, which one category decides."""
+    data = _keyed_items(t, SHIPPED)
+    fitted = models.fit(data, "y", "Logistic Regression", "classification", FEATURES)
+    return fitted.predict(data).select(*KEYS, "y", "prediction")
 
 
-@query()
+@query(f"SELECT {', '.join(KEYS)}, 1.0::DOUBLE AS total, TRUE AS likeliest FROM lineitem")
 def predict_probabilities(t: Tables) -> DataFrame:
-    data = _items(t, THREE_CLASSES)
-    fitted = models.fit(data.drop("id"), "y", "Random Forest", "classification", **SMALL)
+    """All line items: the sum of the class probabilities, and whether the predicted class has the largest."""
+    data = _keyed_items(t, THREE_CLASSES)
+    fitted = models.fit(data, "y", "Random Forest", "classification", FEATURES, **SMALL)
+    shares = [F.col(f"prob_class_{i}") for i in range(len(fitted.labels))]
+    place = F.array_position(F.lit(fitted.labels), F.col("prediction")).cast("int") - 1
     return fitted.predict_proba(data).select(
-        "id", "prediction", *[F.round(f"prob_class_{i}", 4).alias(f"prob_class_{i}") for i in range(3)]
-    )
+        *KEYS, F.round(sum(shares[1:], shares[0]), 6).alias("total"),
+        (F.get(F.array(*shares), place) == F.greatest(*shares)).alias("likeliest"))
 
 
 _ONE_FEATURE = """WITH s AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx,
