@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from gridlens.llm.shared import scratch, table
 
 CACHED_WORDS = 400_000
-LONGEST_CACHED = 48
+CACHED_IDS = 4_000_000
+WORDS_AT_ONCE = 4096
 ROWS_AT_ONCE = 1000
+LAST_MARKS = r"(\pL)([!-/:-@\[-`{-~]+)( |$)"
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -38,48 +40,81 @@ def word_bpe_path() -> str:
 
 
 class PieceEncoder:
-    """Encodes texts by the tokenizers library, one space- or newline-free piece at a time.
+    """Encodes texts by the tokenizers library, word by word.
 
     The tokenizer drops white space, lower-cases and never joins letters with other
-    characters, so the ids of a text are those of its pieces in order, and a word
-    before a full stop or comma can be encoded without it.  Words are kept in a
-    bounded table.
+    characters, so the ids of a text are those of its pieces between blanks in order,
+    and ASCII punctuation after a letter at a piece's end is a piece of its own.  The
+    ids of known words lie in one pool; texts are gathered from it as arrays.  A text
+    with "<|", which may spell a special token, is encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.marks = {m: self._encode([m])[0] for m in ".,"}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known, none = self.known, b""
-        parts = {}
-        for piece in set().union(*split):
-            word = piece[:-1] if piece[-1:] in self.marks else piece
-            if not word.isalpha():
-                word = piece
-            mark = self.marks[piece[-1]] if len(word) < len(piece) else none
-            # a sigma's lower case depends on its place in Python, not in the tokenizer
-            parts[piece] = (word.lower() if word.isalpha() and "\u03a3" not in word else word, mark)
-        words = {word for word, _ in parts.values()}
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
-        ids = {piece: known[word] + mark for piece, (word, mark) in parts.items()}
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                known.pop(w, None)
-        return [none.join([ids[p] for p in pieces]) for pieces in split]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, pieces: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of the pieces, as arrays to be joined, and how many each has."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [np.array(x, dtype=np.uint32) for x in found], [len(x) for x in found]
+
+    def _word_ids(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """The same for words of letters: encoded in one text, where each should be one token group."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(words))
+        if len(sizes) != len(words):  # a letter that normalises to more than letters
+            return self._ids(words)
+        return [np.array(found.ids, dtype=np.uint32)], sizes.tolist()
+
+    def _learn(self, new: list[str]) -> None:
+        words = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        parts, sizes = [], []
+        for pieces, ids_of in ((words, self._word_ids), (others, self._ids)):
+            for at in range(0, len(pieces), WORDS_AT_ONCE):
+                ids, counts = ids_of(pieces[at : at + WORDS_AT_ONCE])
+                parts += ids
+                sizes += counts
+        self.known.update(zip(words + others, range(len(self.known), len(self.known) + len(new))))
+        self.pool = np.concatenate([self.pool, *parts])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.array(sizes, dtype=np.int64))])
+
+    def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, each text's followed by end_id, and its bounds; null is empty."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring(texts, "<|")
+        plain = pc.replace_substring(pc.ascii_lower(pc.if_else(whole, "", texts)), "\n", " ")
+        split = pc.split_pattern(pc.replace_substring_regex(plain, LAST_MARKS, r"\1 \2\3"), " ")
+        coded = split.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > CACHED_WORDS or len(self.pool) > CACHED_IDS:
+            self._forget()
+            new = pieces
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))[coded.indices.to_numpy()]
+        sizes = self.bounds[at + 1] - self.bounds[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.bounds[at] - ends[:-1], sizes)]
+        bounds = ends[split.offsets.to_numpy()]
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False))[::-1]:
+            own = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.insert(ids, bounds[k], own)
+            bounds[k + 1 :] += len(own)
+        return np.insert(ids, bounds[1:], end_id).astype("<u4"), bounds + np.arange(len(bounds))
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker, so that a word is encoded once per worker."""
+    return PieceEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: int | None = None, text: str = "text") -> None:
@@ -97,19 +132,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fi
     keys = [F.col("doc_id").asc_nulls_first()]
     rows = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
     rows = rows.sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, start = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, start = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                ids = [x + end for x in encoder.batch(batch.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
-                columns = [batch.column("doc_id"), pa.array(np.full(len(ids), shard), pa.int32()), pa.array(start + ends[:-1], pa.int64()), pa.array(sizes, pa.int64()), tokens]
-                start += int(ends[-1])
+                ids, bounds = encoder.batch(batch.column("text"), end_id)
+                n = batch.num_rows
+                tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+                columns = [batch.column("doc_id"), pa.array(np.full(n, shard), pa.int32()), pa.array(start + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), tokens]
+                start += int(bounds[-1])
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "start", "n_tokens", "tokens"])
 
     rows.mapInArrow(encode, FILE_SCHEMA.format(kind=kind)).write.options(**ORC_OPTIONS).orc(path)

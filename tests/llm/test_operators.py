@@ -6,6 +6,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -108,13 +109,23 @@ def test_token_files(spark, folder, odd, none):
         assert got == want
 
 
-def test_pieces_encode_like_whole_texts():
+def test_pieces_encode_like_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokens.word_bpe_path())
-    texts = ["A,b. C.. ΟΔΟΣ, ΣΑΣ. İstanbul, I'll don't. x.y, <|endoftext|> <|ENDOFTEXT|>, ..., é́, 12, a1, \t tab nb,", "É. é. Straße, ŉ. ﬁ,"]
-    got = tokens.PieceEncoder(tokens.word_bpe_path()).batch(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = [
+        "A,b. C.. ΟΔΟΣ, ΣΑΣ. İstanbul, I'll don't. x.y, <|endoftext|> <|ENDOFTEXT|>, ..., é́, 12, a1, \t tab nb,",
+        "É. é. Straße, ŉ. ﬁ,", None, "", "  ", "a\n\nb### c.\ndef,\n", "<|x a.|> b.", "… abc…. abc.… 5. ٣. 五.", "क़क. xक़", "a\u0338. a.\u0338 \u0338",
+        "각. ᄀ ᅡ", "ab.'s ab.' s it's'. 's", "x" * 5000, "a\x0bb\x0cc. d\u0085e.\u2003f",
+    ]
+    for limit in (tokens.CACHED_WORDS, 3):
+        monkeypatch.setattr(tokens, "CACHED_WORDS", limit)
+        encoder = tokens.PieceEncoder(tokens.word_bpe_path())
+        for _ in range(2):
+            ids, bounds = encoder.batch(pa.array(texts, pa.string()), 1)
+            got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+            assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert [len(x) for x in encoder.batch(pa.array([], pa.string()), 1)] == [0, 1]
 
 
 def test_length_report(spark, folder, odd, none):
