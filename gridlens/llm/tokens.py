@@ -154,7 +154,8 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
     sizes = rows.groupBy("shard").agg(F.max(F.col("start") + F.col("n_tokens")).alias("_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base"))
-    joined = rows.join(bases, F.col("shard") == F.col("_shard"))
+    # one row per shard, and shards are as many as the writer's partitions: small however long the texts are
+    joined = rows.join(F.broadcast(bases), F.col("shard") == F.col("_shard"))
     return joined.select("doc_id", (F.col("start") + F.col("_base")).alias("start"), "tokens")
 
 
