@@ -44,11 +44,12 @@ class FeatureModel:
 
 
 def _as_number(df: DataFrame, name: str) -> str:
-    """SQL text for a column as a double; dates become seconds."""
+    """SQL text for a column as a double; dates become seconds, NaN and infinite
+    values are missing."""
     c = "`" + name.replace("`", "``") + "`"
     if name in temporal_columns(df):
         return f"cast(unix_micros(cast({c} as timestamp)) / 1e6 as double)"
-    return f"nullif(cast({c} as double), double('NaN'))"
+    return f"if(abs(cast({c} as double)) < double('inf'), cast({c} as double), null)"
 
 
 def fit_features(df: DataFrame, columns: Sequence[str] | None = None) -> FeatureModel:

@@ -19,6 +19,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,11 +184,9 @@ def fourier_features(dims: int, gamma: float, size: int, seed: int) -> Callable[
 def _fit_svm(df: DataFrame, classes: int, fourier: int = 200, iterations: int = 100,
              **_: Any) -> Member:
     """RBF support vectors, approximated: Spark has linear ones only."""
-    values = vector_to_array(FEATURES)
-    shape = df.select(F.size(values).alias("d"), F.explode(values).alias("x")).agg(
-        F.max("d").alias("d"), F.var_pop("x").alias("v")
-    ).first()
-    mapping = fourier_features(shape["d"], 1.0 / (shape["d"] * (shape["v"] or 1.0)), fourier, SEED)
+    # scaled columns have variance 1 and constant ones 0, so features times variance is the number of varying ones
+    variance = df.select(Summarizer.variance(F.col(FEATURES)).alias("v")).first()["v"].toArray()
+    mapping = fourier_features(len(variance), 1.0 / max(1, int((variance > 1e-9).sum())), fourier, SEED)
     ready = mapping(df).persist(StorageLevel.MEMORY_AND_DISK)
     n = ready.count()
     try:

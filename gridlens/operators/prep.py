@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlens.functions.columns import (
+    NESTED_TYPES,
     boolean_columns,
     categorical_columns,
     is_missing,
     nan_to_null,
+    nested_columns,
     numeric_columns,
     quoted,
     require_columns,
@@ -101,8 +103,8 @@ def categories(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, l
     rows = value_counts(df, columns).limit(limit + 1).collect() if columns else []
     if len(rows) > limit:
         raise ValueError(
-            f"over {limit} categories in {list(columns)}: use the sparse encoding of "
-            "feature_stages instead of one column per category"
+            f"over {limit} categories in {list(columns)}, one column each: give a higher limit, or "
+            "use label_encode or the sparse encoding of features.fit_features"
         )
     found: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
@@ -138,7 +140,8 @@ def fill_values(df: DataFrame, strategy: str = "median") -> DataFrame:
     """(column, kind, number, text): the value that would replace missing cells.
 
     Numbers take the median, the mean or 0; booleans false; other columns
-    their most frequent value (the smallest of equals), or "unknown".
+    their most frequent value (the smallest of equals), or "unknown"; nested
+    ones are compared and given as JSON.
     """
     if strategy not in ("median", "mean", "zero"):
         raise ValueError("strategy is median, mean or zero")
@@ -166,7 +169,9 @@ def fill_values(df: DataFrame, strategy: str = "median") -> DataFrame:
         parts.append(spark.createDataFrame([(c, "boolean", 0.0, "false") for c in flags],
                                            "column string, kind string, number double, text string"))
     if others:
-        modes = value_counts(clean, others).groupBy("column").agg(
+        nested = set(nested_columns(df))
+        plain = clean.select(*[F.to_json(quoted(c)).alias(c) if c in nested else quoted(c) for c in others])
+        modes = value_counts(plain, others).groupBy("column").agg(
             F.min(F.struct(-F.col("n"), F.col("value"))).alias("best")
         )
         names = spark.createDataFrame([(c,) for c in others], "column string")
@@ -196,6 +201,11 @@ def fill_missing(df: DataFrame, strategy: str = "median") -> DataFrame:
         v = values.get(c)
         number = v is not None and v["kind"] == "numeric"
         fill = None if v is None else (v["number"] if number else v["text"])
+        if isinstance(types[c], NESTED_TYPES) and fill is not None:
+            # a column without any value stays as it is
+            known = F.from_json(F.lit(fill), types[c]) if fill != "unknown" else F.lit(None)
+            out.append(F.coalesce(quoted(c), known).alias(c))
+            continue
         if fill is None:
             out.append(quoted(c))
             continue

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import (
+    boolean_columns,
     categorical_columns,
     is_missing,
     nan_to_null,
     numeric_columns,
     quoted,
     require_columns,
+    temporal_columns,
     type_class,
 )
 from gridlens.operators.ranking import quantiles
@@ -192,13 +195,33 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     )
 
 
+def describe_temporal(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, count, first, last) of dates and timestamps, the ends as text."""
+    columns = list(temporal_columns(df) if columns is None else columns)
+    wide = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(quoted(c)).alias("count"),
+                F.min(quoted(c)).cast("string").alias("first"),
+                F.max(quoted(c)).cast("string").alias("last"),
+            ).alias(f"s{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    return wide.select(_rows([F.col(f"s{i}") for i in range(len(columns))])).select("r.*")
+
+
 def describe(df: DataFrame) -> DataFrame:
-    """Both kinds in one table; cells that do not apply are NULL."""
-    numeric = describe_numeric(df) if numeric_columns(df) else None
-    text = describe_categorical(df) if categorical_columns(df) else None
-    if numeric is None or text is None:
-        return numeric if text is None else text
-    return numeric.unionByName(text, allowMissingColumns=True)
+    """All kinds in one table: numbers, then text and booleans, then dates; cells
+    that do not apply are NULL.  Nested columns are left out."""
+    named = [*categorical_columns(df), *boolean_columns(df)]
+    parts = [describe_numeric(df)] if numeric_columns(df) else []
+    parts += [describe_categorical(df, named)] if named else []
+    parts += [describe_temporal(df)] if temporal_columns(df) else []
+    if not parts:
+        raise ValueError("no column to describe")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def class_distribution(df: DataFrame, column: str) -> DataFrame:

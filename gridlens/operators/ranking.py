@@ -161,16 +161,15 @@ def top_k_per_group(
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-    accuracy: int = 2_000, in_memory_rows: int = 1_000_000,
+    accuracy: int = 2_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as rows
     (by..., column, n, q0, q1, ...).
 
-    Up to ``in_memory_rows`` the distinct values of a group are put in order by
-    one task.  For larger tables sketches bracket each wanted rank, then one
-    counting pass keeps the values inside the brackets, under a hundredth of
-    all, and only counts the rest.  The kept values are ordered in pieces,
-    whose totals tell the piece that holds the rank.
+    Sketches bracket each wanted rank, then one counting pass keeps the values
+    inside the brackets, under a hundredth of a large table, and only counts the
+    rest.  The kept values are ordered in pieces, whose totals tell the piece that
+    holds the rank.  Tables of all sizes take this path.
     """
     by = list(by)
     if not columns:
@@ -179,10 +178,7 @@ def quantiles(
         *[quoted(b).alias(b) for b in by],
         *[_number(quoted(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)],
     )
-    if work.count() <= in_memory_rows:
-        ranked = _ranked_values(work, len(columns), by)
-    else:
-        ranked = _ranked_pieces(work, len(columns), probs, by, accuracy)
+    ranked = _ranked_pieces(work, len(columns), probs, by, accuracy)
     spots = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
 
     def at(rank: Column) -> Column:
@@ -210,27 +206,10 @@ def quantiles(
     )
 
 
-def _ranked_values(work: DataFrame, n_columns: int, by: Sequence[str]) -> DataFrame:
-    """(by..., c, value, cnt, upto, n): distinct values in order, for tables of a
-    checked size."""
-    group = [*by, "c"]
-    cells = [F.struct(F.lit(i).alias("c"), F.col(f"_v{i}").alias("value")) for i in range(n_columns)]
-    counted = (
-        work.select(*by, F.explode(F.array(*cells)).alias("r"))
-        .where("r.value is not null")
-        .groupBy(*by, "r.c", "r.value")
-        .agg(F.count("*").alias("cnt"))
-    )
-    running = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("upto", F.sum("cnt").over(running)).withColumn(
-        "n", F.sum("cnt").over(Window.partitionBy(*group))
-    )
-
-
 def _ranked_pieces(
     work: DataFrame, n_columns: int, probs: Sequence[float], by: Sequence[str], accuracy: int
 ) -> DataFrame:
-    """The same columns, but only values near the wanted ranks."""
+    """(by..., c, value, cnt, upto, n): distinct values near the wanted ranks, in order."""
     cuts = _rank_brackets(work, n_columns, probs, by, accuracy)
     if by:
         work = lookup_join(work, cuts, by)

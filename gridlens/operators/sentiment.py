@@ -11,7 +11,6 @@ from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridlens.functions.columns import quoted
 from gridlens.operators.text import non_blank
@@ -37,23 +36,21 @@ def score_text(
     """Score whole non-blank texts by a model of the caller.
 
     ``load`` runs once per task and returns a function from a series of texts
-    to a frame with columns label and score.
+    to a frame with columns label and score.  Only the texts go to Python, and
+    only label and score come back.
     """
     kept = [c for c in df.columns if c != text]
     ready = non_blank(df, text).withColumnRenamed(text, "_text")
-    schema = T.StructType(
-        [*ready.schema.fields, T.StructField("_label", T.StringType()),
-         T.StructField("_score", T.DoubleType())]
-    )
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("label string, score double")
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for batch in batches:
-            found = scorer(batch["_text"])
-            yield batch.assign(_label=found["label"].to_numpy(), _score=found["score"].to_numpy())
+            found = scorer(batch)
+            yield pd.DataFrame({"label": found["label"].to_numpy(), "score": found["score"].to_numpy()})
 
-    scored = ready.mapInPandas(work, schema)
-    return scored.select(*_record(kept, F.col("_text"), F.col("_label"), F.col("_score")))
+    scored = ready.withColumn("_found", work("_text"))
+    return scored.select(*_record(kept, F.col("_text"), F.col("_found.label"), F.col("_found.score")))
 
 
 def train_sentiment(df: DataFrame, text: str, label: str, width: int = 1 << 16) -> PipelineModel:

@@ -116,6 +116,31 @@ def describe_categorical(t: Tables) -> DataFrame:
     return prof.describe_categorical(t.orders)
 
 
+_ALL_KINDS = """SELECT "column", count, round(mean, 4) AS mean, round(std, 4) AS std, round(min, 4) AS min,
+  round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75, round(max, 4) AS max, "unique", top, freq, first, last FROM ("""
+_NO_NUMBERS = "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS q25, NULL::DOUBLE AS q50, NULL::DOUBLE AS q75, NULL::DOUBLE AS max"
+_NO_NAMES = "NULL::BIGINT AS \"unique\", NULL::VARCHAR AS top, NULL::BIGINT AS freq"
+_ORDERS_FLAGGED = "(SELECT *, o_orderstatus = 'F' AS finished FROM orders)"
+
+
+@query(
+    _ALL_KINDS
+    + _each(("o_orderkey", "o_custkey", "o_totalprice"), """SELECT '{c}' AS "column", count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std,
+      CAST(min({c}) AS DOUBLE) AS min, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50,
+      quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, CAST(max({c}) AS DOUBLE) AS max, """ + _NO_NAMES + """,
+      NULL::VARCHAR AS first, NULL::VARCHAR AS last FROM orders""")
+    + " UNION ALL "
+    + _each(("o_orderstatus", "o_orderpriority", "finished"), """SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS count, """ + _NO_NUMBERS + """,
+      count(*) AS "unique", (array_agg(v ORDER BY n DESC, v))[1] AS top, max(n) AS freq, NULL::VARCHAR AS first, NULL::VARCHAR AS last
+      FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM """ + _ORDERS_FLAGGED + """ WHERE {c} IS NOT NULL GROUP BY {c})""")
+    + """ UNION ALL SELECT 'o_orderdate' AS "column", count(o_orderdate) AS count, """ + _NO_NUMBERS + ", " + _NO_NAMES + """,
+      CAST(min(o_orderdate) AS VARCHAR) AS first, CAST(max(o_orderdate) AS VARCHAR) AS last FROM orders)"""
+)
+def describe_all(t: Tables) -> DataFrame:
+    """Numbers, text, a boolean and a timestamp in one table."""
+    return rounded(prof.describe(t.orders.withColumn("finished", F.col("o_orderstatus") == "F")))
+
+
 @query(
     f"""SELECT event_type AS value, count(*) AS count,
       round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 4) AS share

@@ -101,8 +101,3 @@ def rounded(df: DataFrame, digits: int = 4, **other: int) -> DataFrame:
             for c in df.columns
         ]
     )
-
-
-def per_column(sql_by_column: dict[str, str]) -> str:
-    """UNION ALL of one SELECT per column."""
-    return " UNION ALL ".join(sql_by_column.values())

@@ -21,38 +21,43 @@ class Exporter:
         self.written: list[tuple[str, str, str]] = []
 
     def _path(self, name: str, kind: str) -> str:
-        path = f"{self.folder}/{name}.{kind}"
-        self.written.append((name, kind, path))
-        return path
+        return f"{self.folder}/{name}.{kind}"
+
+    def _done(self, name: str, kind: str) -> str:
+        """Lists an output, once it has been written."""
+        self.written.append((name, kind, self._path(name, kind)))
+        return self._path(name, kind)
 
     def to_csv(self, df: DataFrame, name: str, one_file: bool = False) -> str:
         """Header, overwrite; nested columns as JSON.  ``one_file`` is for tables
         known to be small: a single task writes them."""
         nested = set(nested_columns(df))
         flat = df.select(*[F.to_json(quoted(c)).alias(c) if c in nested else quoted(c) for c in df.columns])
-        path = self._path(name, "csv")
         (flat.coalesce(1) if one_file else flat).write.mode("overwrite").option(
             "header", True
-        ).option("escape", '"').csv(path)
-        return path
+        ).option("escape", '"').csv(self._path(name, "csv"))
+        return self._done(name, "csv")
 
     def to_parquet(self, df: DataFrame, name: str) -> str:
-        path = self._path(name, "parquet")
-        df.write.mode("overwrite").parquet(path)
-        return path
+        df.write.mode("overwrite").parquet(self._path(name, "parquet"))
+        return self._done(name, "parquet")
 
     def to_json(self, df: DataFrame, name: str) -> str:
         """One record per line."""
-        path = self._path(name, "json")
-        df.write.mode("overwrite").json(path)
-        return path
+        df.write.mode("overwrite").json(self._path(name, "json"))
+        return self._done(name, "json")
 
     def export_all(self, tables: dict[str, DataFrame], include_parquet: bool = True) -> list[str]:
+        """CSV and parquet of each table; the CSV is made from the written parquet, so
+        that a table is computed once."""
         paths = []
         for name, df in tables.items():
+            if include_parquet:
+                df.write.mode("overwrite").parquet(self._path(name, "parquet"))
+                df = self.spark.read.schema(df.schema).parquet(self._path(name, "parquet"))
             paths.append(self.to_csv(df, name))
             if include_parquet:
-                paths.append(self.to_parquet(df, name))
+                paths.append(self._done(name, "parquet"))
         return paths
 
     def exported(self) -> DataFrame:

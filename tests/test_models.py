@@ -129,3 +129,10 @@ def test_top_labels(spark):
     assert [(r["rank"], r["label"]) for r in rows] == [(1, "Big Cat"), (2, "Dog")]
     p = np.exp([0, 3, 1]) / np.exp([0, 3, 1]).sum()
     assert rows[0]["score"] == round(p[1], 4) and rows[0]["confidence"] == f"{p[1] * 100:.2f}%"
+
+
+def test_infinite_values_count_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("inf"),), (float("-inf"),), (float("nan"),)], "x double")
+    got = np.array([r["features"][0] for r in fit_features(df).transform(df).collect()])
+    filled = np.array([1, 2, 4, 2, 2, 2], dtype=float)
+    np.testing.assert_allclose(got, (filled - filled.mean()) / filled.std(), rtol=1e-12)

@@ -93,3 +93,11 @@ def test_split_and_folds_agree_with_their_parts(spark):
     assert sorted(both.drop("fold").collect()) == sorted(one.collect())
     sizes = [r["count"] for r in both.groupBy("y", "fold").count().collect()]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_nested_columns_take_their_most_frequent_value(spark):
+    df = spark.sql("select * from values (1, array(1, 2), map('a', 1)), (2, array(1, 2), null), (3, null, map('a', 1)), (4, array(3), map('b', 2)) as t(id, a, m)")
+    empty = df.select("id", F.lit(None).cast("array<int>").alias("a"))
+    rows = {r["id"]: r for r in prep.fill_missing(df).collect()}
+    assert rows[3]["a"] == [1, 2] and rows[2]["m"] == {"a": 1} and rows[4]["a"] == [3]
+    assert {r["a"] for r in prep.fill_missing(empty).collect()} == {None}

@@ -62,6 +62,14 @@ def test_describe_puts_both_kinds_together(spark):
     assert rows["n"]["q50"] == 2.0 and rows["n"]["unique"] is None
 
 
+def test_describe_covers_booleans_and_dates(spark):
+    df = spark.sql("select id % 3 = 0 as flag, date_add(date'2024-01-01', cast(id as int)) as day, array(id) as a from range(7)")
+    rows = {r["column"]: r for r in profile.describe(df).collect()}
+    assert (rows["flag"]["count"], rows["flag"]["top"], rows["flag"]["freq"], rows["flag"]["unique"]) == (7, "false", 4, 2)
+    assert (rows["day"]["count"], rows["day"]["first"], rows["day"]["last"]) == (7, "2024-01-01", "2024-01-07")
+    assert set(rows) == {"flag", "day"}
+
+
 def test_group_mean_drops_missing_groups(spark):
     df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", None)], "g string, v double")
     assert [tuple(r) for r in chartdata.group_mean(df, "g", "v").collect()] == [("a", 1.0), ("b", None)]

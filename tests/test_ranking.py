@@ -50,15 +50,14 @@ def test_bucketed_row_number_equals_plain(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles_equal_numpy(spark, limit, by):
+def test_quantiles_equal_numpy(spark, by):
     rnd = np.random.default_rng(3)
     values = np.concatenate([rnd.normal(0, 1, 40000), np.full(20000, 0.25), rnd.exponential(9, 5000)])
     keys = np.where(np.arange(values.size) % 3 == 0, "hot", "other")
     df = spark.createDataFrame([(str(k), float(v)) for k, v in zip(keys, values)], "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = ranking.quantiles(df.repartition(5), ["v"], probs, by, in_memory_rows=limit).collect()
+    got = ranking.quantiles(df.repartition(5), ["v"], probs, by).collect()
     assert len(got) == (2 if by else 1)
     for r in got:
         mine = values[keys == r["g"]] if by else values
@@ -66,10 +65,9 @@ def test_quantiles_equal_numpy(spark, limit, by):
         np.testing.assert_allclose([r[f"q{j}"] for j in range(5)], np.quantile(mine, probs), rtol=1e-12)
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_quantiles_skip_missing(spark, limit):
+def test_quantiles_skip_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (4.0,)], "x double")
-    row = ranking.quantiles(df, ["x"], [0.5], in_memory_rows=limit).first()
+    row = ranking.quantiles(df, ["x"], [0.5]).first()
     assert (row["n"], row["q0"]) == (2, 2.5)
 
 
