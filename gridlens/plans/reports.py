@@ -185,6 +185,40 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return loaded.withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def csv_all_columns(t: Tables) -> DataFrame:
+    """Every column of the orders as CSV and back, by a schema and in splits."""
+    out = export.Exporter(t.spark, new_path(t.spark, "csv"))
+    schema = ", ".join(f"{name} {kind}" for name, kind in t.orders.dtypes)
+    return files.auto_load(t.spark, out.to_csv(t.orders, "orders"), schema, multi_line=False)[0]
+
+
+@query(
+    """SELECT 'nation.csv' AS name, 'csv' AS kind, count(*) AS rows FROM nation
+    UNION ALL SELECT 'supplier.json', 'json', count(*) FROM supplier
+    UNION ALL SELECT 'customer.txt', 'text', count(*) FROM customer
+    UNION ALL SELECT 'region.parquet', 'unknown', count(*) FROM region"""
+)
+def catalog_of_exports(t: Tables) -> DataFrame:
+    """Kinds in the catalogue of written tables, beside the rows read back from each."""
+    out = export.Exporter(t.spark, new_path(t.spark, "catalog"))
+    read = {
+        "nation.csv": files.read_csv(t.spark, out.to_csv(t.nation, "nation")),
+        "supplier.json": files.read_json(t.spark, out.to_json(t.supplier, "supplier"), lines=True),
+        "region.parquet": t.spark.read.parquet(out.to_parquet(t.region, "region")),
+    }
+    names = f"{out.folder}/customer.txt"
+    t.customer.select("c_name").write.text(names)
+    read["customer.txt"] = t.spark.read.text(names)
+    counts = None
+    for name, df in read.items():
+        part = df.agg(F.count("*").alias("rows")).withColumn("name", F.lit(name))
+        counts = part if counts is None else counts.unionByName(part)
+    listed = files.file_catalog(t.spark, f"{out.folder}/*")
+    kinds = listed.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("name"), "kind").distinct()
+    return kinds.join(counts, "name").select("name", "kind", "rows")
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def json_round_trip(t: Tables) -> DataFrame:
     out = export.Exporter(t.spark, new_path(t.spark, "json"))

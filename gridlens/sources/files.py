@@ -78,13 +78,19 @@ def detect_kind(path: str) -> str:
     return KIND_BY_SUFFIX.get(name[dot:].lower(), "unknown") if dot > 0 else "unknown"
 
 
-def auto_load(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Load by suffix; returns the rows and dataframe, image or text."""
+def auto_load(
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
+) -> tuple[DataFrame, str]:
+    """Load by suffix; returns the rows and dataframe, image or text.
+
+    ``schema`` saves CSV and JSON the pass that infers types; without
+    ``multi_line`` they have one record per line and can be split.
+    """
     kind = detect_kind(path)
     if kind == "csv":
-        return read_csv(spark, path), "dataframe"
+        return read_csv(spark, path, schema, multi_line), "dataframe"
     if kind == "json":
-        return read_json(spark, path), "dataframe"
+        return read_json(spark, path, schema, lines=not multi_line), "dataframe"
     if kind == "image":
         return read_images(spark, path), "image"
     if kind == "text":
