@@ -1,12 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-A window of an item's length can only be similar to it if they share a shingle, so
-windows are placed where a document holds a shingle of the item, at the item's
-alignment; no window with a common shingle is left out.  Each window and item gets
-a 64-bit SimHash of its shingles, weighted by their number.  The hash is cut into 16
-blocks of 4 bits; items are listed under every block value that differs in at most
-one bit, so every pair within distance 31 meets in a block.  Pairs within RADIUS
-are checked by the weighted Jaccard similarity of their shingles.
+Windows of every item length slide over the text by single words, so the order of an
+item's parts does not matter.  A window that is similar enough holds a least number of
+shingles that stand in items of its length; every start with so many is fingerprinted,
+and the others cannot pass the exact check.  Each window and item gets a 64-bit SimHash
+of its shingles, weighted by their number.  The hash is cut into 16 blocks of 4 bits;
+items are listed under every block value that differs in at most one bit, so every pair
+within distance 31 meets in a block.  Pairs within RADIUS are checked by the weighted
+Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -71,6 +72,27 @@ def benchmark_items(benchmark: DataFrame, id_column: str, text: str) -> DataFram
     return written(items.withColumn("fingerprint", simhash(F.col("hashes"))), "items")
 
 
+def starts(at: Column, n: Column, length: Column, percent: int) -> Column:
+    """Starts of all windows of `length` words in a text of n that can be similar enough to an item of that length.
+
+    `at`: ascending places of the text's shingles that stand in items of the length.
+    A window and an item share at most as many shingles, repeated ones counted, as
+    the window has such places, and the threshold asks for `need` shared ones.  So
+    `need` places in a row allow the starts from which all of them are inside.
+    """
+    k = F.least(length, F.lit(SHINGLE))
+    own = F.least(length, n) - k + 1
+    wanted = (length - k + 1 + own) * percent + (100 + percent - 1)
+    need = F.greatest(F.lit(1), ((wanted - F.pmod(wanted, F.lit(100 + percent))) / (100 + percent)).cast("int"))
+    none = F.array().cast("array<int>")
+
+    def around(i: Column) -> Column:
+        low, high = F.greatest(F.lit(0), F.get(at, i + need - 1) - (own - 1)), F.least(F.get(at, i), F.greatest(F.lit(0), n - length))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    return F.when(F.size(at) < need, none).otherwise(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), around))))
+
+
 def small(df: DataFrame) -> DataFrame:
     """A stored table of numbers: broadcast if it has few rows, else left to a shuffled join."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -88,7 +110,7 @@ def leaks(
     items = benchmark_items(benchmark, item_id, item_text)
     keyed = docs.select(F.xxhash64(text).alias("key_1"), F.xxhash64(F.col(text), F.lit(1)).alias("key_2"), F.col(text).alias("_text"))
 
-    grams = items.select("k", "length", F.posexplode("hashes").alias("offset", "hash")).distinct()
+    grams = items.select("k", "length", F.explode("hashes").alias("hash")).distinct()
     grams = small(written(grams, "grams"))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # five values at most
     hits = None
@@ -96,18 +118,20 @@ def leaks(
         words = keyed.select("key_1", "key_2", words_of(F.col("_text")).alias("w"))
         runs = words.select("key_1", "key_2", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), k)).alias("at", "hash"))
         found = runs.join(grams.where(F.col("k") == k), "hash")
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("length")))
-        found = found.select("key_1", "key_2", start.alias("start"), "length")
+        found = found.select("key_1", "key_2", "n", "length", "at")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         empty = "key_1 long, key_2 long, item_id " + benchmark.schema[item_id].dataType.simpleString() + ", similarity double, word_start int"
         return docs.sparkSession.createDataFrame([], empty)
-    places = hits.distinct().groupBy("key_1", "key_2").agg(F.collect_list(F.struct("start", "length")).alias("places"))
+    places = hits.distinct().groupBy("key_1", "key_2", "n", "length").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    places = places.select("key_1", "key_2", F.struct("length", starts(F.col("at"), F.col("n"), F.col("length"), percent).alias("starts")).alias("place"))
+    places = places.where(F.size("place.starts") > 0).groupBy("key_1", "key_2").agg(F.collect_list("place").alias("places"))
     places = written(places, "places")
 
     texts = keyed.join(places, ["key_1", "key_2"]).groupBy("key_1", "key_2").agg(F.any_value("_text").alias("_text"), F.any_value("places").alias("places"))
     windows = texts.select("key_1", "key_2", words_of(F.col("_text")).alias("w"), "places")
-    windows = windows.select("key_1", "key_2", "w", shingles(F.col("w"), SHINGLE).alias("s"), F.explode("places").alias("p"))
+    windows = windows.select("key_1", "key_2", "w", shingles(F.col("w"), SHINGLE).alias("s"), F.explode("places").alias("place"))
+    windows = windows.select("key_1", "key_2", "w", "s", F.explode(F.transform("place.starts", lambda x: F.struct(x.alias("start"), F.col("place.length").alias("length")))).alias("p"))
     hashes = F.slice("s", F.col("p.start") + 1, F.greatest(F.least(F.col("p.length"), F.size("w")) - (SHINGLE - 1), F.lit(0)))
     for k in sizes:
         if k < SHINGLE:
