@@ -20,7 +20,7 @@ from gridlens.llm.shared import table, written
 SHINGLE = 5
 BLOCKS, BITS = 16, 4
 RADIUS = 26
-BROADCAST_ROWS = 500_000
+BROADCAST_CELLS = 500_000
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -62,13 +62,13 @@ def similarity(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def benchmark_items(benchmark: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Stored items with words: item_id, length, k (words per shingle), hashes, fingerprint."""
-    items = benchmark.select(F.col(id_column).alias("item_id"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
+    """Stored distinct items with words: item (own key, never null), item_id, length, k (words per shingle), hashes, fingerprint."""
+    items = benchmark.select(F.col(id_column).alias("item_id"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
     k = F.least(F.size("w"), F.lit(SHINGLE))
     hashes = shingles(F.col("w"), SHINGLE)
     for short in range(1, SHINGLE):
         hashes = F.when(F.size("w") == short, shingles(F.col("w"), short)).otherwise(hashes)
-    items = items.select("item_id", F.size("w").alias("length"), k.alias("k"), hashes.alias("hashes"))
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("w").alias("length"), k.alias("k"), hashes.alias("hashes"))
     return written(items.withColumn("fingerprint", simhash(F.col("hashes"))), "items")
 
 
@@ -94,8 +94,9 @@ def starts(at: Column, n: Column, length: Column, percent: int) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A stored table of numbers: broadcast if it has few rows, else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A stored table of numbers and arrays of numbers: broadcast if rows and array elements are few, else left to a shuffled join."""
+    cells = sum((F.size(c) for c, kind in df.dtypes if kind.startswith("array")), F.lit(1))
+    return F.broadcast(df) if (df.agg(F.sum(cells)).first()[0] or 0) <= BROADCAST_CELLS else df
 
 
 def leaks(
@@ -105,7 +106,9 @@ def leaks(
 
     Copies of a text count once.  Items of fewer than five words are one shingle of
     all their words.  Null and empty texts and items match nothing; of several
-    windows for an item the most similar, then the first is given.
+    windows for an item the most similar, then the first is given.  Items with one id
+    count as one item; those with a null id are items of their own, told apart by
+    their words, and are reported with a null item_id.
     """
     items = benchmark_items(benchmark, item_id, item_text)
     keyed = docs.select(F.xxhash64(text).alias("key_1"), F.xxhash64(F.col(text), F.lit(1)).alias("key_2"), F.col(text).alias("_text"))
@@ -142,19 +145,20 @@ def leaks(
 
     flips = [0] + [1 << b for b in range(BITS)]
     listed = items.select(
-        "item_id", "length", "fingerprint", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("fingerprint"), k).bitwiseXOR(f).alias("v")) for k in range(BLOCKS) for f in flips])).alias("block")
+        "item", "length", "fingerprint", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("fingerprint"), k).bitwiseXOR(f).alias("v")) for k in range(BLOCKS) for f in flips])).alias("block")
     )
-    listed = small(written(listed.select("item_id", "length", "fingerprint", "block.k", "block.v"), "blocks"))
+    listed = small(written(listed.select("item", "length", "fingerprint", "block.k", "block.v"), "blocks"))
     probes = windows.select("key_1", "key_2", "start", "length", "mark", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("mark"), k).alias("v")) for k in range(BLOCKS)])).alias("block"))
     probes = probes.select("key_1", "key_2", "start", "length", "mark", "block.k", "block.v")
     near = probes.join(listed, ["length", "k", "v"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("fingerprint"))) <= RADIUS)
-    near = near.select("key_1", "key_2", "start", "length", "item_id").distinct()
-    near = near.join(windows, ["key_1", "key_2", "start", "length"]).join(small(items).select(F.col("item_id"), F.col("hashes")), "item_id")
+    near = near.select("key_1", "key_2", "start", "length", "item").distinct()
+    near = near.join(windows, ["key_1", "key_2", "start", "length"]).join(small(items.select("item", "hashes")), "item")
     common, total = similarity(F.col("window"), F.col("hashes"))
     near = near.withColumn("common", common).withColumn("total", F.size("window") + F.size("hashes") - F.col("common"))
     near = near.where(F.col("common") * 100 >= F.col("total") * percent)
     best = F.min(F.struct((-F.col("common") / F.col("total")).alias("s"), F.col("start").alias("at"))).alias("best")
-    out = near.groupBy("key_1", "key_2", "item_id").agg(best)
+    named = near.join(items.select("item", "item_id"), "item").withColumn("_unnamed", F.when(F.col("item_id").isNull(), F.col("item")))
+    out = named.groupBy("key_1", "key_2", "item_id", "_unnamed").agg(best)
     return written(out.select("key_1", "key_2", "item_id", (-F.col("best.s")).alias("similarity"), F.col("best.at").alias("word_start")), "leaks")
 
 

@@ -44,3 +44,20 @@ def test_leaks_by_all_windows(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["word_start"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_leaks_of_items_without_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    bench = spark.createDataFrame([(None, a), (None, b), (None, b), (1, a), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, "x " + b), (3, a + " " + b), (4, "clean words"), (None, b)], "doc_id long, text string")
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0, r["word_start"]) for r in rows) == [(0, 0, 0), (1, 0, 0), (1, 1, 0), (2, 0, 1), (3, 0, 0), (3, 0, 20), (3, 1, 0)]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()] == [4]
+
+
+def test_broadcast_counts_array_elements(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_CELLS", 10)
+    df = spark.createDataFrame([(1, [1] * 4), (2, [2] * 4)], "item long, hashes array<long>")
+    plan = lambda x: x._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(decontaminate.small(df.select("item"))) and "broadcast" in plan(decontaminate.small(df.limit(1)))
+    assert "broadcast" not in plan(decontaminate.small(df.union(df)))
