@@ -9,6 +9,7 @@ label and then keeps, in toxic documents, the windows that score highest.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from gridlens.llm.shared import GAMMA, mix64, table
 
 CACHED_WORDS = 150_000
+LONG_WORD, PIECE, PIECE_STEP = 64, 16, 12
+JOINTS = re.compile("[!-/:-@\\[-`{-~\u200b\u2060\ufeff]+")
 
 
 @dataclass(frozen=True)
@@ -51,13 +54,23 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words without outer punctuation; empty for null."""
-    return [w for w in (x.strip(".,;:!?\"'()[]{}|*#%&$<>-_") for x in (text or "").lower().split()) if w]
+    """Lower-case words without outer punctuation; empty for null.
+
+    A word of more than LONG_WORD characters gives the parts between its ASCII marks and
+    zero-width characters as words; a part that is still as long (scripts without
+    spaces) gives consecutive pieces, which overlap, so that every n-gram of up to five
+    characters lies in one.
+    """
+    words = [w for w in (x.strip(".,;:!?\"'()[]{}|*#%&$<>-_") for x in (text or "").lower().split()) if w]
+    if all(len(w) <= LONG_WORD for w in words):
+        return words
+    parts = [p for w in words for p in ([w] if len(w) <= LONG_WORD else JOINTS.split(w)) if p]
+    return [p for w in parts for p in ([w] if len(w) <= LONG_WORD else [w[k : k + PIECE] for k in range(0, len(w) - PIECE + PIECE_STEP, PIECE_STEP)])]
 
 
 def gram_ids(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every character n-gram of <word> (the whole included), and the offsets per word."""
-    marked = [f"<{w[:64]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     sizes = np.array([len(w) for w in marked], dtype=np.int64)
     if not len(sizes):
         return np.empty(0, np.int64), np.zeros(1, np.int64)
@@ -84,11 +97,13 @@ def gram_ids(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarr
 
 
 def _windows(n: int, size: int) -> np.ndarray:
-    """Starts of windows of `size` words; the last one is moved back to be full."""
-    starts = np.arange(0, max(n, 1), size)
-    if n > size:
-        starts[-1] = min(starts[-1], n - size)
-    return starts
+    """Starts of all full windows of `size` words; one window for fewer words."""
+    return np.arange(max(n - size + 1, 1))
+
+
+def _side_by_side(n: int, size: int) -> np.ndarray:
+    """Those that cover all words side by side; the last one is moved back to be full."""
+    return np.unique(np.minimum(np.arange(0, max(n, 1), size), max(n - size, 0)))
 
 
 def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
@@ -112,7 +127,7 @@ def _trained(texts: list[str], labels: list[int], settings: Settings) -> Model:
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
         if not ids:
             continue
-        starts = _windows(len(ids), settings.window)
+        starts = _side_by_side(len(ids), settings.window)
         if not label and len(starts) > settings.clean_windows:
             starts = rng.choice(starts, settings.clean_windows, replace=False)
         for s in starts:

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from gridlens.llm import decontaminate
+from gridlens.llm import decontaminate, toxicity
 
 
 def _best_windows(docs, items, percent=75):
@@ -61,3 +61,20 @@ def test_broadcast_counts_array_elements(spark, monkeypatch):
     plan = lambda x: x._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(decontaminate.small(df.select("item"))) and "broadcast" in plan(decontaminate.small(df.limit(1)))
     assert "broadcast" not in plan(decontaminate.small(df.union(df)))
+
+
+def test_toxicity_of_every_place():
+    clean = [f"the plain text number {i} says nothing of note about thing{i % 7}" for i in range(200)]
+    bad = [f"the plain text number {i} says you {w} about thing{i % 7}" for i, w in enumerate(["grobblex", "grobblen", "grobblet", "grobbled"] * 50)]
+    scorer = toxicity.Scorer(toxicity.fit([t for pair in zip(clean, bad) for t in pair], [0, 1] * 200))
+    fill = ["plain"]
+    scores = scorer.score([" ".join(fill * k + ["you", "grobblex", "grobblen"] + fill * 9) for k in range(4, 9)])
+    assert np.ptp(scores) < 1e-9 and scores.min() >= 0.3  # whatever number of words stands before
+    start = "the_plain_text_number_says_nothing_of_note_about_the_plain_text_"
+    assert len(start) == 64
+    for between in ("_", "/", ".", "\u200b"):
+        calm, toxic = scorer.score([(start + tail).replace("_", between) for tail in ("says_nothing_of_note", "you_grobblex_grobblen_grobblet")])
+        assert calm < 0.3 <= toxic
+    pieces = toxicity.words_of("".join(chr(0x4E00 + k) for k in range(1000)))
+    grams = {p[k : k + 5] for p in pieces for k in range(len(p) - 4)}
+    assert {"".join(chr(0x4E00 + k + j) for j in range(5)) for k in range(996)} <= grams
