@@ -22,6 +22,7 @@ CACHED_IDS = 4_000_000
 WORDS_AT_ONCE = 4096
 ROWS_AT_ONCE = 1000
 LAST_MARKS = r"(\pL)([!-/:-@\[-`{-~]+)( |$)"
+COMBINING = r"\pM"
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -46,7 +47,9 @@ class PieceEncoder:
     characters, so the ids of a text are those of its pieces between blanks in order,
     and ASCII punctuation after a letter at a piece's end is a piece of its own.  The
     ids of known words lie in one pool; texts are gathered from it as arrays.  A text
-    with "<|", which may spell a special token, is encoded as a whole.
+    with "<|", which may spell a special token, is encoded as a whole.  ASCII letters are
+    lower-cased before, to know fewer words, but not in a text with combining marks: the
+    tokenizer composes first, and a mark may compose with the small letter only.
     """
 
     def __init__(self, path: str):
@@ -89,7 +92,9 @@ class PieceEncoder:
         """Ids of all texts in one array, each text's followed by end_id, and its bounds; null is empty."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring(texts, "<|")
-        plain = pc.replace_substring(pc.ascii_lower(pc.if_else(whole, "", texts)), "\n", " ")
+        plain = pc.if_else(whole, "", texts)
+        plain = pc.if_else(pc.match_substring_regex(plain, COMBINING), plain, pc.ascii_lower(plain))
+        plain = pc.replace_substring(plain, "\n", " ")
         split = pc.split_pattern(pc.replace_substring_regex(plain, LAST_MARKS, r"\1 \2\3"), " ")
         coded = split.values.dictionary_encode()
         pieces = coded.dictionary.to_pylist()

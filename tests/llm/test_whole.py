@@ -3,8 +3,9 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from gridlens.llm import decontaminate, toxicity
+from gridlens.llm import decontaminate, tokens, toxicity
 
 
 def _best_windows(docs, items, percent=75):
@@ -78,3 +79,14 @@ def test_toxicity_of_every_place():
     pieces = toxicity.words_of("".join(chr(0x4E00 + k) for k in range(1000)))
     grams = {p[k : k + 5] for p in pieces for k in range(len(p) - 4)}
     assert {"".join(chr(0x4E00 + k + j) for j in range(5)) for k in range(996)} <= grams
+
+
+def test_capitals_before_combining_marks():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.word_bpe_path())
+    texts = [f"{a}Plain WORD{a}. {c}{m}{b}" for a in ("", "x. ") for b in ("", "am,", " Next.") for c in "THJWAEtn" for m in ("\u0308", "\u0331", "\u030c", "\u030a", "\u0323\u0308")]
+    texts += ["PLAIN Words", "<|x T\u0308"]
+    ids, bounds = tokens.PieceEncoder(tokens.word_bpe_path()).batch(pa.array(texts, pa.string()), 1)
+    got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
