@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,6 +204,29 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(found.select("node", F.coalesce("to", "class").alias("class")), "classes")
 
 
+def grouped(members: DataFrame) -> DataFrame:
+    """Stored (node, class, g) of members (node, class, near): groups of at most GROUP members of one class, near ones together.
+
+    Members are dealt in ranges of (class, near, node), so a class of any size, also
+    one with few distinct values of `near`, is spread over the tasks and cut in each.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, filled, g = None, 0, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            groups = []
+            for found in batch.column("class").to_pylist():
+                if found != current or filled == GROUP:
+                    current, filled, g = found, 0, g + 1
+                filled += 1
+                groups.append(g)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("class"), pa.array(groups, pa.int64())], ["node", "class", "g"])
+
+    order = ["class", "near", "node"]
+    dealt = members.select("node", "class", "near").repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.mapInArrow(cut, "node long, class long, g long"), "groups")
+
+
 def by_group(queries: DataFrame, groups: DataFrame, payload: DataFrame) -> DataFrame:
     """Rows (g, salt, kind, node, payload...) dealt by group and sorted: the members (b, g) of a group, then its queries (a, g).
 
@@ -327,9 +351,7 @@ def classes_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
 
     # groups: members of a class, similar ones (by their first minimum) next to each other
     members = crossing.select("node", "class").distinct().join(chosen.select("node", F.element_at("minima", 1).alias("near")), "node")
-    sizes = members.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    part = F.floor(F.shiftrightunsigned(F.col("near"), 33) * F.col("parts") / F.lit(float(1 << 31)))
-    members = written(members.join(sizes, "class").select("node", "class", F.xxhash64("class", part).alias("g")), "groups")
+    members = grouped(members)
     placed = crossing.select("token", "node", "n", "at").join(members, "node")
     matrix = placed.groupBy("token", "class", "g").agg(F.max(F.col("n") - F.col("at")).alias("room"), F.min("n").alias("least"), F.max("n").alias("most"))
     # the first listed token that a linked pair shares leaves room in both for the overlap that their sizes ask for

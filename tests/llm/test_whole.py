@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from gridlens.llm import decontaminate, tokens, toxicity
+from gridlens.llm import decontaminate, jaccard, tokens, toxicity
 
 
 def _best_windows(docs, items, percent=75):
@@ -90,3 +91,15 @@ def test_capitals_before_combining_marks():
     ids, bounds = tokens.PieceEncoder(tokens.word_bpe_path()).batch(pa.array(texts, pa.string()), 1)
     got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
     assert got == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_groups_of_a_class_are_bounded(spark):
+    rng = np.random.default_rng(7)
+    crowded = rng.integers(0, 1 << 62, (5000, 100)).min(axis=1)
+    rows = [(k, 1, int(x)) for k, x in enumerate(crowded)] + [(5000 + k, 2, 17) for k in range(3000)] + [(8000 + k, 8000 + k, 5) for k in range(50)]
+    found = jaccard.grouped(spark.createDataFrame(rows, "node long, class long, near long"))
+    sizes = found.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("class").alias("classes")).collect()
+    assert sum(r["n"] for r in sizes) == len(rows) == found.select("node").distinct().count()
+    assert max(r["n"] for r in sizes) <= jaccard.GROUP and {r["classes"] for r in sizes} == {1}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) <= 8000 // jaccard.GROUP + 50 + 2 * parts
