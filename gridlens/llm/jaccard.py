@@ -388,13 +388,17 @@ def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str =
     """One row of each component with all its columns: that with the least id (a null id last)."""
     found = written(components(docs, id_column, text, percent), "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("row").alias("r"))).alias("first")
-    kept = found.join(found.groupBy("component").agg(first).select(F.col("first.r").alias("row")), "row").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
-    kept = written(kept, "kept")
+    kept = found.join(found.groupBy("component").agg(first).select(F.col("first.r").alias("row")), "row").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+    # an id (or none) and text that stand on more than one row of a component: one of these rows is kept; blank texts all are
+    again = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(again.select(F.col("doc_id").alias("_ai"), F.col("text_hash").alias("_ah")), "again")
+    repeated = F.col("_i").eqNullSafe(F.col("_ai")) & (F.col("_h") == F.col("_ah"))
+    once = written(kept.join(again, repeated, "left_anti"), "kept")
+    several = written(kept.join(again, repeated, "left_semi"), "kept")
     free(docs.sparkSession)
-    out = docs.join(kept.distinct(), F.col(id_column).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
-    # an id and text that stand on more than one row: these rows are taken apart by all their columns
-    again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    return out.dropDuplicates([id_column, text]) if again.take(1) else out
+    chosen = F.col(id_column).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h"))
+    out = docs.join(once, chosen, "left_semi")
+    return out.unionByName(docs.join(several, chosen, "left_semi").dropDuplicates([id_column, text])) if several.take(1) else out
 
 
 def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:

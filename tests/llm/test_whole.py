@@ -103,3 +103,16 @@ def test_groups_of_a_class_are_bounded(spark):
     assert max(r["n"] for r in sizes) <= jaccard.GROUP and {r["classes"] for r in sizes} == {1}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len(sizes) <= 8000 // jaccard.GROUP + 50 + 2 * parts
+
+
+def test_one_row_of_near_copies_without_ids(spark):
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(None, words, "a"), (None, words, "a"), (None, words + " more", "b"), (None, "lone text", "c"), (None, "lone text", "d")]
+    rows += [(None, None, "e"), (None, None, "e"), (7, " ", "f"), (7, " ", "f"), (8, "", "g")]
+    kept = [(None, "lone text"), (None, None), (None, None), (7, " "), (7, " "), (8, "")]
+    for extra in ([], [(9, "other text", "h"), (9, "other text", "h")]):  # an unrelated row that repeats
+        got = [tuple(r) for r in jaccard.without_near_copies(spark.createDataFrame(rows + extra, "doc_id long, text string, source string")).select("doc_id", "text").collect()]
+        near = [r for r in got if r[1] and r[1].startswith("word")]
+        assert len(near) == 1
+        assert sorted(map(repr, set(got) - set(near))) == sorted(map(repr, set(kept + [r[:2] for r in extra])))
+        assert len(got) == 1 + len(kept) + len(extra) // 2
