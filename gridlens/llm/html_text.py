@@ -60,7 +60,7 @@ def _marks(attributes: str) -> tuple[tuple[str, ...], bool]:
             hidden |= name == "hidden" or value.lower() == "true"
         else:
             marks += WORDS.findall(value.lower())
-    return tuple(marks[:12]), hidden
+    return tuple(marks), hidden
 
 
 def blocks_of(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]]:
@@ -311,11 +311,38 @@ def labelled(pages: list[str], seed: int = 5) -> list[tuple[list[list[str]], lis
     return out
 
 
+# labelled texts for tables without a labelled page; only their lengths, ends and places tell anything
+STANDARD_TITLES = ("A walk by the river", "Bread at home", "How bridges are built", "Notes from the workshop", "The night train", "Winter gardens")
+STANDARD_SENTENCES = (
+    "The path follows the water for two hours and then climbs to the old mill.", "Nobody had opened the door for years.", "Mix flour, water and salt, and let the dough rest until it has doubled.",
+    "A long span needs either a deep beam or a cable that hangs between two towers.", "We measured the table twice before the first cut, and it still came out short.", "It rained.",
+    "The conductor told us that the line would close in spring, since few people used it after the new road was built.", "Some plants keep their leaves under snow.", "What did the builders know of wind?",
+    "Later the town bought the house and made it a library with a reading room for children.",
+)
+STANDARD_OTHERS = ("Home", "About us", "Contact", "News", "Log in", "Read more", "Share this page", "We use cookies to improve this site.", "Subscribe to our newsletter", "All rights reserved.", "© 2024 Example", "Related articles", "Great post, thank you!", "I do not agree with the second part.", "Search", "Privacy policy", "Next page", "Sponsored")
+
+
+def standard_pages(count: int = 120, seed: int = 6) -> list[str]:
+    """Pages that mark their article, made of the texts above."""
+    rng = np.random.default_rng(seed)
+    pick = lambda values, n: [html.escape(values[int(k)], quote=False) for k in rng.integers(0, len(values), n)]
+    out = []
+    for _ in range(count):
+        body = "".join(f"<p>{' '.join(pick(STANDARD_SENTENCES, int(rng.integers(1, 5))))}</p>" for _ in range(int(rng.integers(2, 8))))
+        menu = "".join(f'<li><a href="/">{x}</a></li>' for x in pick(STANDARD_OTHERS, 5))
+        end = "".join(f"<p>{x}</p>" for x in pick(STANDARD_OTHERS, 2))
+        out.append(f"<body><nav><ul>{menu}</ul></nav><article><h1>{pick(STANDARD_TITLES, 1)[0]}</h1>{body}</article><footer>{end}</footer></body>")
+    return out
+
+
 def train(pages: DataFrame, column: str = "html", max_pages: int = 250, max_chars: int = 40_000) -> Field:
-    """Fits on at most max_pages pages (by hash) of at most max_chars characters that have a landmark element."""
+    """Fits on at most max_pages pages (by hash) of at most max_chars characters that have a landmark element.
+
+    A table without such a page gives no labels; the field then learns from `standard_pages` and their recomposed forms.
+    """
     rows = pages.select(F.col(column).alias("html")).where(F.length("html") <= max_chars).where(F.lower("html").rlike("<(article|main)[ >]"))
     rows = rows.orderBy(F.xxhash64("html"), "html").limit(max_pages)
-    return fit(labelled([r["html"] for r in rows.collect()]))
+    return fit(labelled([r["html"] for r in rows.collect()]) or labelled(standard_pages()))
 
 
 def extract(pages: DataFrame, field: Field, column: str = "html") -> DataFrame:

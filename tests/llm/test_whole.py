@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridlens.llm import decontaminate, jaccard, tokens, toxicity
+from gridlens.llm import decontaminate, html_text, jaccard, tokens, toxicity
 
 
 def _best_windows(docs, items, percent=75):
@@ -116,3 +116,20 @@ def test_one_row_of_near_copies_without_ids(spark):
         assert len(near) == 1
         assert sorted(map(repr, set(got) - set(near))) == sorted(map(repr, set(kept + [r[:2] for r in extra])))
         assert len(got) == 1 + len(kept) + len(extra) // 2
+
+
+def test_pages_without_landmarks(spark):
+    first, second = "First text\nof the article ends here, after some more words.", "Second, longer text of the article stands here as well."
+    page = (f'<body><div id="menu"><a href="/">Home</a></div><div class="%s"><h1>Title</h1><p>{first}</p><p>{second}</p></div>'
+            '<div class="comments"><div class="comment"><p>I like this text.</p></div></div><footer>&copy; me</footer></body>')
+    long = "<body><article><h1>Title</h1><p>" + first + "</p><!--" + "x" * 50_000 + "--><p>" + second + "</p></article></body>"
+    want = "\n".join(["Title", first.replace("\n", " "), second])
+    for texts in ([page % "post-content", page % "entry", page % "box"], [long]):
+        pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+        assert [r["text"] for r in html_text.extract(pages, html_text.train(pages)).collect()] == [want] * len(texts)
+
+
+def test_all_words_of_class_and_id_are_marks():
+    utility = " ".join(f"flex mt-{k} text-sm" for k in range(10))
+    marks = html_text._marks(f' class="{utility} sidebar" id="comments"')[0]
+    assert {"sidebar", "comments"} <= set(marks)
