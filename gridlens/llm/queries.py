@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlens.llm import chat, decontaminate, fingerprint, html_text, jaccard, mixing, tokens, toxicity, warc
+from gridlens.llm import chat, collocations, decontaminate, fingerprint, html_text, jaccard, lexical, mixing, tokens, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_chat": chat.op9_chat,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_url_filter": url_filter.op13_url_filter,
+}
+SQL = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op11_collocations": collocations.OP11_SQL,
+    "op12_lexical": lexical.OP12_SQL,
+    "op13_url_filter": url_filter.OP13_SQL,
 }
-SQL = {"op2_mixing": mixing.OP2_SQL}

@@ -75,11 +75,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start of each word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of UTF-8 bytes."""
+def word_hashes(data: np.ndarray, outside: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and start of each word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of UTF-8 bytes; `outside` marks other bytes that part words."""
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = np.concatenate([[False], ~_BLANK[data], [False]])
+    inside = np.concatenate([[False], ~outside[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     up, down = _powers(len(data))
