@@ -12,10 +12,13 @@ by pointer jumping, and such a node never stands as a phrase of its own.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,9 @@ KEPT_PERCENT = 50
 TOP = 2000
 ENTRIES = 200_000  # grams that a task counts before it hands them on
 WORDS_AT_ONCE = 100_000
-SALTS = 64
+SALTS = 16
+SAMPLED = 4000
+BUSY = 10_000
 # on the bytes of UTF-8: A-Z to a-z, what ends a piece to a line break, a tab to a blank
 _FOLD = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + PIECE_END.encode(), b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(PIECE_END))
@@ -45,12 +50,11 @@ def _count(words: list[str], longest: int, counts: Counter) -> None:
         counts[" ".join(words[n - k :])] += 1
 
 
-def grams(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST) -> DataFrame:
-    """Stored (lang, gram, size, f): edges (size = longest), and shorter grams that end a piece.
+def _edges(docs: DataFrame, lang: str, text: str, longest: int, busy: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
+    """(lang, node, word, part, f): edges from a node by a word, and with an empty word the grams that end a piece.
 
-    Every word occurrence starts exactly one of them.  Only A-Z is lower-cased; a
-    null language is ``und``, a null text empty.  Tasks count before they shuffle,
-    in a table of bounded size, so a frequent gram or copied texts cost little.
+    Tasks count before they hand on, in tables of bounded size.  The edges of a busy
+    node are dealt to parts by their word; all others are part 0.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,10 +62,15 @@ def grams(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
 
         def handed() -> Iterator[pa.RecordBatch]:
             for name, found in counts.items():
-                names = list(found)
+                cut = [g.rpartition(" ") if g.count(" ") == longest - 1 else (g, "", "") for g in found]
+                nodes, words = [c[0] for c in cut], [c[2] for c in cut]
+                parts = np.zeros(len(cut), dtype=np.int32)
+                for k, node in enumerate(nodes) if busy else ():
+                    if (name, node) in busy:
+                        parts[k] = 1 + zlib.crc32(words[k].encode()) % SALTS
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([g.count(" ") + 1 for g in names], pa.int32()), pa.array(found.values(), pa.int64())],
-                    ["lang", "gram", "size", "f"],
+                    [pa.array([name], pa.string()).take(pa.array(np.zeros(len(cut), dtype=np.int32))), pa.array(nodes, pa.string()), pa.array(words, pa.string()), pa.array(parts), pa.array(found.values(), pa.int64())],
+                    ["lang", "node", "word", "part", "f"],
                 )
             counts.clear()
 
@@ -76,25 +85,106 @@ def grams(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
         yield from handed()
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(count, "lang string, gram string, size int, f long")
-    return written(counted.groupBy("lang", "gram", "size").agg(F.sum("f").alias("f")), "grams")
+    return rows.mapInArrow(count, "lang string, node string, word string, part int, f long")
 
 
-def first_words(gram: Column | str, n: int) -> Column:
-    return F.substring_index(gram, " ", n)
+def busy_nodes(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST) -> frozenset[tuple[str, str]]:
+    """Nodes that hold over a BUSY-th of the words in about SAMPLED texts, under BUSY of them.  Only the work is dealt by them."""
+    share = min(1.0, SAMPLED / max(1, docs.count()))
+    found = _edges(docs.sample(share, 1) if share < 1 else docs, lang, text, longest).groupBy("lang", "node").agg(F.sum("f").alias("f"))
+    found = found.withColumn("all", F.sum("f").over(Window.partitionBy(F.lit(0)).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return frozenset((r["lang"], r["node"]) for r in found.where(F.col("f") * BUSY > F.col("all")).select("lang", "node").collect())
 
 
-def last_words(gram: Column | str, n: int) -> Column:
-    return F.substring_index(gram, " ", -n)
+def _starts(flags: pa.Array, n: int) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(flags.to_numpy(zero_copy_only=False)) + 1]) if n else np.empty(0, np.int64)
 
 
-def flows(edges: DataFrame, size: int, least: int = 1) -> DataFrame:
-    """(lang, gram, f) of grams of `size` words: what flows out through longer grams, plus the piece ends."""
-    starting = edges.where(F.col("size") >= size).groupBy("lang", first_words(F.col("gram"), size).alias("gram"))
-    return starting.agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+def graph(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
+    """Stored (lang, gram, size, f): edges and nodes that occur min_count times or more, and all grams of fewer words.
 
+    Only A-Z is lower-cased; a null language is ``und``, a null text empty.  Edges are
+    dealt by node and sorted, so that one pass over a sorted stream sums each edge
+    and each node's flow; rare ones only add to the counts of their first words.  The
+    edges of a busy node lie in SALTS parts, whose sums are added up at the end.
+    """
+    dealt = _edges(docs, lang, text, longest, busy_nodes(docs, lang, text, longest)).repartition("lang", "node", "part").sortWithinPartitions("lang", "node", "word")
+
+    def rows_of(langs: pa.Array, grams: pa.Array, sizes: np.ndarray | int, f: np.ndarray) -> pa.RecordBatch:
+        sizes = np.full(len(f), sizes, dtype=np.int32) if isinstance(sizes, int) else sizes
+        return pa.RecordBatch.from_arrays([langs, grams, pa.array(sizes, pa.int32()), pa.array(f, pa.int64())], ["lang", "gram", "size", "f"])
+
+    def summed(held: list[pa.RecordBatch], in_runs: bool) -> Iterator[pa.RecordBatch]:
+        """The sums of whole nodes; in_runs: of one node that is given piece by piece, so its flow is not known to be small."""
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        n = batch.num_rows
+        langs, nodes, words = (batch.column(c) for c in ("lang", "node", "word"))
+        changed = lambda c: pc.not_equal(c.slice(1), c.slice(0, n - 1))
+        new_node = pc.or_(changed(langs), changed(nodes))
+        f = batch.column("f").to_numpy()
+        first = _starts(pc.or_(new_node, changed(words)), n)
+        sums = np.add.reduceat(f, first)
+        kept = pa.array(first[(sums >= min_count) & pc.not_equal(words.take(pa.array(first)), "").to_numpy(zero_copy_only=False)])
+        grams = pc.binary_join_element_wise(nodes.take(kept), words.take(kept), " ")
+        yield rows_of(langs.take(kept), grams, longest, sums[np.isin(first, kept.to_numpy())])
+
+        first = _starts(new_node, n)
+        sums = np.add.reduceat(f, first)
+        langs, nodes, parts = (batch.column(c).take(pa.array(first)) for c in ("lang", "node", "part"))
+        sizes = pc.count_substring(nodes, " ").to_numpy() + 1
+        whole = np.flatnonzero((sizes == longest - 1) & ((sums >= min_count) | (parts.to_numpy() > 0) | in_runs | (longest == 2)))
+        yield rows_of(langs.take(pa.array(whole)), nodes.take(pa.array(whole)), longest - 1, sums[whole])
+        for size in range(1, longest - 1):
+            held = np.flatnonzero(sizes >= size)
+            split = pc.split_pattern(nodes.take(pa.array(held)), " ")
+            begin = split.offsets.to_numpy()[:-1]
+            parts_of = [split.values.take(pa.array(begin + k)) for k in range(size)]
+            shorter = pc.binary_join_element_wise(*parts_of, " ") if size > 1 else parts_of[0]
+            table_ = pa.table({"lang": langs.take(pa.array(held)), "gram": shorter, "f": sums[held]}).group_by(["lang", "gram"]).aggregate([("f", "sum")]).combine_chunks()
+            for part in table_.to_batches():
+                yield rows_of(part.column("lang"), part.column("gram"), size, part.column("f_sum").to_numpy())
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, in_runs = [], 0, False  # rows of the last node, which may go on; whether some of it went out before
+
+        def split(batch: pa.RecordBatch, names: tuple[str, ...]) -> int:
+            """Where the rows begin that equal the last one in these columns."""
+            same = np.ones(batch.num_rows, dtype=bool)
+            for name in names:
+                column = batch.column(name)
+                same &= pc.equal(column, column[-1]).to_numpy(zero_copy_only=False)
+            return int(same.argmax())
 
-def compacted(edges: DataFrame, nodes: DataFrame, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            goes_on = bool(held) and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in ("lang", "node"))
+            cut = split(batch, ("lang", "node"))
+            if held and not (goes_on and cut == 0):
+                end = cut if not in_runs or not goes_on else int(pc.sum(pc.and_(pc.equal(batch.column("lang"), held[-1].column("lang")[-1]), pc.equal(batch.column("node"), held[-1].column("node")[-1]))).as_py())
+                yield from summed([*held, batch.slice(0, end)] if goes_on else held, in_runs)
+                if end < cut and goes_on:
+                    yield from summed([batch.slice(end, cut - end)], False)
+                elif cut and not goes_on:
+                    yield from summed([batch.slice(0, cut)], False)
+                held, rows, in_runs = [], 0, False
+            elif cut and not held:
+                yield from summed([batch.slice(0, cut)], False)
+            held.append(batch.slice(cut))
+            rows += batch.num_rows - cut
+            if rows > ENTRIES:
+                last = split(held[-1], ("word",))
+                if last:
+                    yield from summed([*held[:-1], held[-1].slice(0, last)], True)
+                    held, rows, in_runs = [held[-1].slice(last)], held[-1].num_rows - last, True
+        if held:
+            yield from summed(held, in_runs)
+
+    found = dealt.mapInArrow(reduce, "lang string, gram string, size int, f long").groupBy("lang", "gram", "size").agg(F.sum("f").alias("f"))
+    return written(found.where((F.col("size") < longest - 1) | (F.col("f") >= min_count) | (F.col("size") == 1)), "grams")
+
+
+def compacted(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(unary nodes, path places) of edges (lang, gram, f) and the flows of their nodes.
 
     A node is unary if one edge brings in all of its flow and one takes out all of
@@ -103,12 +193,13 @@ def compacted(edges: DataFrame, nodes: DataFrame, longest: int = LONGEST) -> tup
     begins a path itself.  Pointers double each round, so a path of k edges takes
     log2(k) rounds.  There are no circles: a piece would have to start inside.
     """
-    node = lambda side: side("gram", longest - 1)
     flow = nodes.select("lang", F.col("gram").alias("node"), F.col("f").alias("through"))
-    full = lambda side, name: edges.select("lang", node(side).alias("node"), F.col("gram").alias(name), "f").join(
+    full = lambda node, name: edges.select("lang", F.expr(node).alias("node"), F.col("gram").alias(name), "f").join(
         flow, ["lang", "node"]
     ).where("f = through").select("lang", "node", name)
-    unary = written(full(last_words, "enters").join(full(first_words, "leaves"), ["lang", "node"]), "unary")
+    enters = full("substr(gram, length(substring_index(gram, ' ', 1)) + 2)", "enters")
+    leaves = full("substr(gram, 1, length(gram) - length(substring_index(gram, ' ', -1)) - 1)", "leaves")
+    unary = written(enters.join(leaves, ["lang", "node"]), "unary")
     places = unary.select("lang", F.col("leaves").alias("gram"), F.col("enters").alias("head"), F.lit(1).cast("long").alias("step"), F.lit(True).alias("moved"))
     while places.where("moved").take(1):
         jump = places.select("lang", F.col("gram").alias("head"), F.col("head").alias("_to"), F.col("step").alias("_more"))
@@ -125,7 +216,7 @@ def paths(edges: DataFrame, places: DataFrame) -> DataFrame:
     A path lies within one piece, so it is no longer than one text.
     """
     rows = edges.join(places, ["lang", "gram"], "left").select(
-        "lang", F.coalesce("head", "gram").alias("head"), F.coalesce("step", F.lit(0).cast("long")).alias("step"), last_words("gram", 1).alias("word"), "f")
+        "lang", F.coalesce("head", "gram").alias("head"), F.coalesce("step", F.lit(0).cast("long")).alias("step"), F.substring_index("gram", " ", -1).alias("word"), "f")
     found = rows.groupBy("lang", "head").agg(F.sort_array(F.collect_list(F.struct("step", "word"))).alias("steps"), F.min("f").alias("f"))
     rest = F.transform(F.filter("steps", lambda s: s["step"] > 0), lambda s: s["word"])
     return found.select("lang", F.concat_ws(" ", F.array("head"), rest).alias("phrase"), F.size("steps").alias("n_edges"), "f")
@@ -156,16 +247,11 @@ def collocations(
     """
     if longest < 2:
         raise ValueError("phrases have two words or more")
-    every = grams(docs, lang, text, longest)
-    edges = every.where((F.col("size") == longest) & (F.col("f") >= min_count)).select("lang", "gram", "f")
-    counts = {size: written(flows(every, size, min_count), f"flows-{size}") for size in range(1, longest)}
-    unary, _ = compacted(edges, counts[longest - 1], longest)
-
-    sized = [edges.withColumn("size", F.lit(longest))]
-    sized += [counts[size].withColumn("size", F.lit(size)) for size in range(2, longest)]
-    candidates = sized[0]
-    for part in sized[1:]:
-        candidates = candidates.unionByName(part)
+    every = graph(docs, lang, text, longest, min_count)
+    known = every.where(F.col("f") >= min_count)
+    candidates = known.where(F.col("size") > 1)
+    sized = lambda size: known.where(F.col("size") == size).select("lang", "gram", "f")
+    unary, _ = compacted(sized(longest), sized(longest - 1))
     # an inner node of a path lies in an edge of the same weight
     open_ones = candidates.join(unary.withColumnRenamed("node", "gram"), ["lang", "gram"], "left_anti") if longest > 2 else candidates
     if longest > 2:
@@ -174,9 +260,6 @@ def collocations(
         open_ones = open_ones.join(holding, ["lang", "gram"], "left").where(
             F.col("_held").isNull() | (F.col("_held") * 100 < F.col("f") * kept_percent)).drop("_held")
 
-    known = counts[1]
-    for size in range(2, longest):
-        known = known.unionByName(counts[size])
     side = lambda name, f: known.select("lang", F.col("gram").alias(name), F.col("f").alias(f))
     cut = F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")
     cuts = open_ones.select("lang", F.col("gram").alias("phrase"), F.col("f").alias("a"), "size", cut)
@@ -193,7 +276,7 @@ def collocations(
     salted = scored.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = every.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

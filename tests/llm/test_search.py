@@ -41,25 +41,40 @@ def _plain_phrases(rows, longest, least, percent, top):
 
 
 @pytest.mark.parametrize("longest", [2, 3, 4])
-def test_phrases_by_brute_force(spark, longest):
+def test_phrases_by_brute_force(spark, longest, monkeypatch):
     rng = np.random.default_rng(longest)
     passage = "one Two three four five six seven eight nine ten"
     rows = [("en", " ".join(rng.choice(list("abcd"), 30)) + rng.choice([".", "\n", " \t "]) + passage) for _ in range(40)]
     rows += [(None, "x y x y x y. x"), ("und", "X\tY  x y"), ("en", None), (None, ""), ("de", "É é É é, a"), ("en", "  . ,")]
     docs = spark.createDataFrame([(k, lang, text, "clash") for k, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string, gram string")
-    for least, percent, top in ((2, 50, 2000), (5, 90, 7)):
+    for least, percent, top, busy in ((2, 50, 2000, 5), (5, 90, 7, 10_000)):
+        monkeypatch.setattr(collocations, "BUSY", busy)  # nodes in several parts, and none
+        monkeypatch.setattr(collocations, "ENTRIES", busy // 2)
         got = {tuple(r) for r in collocations.collocations(docs, longest=longest, min_count=least, kept_percent=percent, top=top).collect()}
         assert got == _plain_phrases(rows, longest, least, percent, top)
 
 
+def test_a_node_longer_than_what_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "ENTRIES", 40)
+    monkeypatch.setattr(collocations, "BUSY", 10**12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 25)
+    try:
+        rows = [("en", f"a b w{k % 90}. a b w{k % 7}. c d w{k}") for k in range(400)] + [("en", "a b")] * 3
+        docs = spark.createDataFrame(rows, "lang string, text string")
+        got = {tuple(r) for r in collocations.collocations(docs, min_count=3).collect()}
+        assert got == _plain_phrases(rows, 3, 3, 50, 2000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_flows_and_paths(spark):
     rows = [("en", "start a b c d e f end")] * 6 + [("en", "other a b c d e g")] * 3 + [("en", "a b")] * 2
     docs = spark.createDataFrame(rows, "lang string, text string")
-    every = collocations.grams(docs)
-    counts = {r["gram"]: r["f"] for size in (1, 2) for r in collocations.flows(every, size).collect()}
+    every = collocations.graph(docs, min_count=1)
+    counts = {r["gram"]: r["f"] for r in every.collect()}
     assert counts["a"] == 11 and counts["a b"] == 11 and counts["b"] == 11 and counts["d e"] == 9 and counts["end"] == 6
     edges = every.where("size = 3 and f >= 2").select("lang", "gram", "f")
-    unary, places = collocations.compacted(edges, collocations.flows(every, 2))
+    unary, places = collocations.compacted(edges, every.where("size = 2"))
     found = {(r["phrase"], r["n_edges"], r["f"]) for r in collocations.paths(edges, places).collect()}
     assert found == {("start a b", 1, 6), ("other a b", 1, 3), ("a b c d e", 3, 9), ("d e f end", 2, 6), ("d e g", 1, 3)}
     assert {r["node"] for r in unary.collect()} == {"b c", "c d", "e f"}
@@ -68,9 +83,9 @@ def test_flows_and_paths(spark):
 def test_a_long_path_and_large_counts(spark):
     text = " ".join(f"w{k}" for k in range(300))
     docs = spark.createDataFrame([("en", text)], "lang string, text string").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    every = collocations.grams(docs)
+    every = collocations.graph(docs)
     edges = every.where("size = 3").select("lang", "gram", "f")
-    _, places = collocations.compacted(edges, collocations.flows(every, 2))
+    _, places = collocations.compacted(edges, every.where("size = 2"))
     row = collocations.paths(edges, places).collect()
     assert [(r["phrase"], r["n_edges"], r["f"]) for r in row] == [(text, 298, 12)]
     big = 10**15  # a * a * 10**6 has 36 digits
