@@ -12,7 +12,6 @@ by pointer jumping, and such a node never stands as a phrase of its own.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +28,11 @@ LONGEST = 3
 MIN_COUNT = 10
 KEPT_PERCENT = 50
 TOP = 2000
-ENTRIES = 200_000  # grams that a task counts before it hands them on
+RUN_ROWS = 200_000  # sorted rows that are summed together
+ENTRIES = 400_000  # grams that a task counts before it hands them on
 WORDS_AT_ONCE = 100_000
 SALTS = 16
+TAB_FREE = (("\x01", "\x01a"), ("\t", "\x01b"))  # languages in keys
 SAMPLED = 4000
 BUSY = 10_000
 # on the bytes of UTF-8: A-Z to a-z, what ends a piece to a line break, a tab to a blank
@@ -40,64 +41,67 @@ _FOLD = bytes.maketrans(
 _EXACT = "decimal(16,0)"  # squares times a million fit 38 digits
 
 
-def _count(words: list[str], longest: int, counts: Counter) -> None:
-    """Adds the longest gram that starts at each word; the last words start shorter ones."""
+def _count(words: list[str], longest: int, mark: str, counts: Counter) -> None:
+    """Adds the longest gram that starts at each word as node, mark and last word; the last words start shorter ones."""
     n = len(words)
     for at in range(0, n - longest + 1, WORDS_AT_ONCE):
         part = words[at : at + WORDS_AT_ONCE + longest - 1]
-        counts.update(map(" ".join, zip(*[part[k:] for k in range(longest)])))
+        nodes = map(" ".join, zip(*[part[k:] for k in range(longest - 1)]))
+        counts.update(map(mark.join, zip(nodes, part[longest - 1 :])))
     for k in range(1, min(longest - 1, n) + 1):
-        counts[" ".join(words[n - k :])] += 1
+        counts[" ".join(words[n - k :]) + mark] += 1
 
 
-def _edges(docs: DataFrame, lang: str, text: str, longest: int, busy: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
-    """(lang, node, word, part, f): edges from a node by a word, and with an empty word the grams that end a piece.
+def _replaced(value: Column, *pairs: tuple[str, str]) -> Column:
+    for old, new in pairs:
+        value = F.replace(value, F.lit(old), F.lit(new))
+    return value
 
-    Tasks count before they hand on, in tables of bounded size.  The edges of a busy
-    node are dealt to parts by their word; all others are part 0.
+
+def _edges(docs: DataFrame, lang: str, text: str, longest: int) -> DataFrame:
+    """(key, f): a key is a node, its language and the word of an edge, parted by tabs; an empty word says that a piece ends.
+
+    Tasks count before they hand on, in a table of bounded size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-
-        def handed() -> Iterator[pa.RecordBatch]:
-            for name, found in counts.items():
-                cut = [g.rpartition(" ") if g.count(" ") == longest - 1 else (g, "", "") for g in found]
-                nodes, words = [c[0] for c in cut], [c[2] for c in cut]
-                parts = np.zeros(len(cut), dtype=np.int32)
-                for k, node in enumerate(nodes) if busy else ():
-                    if (name, node) in busy:
-                        parts[k] = 1 + zlib.crc32(words[k].encode()) % SALTS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.string()).take(pa.array(np.zeros(len(cut), dtype=np.int32))), pa.array(nodes, pa.string()), pa.array(words, pa.string()), pa.array(parts), pa.array(found.values(), pa.int64())],
-                    ["lang", "node", "word", "part", "f"],
-                )
-            counts.clear()
-
+        counts: Counter = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], ["key", "f"])
         for batch in batches:
             for name, data in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text"))):
-                found = counts.setdefault(name, Counter())
+                mark = f"\t{name}\t"
                 for piece in data.tobytes().translate(_FOLD).decode().split("\n"):
                     if piece:
-                        _count([w for w in piece.split(" ") if w], longest, found)
-                if sum(map(len, counts.values())) > ENTRIES:
-                    yield from handed()
-        yield from handed()
+                        _count([w for w in piece.split(" ") if w], longest, mark, counts)
+                if len(counts) > ENTRIES:
+                    yield rows()
+                    counts.clear()
+        yield rows()
 
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "lang string, node string, word string, part int, f long")
+    safe = _replaced(F.coalesce(F.col(lang), F.lit("und")), *TAB_FREE)
+    return docs.select(safe.alias("lang"), F.col(text).alias("text")).mapInArrow(count, "key string, f long")
 
 
-def busy_nodes(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST) -> frozenset[tuple[str, str]]:
-    """Nodes that hold over a BUSY-th of the words in about SAMPLED texts, under BUSY of them.  Only the work is dealt by them."""
+def busy_nodes(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST) -> list[str]:
+    """Nodes (with language) of over a BUSY-th of the words in about SAMPLED texts, under BUSY of them.  Only the work is dealt by them."""
     share = min(1.0, SAMPLED / max(1, docs.count()))
-    found = _edges(docs.sample(share, 1) if share < 1 else docs, lang, text, longest).groupBy("lang", "node").agg(F.sum("f").alias("f"))
-    found = found.withColumn("all", F.sum("f").over(Window.partitionBy(F.lit(0)).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return frozenset((r["lang"], r["node"]) for r in found.where(F.col("f") * BUSY > F.col("all")).select("lang", "node").collect())
+    found = _edges(docs.sample(share, 1) if share < 1 else docs, lang, text, longest)
+    found = written(found.groupBy(F.substring_index("key", "\t", 2).alias("node")).agg(F.sum("f").alias("f")), "sampled")
+    least = (found.agg(F.sum("f")).first()[0] or 0) / BUSY
+    return [r["node"] for r in found.where(F.col("f") > least).select("node").collect()]
+
 
+def _parts(column: pa.Array, from_end: bool) -> tuple[pa.Array, pa.Array]:
+    """What stands before and after the first tab of each value, or the last one."""
+    split = pc.split_pattern(column, "\t", max_splits=1, reverse=from_end)
+    both = split.values if len(split) else pa.array([], pa.string())
+    at = split.offsets.to_numpy()[:-1] if len(split) else np.empty(0, np.int64)
+    return both.take(pa.array(at)), both.take(pa.array(at + 1))
 
-def _starts(flags: pa.Array, n: int) -> np.ndarray:
-    return np.concatenate([[0], np.flatnonzero(flags.to_numpy(zero_copy_only=False)) + 1]) if n else np.empty(0, np.int64)
+
+def _run_starts(column: pa.Array) -> np.ndarray:
+    differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(differs) + 1])
 
 
 def graph(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
@@ -108,80 +112,73 @@ def graph(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
     and each node's flow; rare ones only add to the counts of their first words.  The
     edges of a busy node lie in SALTS parts, whose sums are added up at the end.
     """
-    dealt = _edges(docs, lang, text, longest, busy_nodes(docs, lang, text, longest)).repartition("lang", "node", "part").sortWithinPartitions("lang", "node", "word")
+    busy = busy_nodes(docs, lang, text, longest)
+    node = F.substring_index("key", "\t", 2)
+    part = F.when(node.isin(busy), F.pmod(F.xxhash64("key"), F.lit(SALTS)) + 1).otherwise(0) if busy else F.lit(0)
+    dealt = _edges(docs, lang, text, longest).repartition(node, part).sortWithinPartitions("key")
+    in_parts = pa.array(busy, pa.string())
 
-    def rows_of(langs: pa.Array, grams: pa.Array, sizes: np.ndarray | int, f: np.ndarray) -> pa.RecordBatch:
-        sizes = np.full(len(f), sizes, dtype=np.int32) if isinstance(sizes, int) else sizes
-        return pa.RecordBatch.from_arrays([langs, grams, pa.array(sizes, pa.int32()), pa.array(f, pa.int64())], ["lang", "gram", "size", "f"])
+    def rows_of(nodes: pa.Array, grams: pa.Array, sizes: int, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_parts(nodes, False)[1], grams, pa.array(np.full(len(f), sizes, dtype=np.int32)), pa.array(f, pa.int64())], ["lang", "gram", "size", "f"])
 
-    def summed(held: list[pa.RecordBatch], in_runs: bool) -> Iterator[pa.RecordBatch]:
+    def summed(keys: pa.Array, f: np.ndarray, in_runs: bool) -> Iterator[pa.RecordBatch]:
         """The sums of whole nodes; in_runs: of one node that is given piece by piece, so its flow is not known to be small."""
-        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        n = batch.num_rows
-        langs, nodes, words = (batch.column(c) for c in ("lang", "node", "word"))
-        changed = lambda c: pc.not_equal(c.slice(1), c.slice(0, n - 1))
-        new_node = pc.or_(changed(langs), changed(nodes))
-        f = batch.column("f").to_numpy()
-        first = _starts(pc.or_(new_node, changed(words)), n)
-        sums = np.add.reduceat(f, first)
-        kept = pa.array(first[(sums >= min_count) & pc.not_equal(words.take(pa.array(first)), "").to_numpy(zero_copy_only=False)])
-        grams = pc.binary_join_element_wise(nodes.take(kept), words.take(kept), " ")
-        yield rows_of(langs.take(kept), grams, longest, sums[np.isin(first, kept.to_numpy())])
-
-        first = _starts(new_node, n)
-        sums = np.add.reduceat(f, first)
-        langs, nodes, parts = (batch.column(c).take(pa.array(first)) for c in ("lang", "node", "part"))
-        sizes = pc.count_substring(nodes, " ").to_numpy() + 1
-        whole = np.flatnonzero((sizes == longest - 1) & ((sums >= min_count) | (parts.to_numpy() > 0) | in_runs | (longest == 2)))
-        yield rows_of(langs.take(pa.array(whole)), nodes.take(pa.array(whole)), longest - 1, sums[whole])
+        first = _run_starts(keys)
+        keys, f = keys.take(pa.array(first)), np.add.reduceat(f, first)
+        nodes, words = _parts(keys, True)
+        kept = pa.array(np.flatnonzero((f >= min_count) & pc.not_equal(words, "").to_numpy(zero_copy_only=False)))
+        frequent = nodes.take(kept)
+        yield rows_of(frequent, pc.binary_join_element_wise(_parts(frequent, False)[0], words.take(kept), " "), longest, f[kept.to_numpy()])
+
+        first = _run_starts(nodes)
+        nodes, f = nodes.take(pa.array(first)), np.add.reduceat(f, first)
+        grams = _parts(nodes, False)[0]
+        sizes = pc.count_substring(grams, " ").to_numpy() + 1
+        whole = f >= (1 if in_runs or longest == 2 else min_count)
+        whole |= pc.is_in(nodes, value_set=in_parts).to_numpy(zero_copy_only=False)
+        whole = pa.array(np.flatnonzero(whole & (sizes == longest - 1)))
+        yield rows_of(nodes.take(whole), grams.take(whole), longest - 1, f[whole.to_numpy()])
         for size in range(1, longest - 1):
-            held = np.flatnonzero(sizes >= size)
-            split = pc.split_pattern(nodes.take(pa.array(held)), " ")
+            held = pa.array(np.flatnonzero(sizes >= size))
+            split = pc.split_pattern(grams.take(held), " ")
             begin = split.offsets.to_numpy()[:-1]
-            parts_of = [split.values.take(pa.array(begin + k)) for k in range(size)]
-            shorter = pc.binary_join_element_wise(*parts_of, " ") if size > 1 else parts_of[0]
-            table_ = pa.table({"lang": langs.take(pa.array(held)), "gram": shorter, "f": sums[held]}).group_by(["lang", "gram"]).aggregate([("f", "sum")]).combine_chunks()
-            for part in table_.to_batches():
-                yield rows_of(part.column("lang"), part.column("gram"), size, part.column("f_sum").to_numpy())
+            firsts = [split.values.take(pa.array(begin + k)) for k in range(size)]
+            shorter = firsts[0] if size == 1 else pc.binary_join_element_wise(*firsts, " ")
+            sums = pa.table({"lang": _parts(nodes.take(held), False)[1], "gram": shorter, "f": f[held.to_numpy()]}).group_by(["lang", "gram"]).aggregate([("f", "sum")])
+            for part in sums.to_batches():
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("lang"), part.column("gram"), pa.array(np.full(part.num_rows, size, dtype=np.int32)), part.column("f_sum")], ["lang", "gram", "size", "f"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, in_runs = [], 0, False  # rows of the last node, which may go on; whether some of it went out before
-
-        def split(batch: pa.RecordBatch, names: tuple[str, ...]) -> int:
-            """Where the rows begin that equal the last one in these columns."""
-            same = np.ones(batch.num_rows, dtype=bool)
-            for name in names:
-                column = batch.column(name)
-                same &= pc.equal(column, column[-1]).to_numpy(zero_copy_only=False)
-            return int(same.argmax())
-
+        keys, f, in_runs = pa.array([], pa.string()), np.empty(0, np.int64), False
         for batch in batches:
-            if not batch.num_rows:
+            keys = pa.concat_arrays([keys, batch.column("key").cast(pa.string())])
+            f = np.concatenate([f, batch.column("f").to_numpy()])
+            if len(f) < RUN_ROWS:
                 continue
-            goes_on = bool(held) and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in ("lang", "node"))
-            cut = split(batch, ("lang", "node"))
-            if held and not (goes_on and cut == 0):
-                end = cut if not in_runs or not goes_on else int(pc.sum(pc.and_(pc.equal(batch.column("lang"), held[-1].column("lang")[-1]), pc.equal(batch.column("node"), held[-1].column("node")[-1]))).as_py())
-                yield from summed([*held, batch.slice(0, end)] if goes_on else held, in_runs)
-                if end < cut and goes_on:
-                    yield from summed([batch.slice(end, cut - end)], False)
-                elif cut and not goes_on:
-                    yield from summed([batch.slice(0, cut)], False)
-                held, rows, in_runs = [], 0, False
-            elif cut and not held:
-                yield from summed([batch.slice(0, cut)], False)
-            held.append(batch.slice(cut))
-            rows += batch.num_rows - cut
-            if rows > ENTRIES:
-                last = split(held[-1], ("word",))
-                if last:
-                    yield from summed([*held[:-1], held[-1].slice(0, last)], True)
-                    held, rows, in_runs = [held[-1].slice(last)], held[-1].num_rows - last, True
-        if held:
-            yield from summed(held, in_runs)
+            # the last node may go on, and if all are of one node its last edge may
+            first = _run_starts(_parts(keys, True)[0])
+            cut, one = int(first[-1]), False
+            if in_runs and len(first) > 1:
+                yield from summed(keys.slice(0, first[1]), f[: first[1]], True)
+                keys, f, cut, in_runs = keys.slice(first[1]), f[first[1] :], cut - int(first[1]), False
+            if not cut and len(f) >= RUN_ROWS:
+                cut, one = int(_run_starts(keys)[-1]), True
+            if cut:
+                yield from summed(keys.slice(0, cut), f[:cut], one)
+                keys, f, in_runs = pa.concat_arrays([keys.slice(cut)]), f[cut:], one
+        if len(f) and in_runs:
+            first = _run_starts(_parts(keys, True)[0])
+            end = int(first[1]) if len(first) > 1 else len(f)
+            yield from summed(keys.slice(0, end), f[:end], True)
+            keys, f = keys.slice(end), f[end:]
+        if len(f):
+            yield from summed(keys, f, False)
 
     found = dealt.mapInArrow(reduce, "lang string, gram string, size int, f long").groupBy("lang", "gram", "size").agg(F.sum("f").alias("f"))
-    return written(found.where((F.col("size") < longest - 1) | (F.col("f") >= min_count) | (F.col("size") == 1)), "grams")
+    found = found.where((F.col("size") < longest - 1) | (F.col("f") >= min_count) | (F.col("size") == 1))
+    plain = _replaced(F.col("lang"), *[(new, old) for old, new in reversed(TAB_FREE)])
+    return written(found.withColumn("lang", plain), "grams")
 
 
 def compacted(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

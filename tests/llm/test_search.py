@@ -45,16 +45,18 @@ def test_phrases_by_brute_force(spark, longest, monkeypatch):
     rng = np.random.default_rng(longest)
     passage = "one Two three four five six seven eight nine ten"
     rows = [("en", " ".join(rng.choice(list("abcd"), 30)) + rng.choice([".", "\n", " \t "]) + passage) for _ in range(40)]
-    rows += [(None, "x y x y x y. x"), ("und", "X\tY  x y"), ("en", None), (None, ""), ("de", "É é É é, a"), ("en", "  . ,")]
+    rows += [(None, "x y x y x y. x"), ("und", "X\tY  x y"), ("en", None), (None, ""), ("a\tb\\t\x01b", "p q p q"), ("de", "É é É é, a"), ("en", "  . ,")]
     docs = spark.createDataFrame([(k, lang, text, "clash") for k, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string, gram string")
     for least, percent, top, busy in ((2, 50, 2000, 5), (5, 90, 7, 10_000)):
         monkeypatch.setattr(collocations, "BUSY", busy)  # nodes in several parts, and none
         monkeypatch.setattr(collocations, "ENTRIES", busy // 2)
+        monkeypatch.setattr(collocations, "RUN_ROWS", busy // 2)
         got = {tuple(r) for r in collocations.collocations(docs, longest=longest, min_count=least, kept_percent=percent, top=top).collect()}
         assert got == _plain_phrases(rows, longest, least, percent, top)
 
 
 def test_a_node_longer_than_what_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "RUN_ROWS", 40)
     monkeypatch.setattr(collocations, "ENTRIES", 40)
     monkeypatch.setattr(collocations, "BUSY", 10**12)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 25)
