@@ -28,8 +28,8 @@ LONGEST = 3
 MIN_COUNT = 10
 KEPT_PERCENT = 50
 TOP = 2000
-RUN_ROWS = 200_000  # sorted rows that are summed together
-ENTRIES = 400_000  # grams that a task counts before it hands them on
+RUN_ROWS = 50_000  # sorted rows that are summed together
+ENTRIES = 200_000  # grams that a task counts before it hands them on
 WORDS_AT_ONCE = 100_000
 SALTS = 16
 TAB_FREE = (("\x01", "\x01a"), ("\t", "\x01b"))  # languages in keys
@@ -144,10 +144,12 @@ def graph(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
             begin = split.offsets.to_numpy()[:-1]
             firsts = [split.values.take(pa.array(begin + k)) for k in range(size)]
             shorter = firsts[0] if size == 1 else pc.binary_join_element_wise(*firsts, " ")
-            sums = pa.table({"lang": _parts(nodes.take(held), False)[1], "gram": shorter, "f": f[held.to_numpy()]}).group_by(["lang", "gram"]).aggregate([("f", "sum")])
-            for part in sums.to_batches():
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), part.column("gram"), pa.array(np.full(part.num_rows, size, dtype=np.int32)), part.column("f_sum")], ["lang", "gram", "size", "f"])
+            # grams with the same first words follow each other
+            own = pc.binary_join_element_wise(shorter, _parts(nodes.take(held), False)[1], "\t")
+            begin = _run_starts(own) if len(own) else np.empty(0, np.int64)
+            own = own.take(pa.array(begin))
+            yield rows_of(own, _parts(own, False)[0], size, np.add.reduceat(f[held.to_numpy()], begin) if len(begin) else np.empty(0, np.int64))
+        pa.default_memory_pool().release_unused()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, f, in_runs = pa.array([], pa.string()), np.empty(0, np.int64), False
