@@ -115,7 +115,9 @@ def graph(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
     busy = busy_nodes(docs, lang, text, longest)
     node = F.substring_index("key", "\t", 2)
     part = F.when(node.isin(busy), F.pmod(F.xxhash64("key"), F.lit(SALTS)) + 1).otherwise(0) if busy else F.lit(0)
-    dealt = _edges(docs, lang, text, longest).repartition(node, part).sortWithinPartitions("key")
+    # sorted by numbers first: a node's edges follow each other, and mostly the nodes with the same first word
+    order = F.expr("shiftleft(cast(hash(substring_index(key, ' ', 1)) as bigint), 32) | (hash(substring_index(key, '\t', 2)) & 4294967295L)")
+    dealt = _edges(docs, lang, text, longest).repartition(node, part).withColumn("at", order).sortWithinPartitions("at", "key").select("key", "f")
     in_parts = pa.array(busy, pa.string())
 
     def rows_of(nodes: pa.Array, grams: pa.Array, sizes: int, f: np.ndarray) -> pa.RecordBatch:
