@@ -31,7 +31,7 @@ def profile_size(t: Tables) -> DataFrame:
       CAST(max({c}) AS DOUBLE) AS max, round(median(CAST({c} AS DOUBLE)), 4) AS median FROM lineitem""")
 )
 def profile_numeric(t: Tables) -> DataFrame:
-    return rounded(prof.numeric_summary(t.items))
+    return rounded(prof.numeric_summary(t.lineitem))
 
 
 _MISSING = """SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS missing,
@@ -103,7 +103,7 @@ def duplicates_many(t: Tables) -> DataFrame:
       CAST(max({c}) AS DOUBLE) AS max FROM lineitem""")
 )
 def describe_numeric(t: Tables) -> DataFrame:
-    return rounded(prof.describe_numeric(t.items))
+    return rounded(prof.describe_numeric(t.lineitem))
 
 
 _CATEGORICAL = """SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",

@@ -28,11 +28,6 @@ class Tables:
         """Documents on all cores: their work per row is large."""
         return spread(self.documents)
 
-    @property
-    def items(self) -> DataFrame:
-        """Line items on all cores, for passes that are heavy per row."""
-        return spread(self.lineitem)
-
     @property
     def events_missing(self) -> DataFrame:
         """Events where errors carry no value and large values no type."""

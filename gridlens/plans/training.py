@@ -25,11 +25,11 @@ def _items(t: Tables, target: str) -> DataFrame:
     """All line items: five features and a target that they determine."""
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in (
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
-    return t.items.select(key.alias("id"), *FEATURES, F.expr(target).alias("y"))
+    return t.lineitem.select(key.alias("id"), *FEATURES, F.expr(target).alias("y"))
 
 
 def _keyed_items(t: Tables, target: str) -> DataFrame:
-    return t.items.select(*KEYS, *FEATURES, F.expr(target).alias("y"))
+    return t.lineitem.select(*KEYS, *FEATURES, F.expr(target).alias("y"))
 
 
 TWO_CLASSES = f"case when {_NET} > 25 then 'large' else 'small' end"

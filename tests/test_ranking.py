@@ -71,14 +71,67 @@ def test_quantiles_skip_missing(spark):
     assert (row["n"], row["q0"]) == (2, 2.5)
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
+def test_ordered_bits_keep_the_order():
+    x = np.array([-np.inf, -1e300, -2.5, -1e-310, -0.0, 0.0, 5e-324, 1.0, 1.0 + 2**-52, 7e200, np.inf])
+    bits = ranking.ordered_bits(x)
+    assert (bits[:-1] <= bits[1:]).all() and bits[4] == bits[5] and len(set(bits)) == len(x) - 1
+    assert (ranking.number_of(bits) == x).all()
+
+
+@pytest.mark.parametrize("gathered", [0, 10, 50_000])
+def test_quantiles_of_hot_close_and_extreme_values(spark, monkeypatch, gathered):
+    """Every bit is needed, values repeat over half of the rows, columns have gaps."""
+    monkeypatch.setattr(ranking, "GATHERED", gathered)
+    rnd = np.random.default_rng(5)
+    close = 1.0 + rnd.integers(0, 50, 3000) * 2.0**-52
+    hot = np.where(rnd.random(3000) < 0.6, 7.25, rnd.normal(0, 1e-3, 3000))
+    wide = np.concatenate([[np.inf, -np.inf, 0.0, -0.0], 10.0 ** rnd.uniform(-300, 300, 2996) * rnd.choice([-1, 1], 2996)])
+    rows = [(float(a), float(b) if i % 5 else None, float(c), None, i) for i, (a, b, c) in enumerate(zip(close, hot, wide))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e long").repartition(7)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = {r["column"]: r for r in ranking.quantiles(df, ["a", "b", "c", "d", "e"], probs).collect()}
+    assert "d" not in got and got["b"]["n"] == 2400
+    for name, want in (("a", close), ("b", hot[np.arange(3000) % 5 != 0]), ("e", np.arange(3000.0))):
+        np.testing.assert_allclose([got[name][f"q{j}"] for j in range(6)], np.quantile(want, probs), rtol=1e-15)
+    assert got["c"]["q0"] == -np.inf and got["c"]["q5"] == np.inf
+    assert got["c"]["q3"] == np.quantile(wide, 0.5)
+
+
+def test_quantiles_of_groups_with_missing_and_nested_keys(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(None if i % 3 == 0 else i % 4, "x" if i % 2 else None, float(np.round(rnd.normal(), 2)) if i % 7 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, s string, v double").unionByName(spark.createDataFrame([(9, "none", None)], "k int, s string, v double"))
+    got = {(r["k"], r["s"]): [r["n"], r["q0"], r["q1"]] for r in ranking.quantiles(df, ["v"], [0.1, 0.5], ["k", "s"]).collect()}
+    want = {}
+    for k, s, v in rows:
+        if v is not None:
+            want.setdefault((k, s), []).append(v)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        np.testing.assert_allclose(got[key], [len(values), *np.quantile(values, [0.1, 0.5])], rtol=1e-12)
+
+
+def test_quantile_plans_move_counts_and_not_values(spark):
+    df = spark.range(100).select((F.col("id") * 1.0).alias("v0"))
+    counts = ranking._bin_counts(df, {0: np.zeros(1, dtype=np.uint64)}, 0, ranking.LEADING_BITS)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_lookup_join_paths_agree(spark, limit, how):
     df = _skewed(spark, 600)
     small = spark.createDataFrame([("hot", 1), ("g0", 2), (None, 3)], "g string, w int")
-    got = ranking.lookup_join(df, small, ["g"], how, max_rows=limit)
-    want = df.join(small, "g", how).select(got.columns)
-    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        joined = ranking.lookup_join(df, small, ["g"], how)
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == (limit != "-1")
+        got = joined.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = df.join(small, "g", how).select(joined.columns)
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect()))
 
 
 def test_lookup_join_matches_missing_keys(spark):
@@ -98,4 +151,4 @@ def test_rows_with_maps_can_be_ordered_and_joined(spark):
     df = spark.sql("select id, map('a', id) as m, id % 2 as k from range(10)")
     assert sorted(r["position"] for r in ranking.with_ordinal(df, "k").collect()) == list(range(1, 11))
     small = spark.createDataFrame([(0, "even")], "k long, name string")
-    assert ranking.lookup_join(df, small, ["k"], max_rows=0).count() == 5
+    assert ranking.lookup_join(df, small, ["k"]).count() == 5
