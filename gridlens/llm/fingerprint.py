@@ -65,14 +65,15 @@ def _position(value: Column, cuts: list) -> Column:
 
 
 def with_next(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows in descending order of the id, each with `next_text`, the text of the following one (after the last: of the first).
+    """Rows in descending order of the id, each with `next_text`, the text of the following one (after the last: of the first); null texts come back empty.
 
     The table is cut into ranges of ids; the first row of each range stands at the
     end of the range before as well, so that one shuffle suffices and no task sees
     more than a range.  The number of ranges grows as the root of the rows.  Rows with
     equal ids follow each other in the order of their texts.  Null ids come last.
     """
-    rows = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # one text per row is moved
+    rows = docs.select(*[c for c in docs.columns if c != text], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ranges = 1 + int(docs.count() ** 0.5 / 20)
     cuts = []
     if ranges > 1:
@@ -96,7 +97,7 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         F.col("_in.g"), F.col(id_column).desc_nulls_last(), F.xxhash64("_text").desc()
     )
     placed = placed.withColumn("next_text", F.lead("_text").over(following)).withColumn("_ghost", F.col("_in.g"))
-    return placed.where(~F.col("_ghost")).select(*docs.columns, "next_text")
+    return placed.where(~F.col("_ghost")).select(*[F.col("_text").alias(c) if c == text else c for c in docs.columns], "next_text")
 
 
 def edited_text(text: Column, other: Column) -> Column:
@@ -178,7 +179,6 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     none; other columns are left out.
     """
     rows = with_next(docs.select(id_column, F.col(text).alias("text")), id_column, "text")
-    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("_edited", edited_text(F.col("text"), F.col("next_text")))
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
