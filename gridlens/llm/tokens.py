@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,6 @@ CACHED_WORDS = 400_000
 CACHED_IDS = 4_000_000
 WORDS_AT_ONCE = 4096
 ROWS_AT_ONCE = 1000
-LAST_MARKS = r"(\pL)([!-/:-@\[-`{-~]+)( |$)"
 COMBINING = r"\pM"
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -34,6 +34,18 @@ ORC_OPTIONS = {
 FILE_SCHEMA = "doc_id {kind}, shard int, start long, n_tokens long, tokens array<int>"
 
 
+@functools.lru_cache(maxsize=1)
+def last_marks() -> str:
+    """Pattern of ASCII marks after a letter at a piece's end.
+
+    A letter that is composed or lower-cased to one with a combining mark at its end
+    does not count: the tokenizer keeps such a mark with the punctuation after it.
+    """
+    letters = [c for c in map(chr, range(0x30000)) if unicodedata.category(c).startswith("L")]
+    marked = [c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1]).startswith("M")]
+    return rf"([^\PL{''.join(marked)}])([!-/:-@\[-`{{-~]+)( |$)"
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -56,6 +68,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last_marks = last_marks()
         self._forget()
 
     def _forget(self) -> None:
@@ -95,7 +108,7 @@ class PieceEncoder:
         plain = pc.if_else(whole, "", texts)
         plain = pc.if_else(pc.match_substring_regex(plain, COMBINING), plain, pc.ascii_lower(plain))
         plain = pc.replace_substring(plain, "\n", " ")
-        split = pc.split_pattern(pc.replace_substring_regex(plain, LAST_MARKS, r"\1 \2\3"), " ")
+        split = pc.split_pattern(pc.replace_substring_regex(plain, self.last_marks, r"\1 \2\3"), " ")
         coded = split.values.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         new = [p for p in pieces if p not in self.known]
