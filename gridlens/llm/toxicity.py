@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from gridlens.llm.shared import GAMMA, mix64, table
 
 CACHED_WORDS = 150_000
+NOTHING_KNOWN = -5.0  # log odds of texts without words, and of all texts without a model
 LONG_WORD, PIECE, PIECE_STEP = 64, 16, 12
 JOINTS = re.compile("[!-/:-@\\[-`{-~\u200b\u2060\ufeff]+")
 
@@ -222,7 +223,7 @@ class Scorer:
         size, out = model.settings.window, np.empty(len(texts))
         for k, words in enumerate(split):
             if not words:
-                out[k] = -5.0
+                out[k] = NOTHING_KNOWN
                 continue
             values = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
             sums = np.concatenate([[0.0], np.cumsum(values)])
@@ -236,16 +237,35 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fits on at most max_rows labelled rows of either class (by the hash of the id), none of the held-out fold."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("label")).dropDuplicates(["doc_id"])
-    known = known.where(~held_out(F.col("doc_id")))
+    """Fits on at most max_rows labelled rows of either class (by the hash of the id), none of the held-out fold.
+
+    Of conflicting labels of an id the largest counts, of several texts the least.  A
+    class whose texts are all longer than max_chars is fitted on their first max_chars
+    characters.  Where a class has no text at all, or no n-gram tells the classes
+    apart, every document gets the same low score.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out(F.col("doc_id")))
     sample = None
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(settings.max_rows)
         sample = part if sample is None else sample.unionByName(part)
-    rows = docs.where(F.length("text") <= settings.max_chars).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = rows.toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return fit(found["text"].tolist(), found["label"].astype(int).tolist(), settings)
+
+    def texts(wanted: DataFrame, fits: F.Column) -> pd.DataFrame:
+        rows = docs.where(fits).select("doc_id", F.substring("text", 1, settings.max_chars).alias("text")).join(F.broadcast(wanted), "doc_id")
+        return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).toPandas()
+
+    short = F.length("text") <= settings.max_chars
+    found = texts(sample, short)
+    for label in {0, 1} - set(found["label"].astype(int)):
+        found = pd.concat([found, texts(sample.where(F.col("label") == label), ~short)])
+    found = found.sort_values(["doc_id", "text"], kind="stable")
+    model = None
+    if set(found["label"].astype(int)) >= {0, 1}:
+        model = fit(found["text"].tolist(), found["label"].astype(int).tolist(), settings)
+    if model is None or not model.gram_score.any() or not np.isfinite(model.bias):
+        return Model(np.zeros(settings.buckets), NOTHING_KNOWN, settings)
+    return model
 
 
 def held_out(ident) -> F.Column:

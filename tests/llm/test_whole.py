@@ -133,3 +133,38 @@ def test_all_words_of_class_and_id_are_marks():
     utility = " ".join(f"flex mt-{k} text-sm" for k in range(10))
     marks = html_text._marks(f' class="{utility} sidebar" id="comments"')[0]
     assert {"sidebar", "comments"} <= set(marks)
+
+
+def test_training_without_a_usable_class(spark):
+    """No labels, labels in the held-out fold only, or one class only: nothing is rejected.  Long texts are fitted by a piece."""
+    ids = [r["id"] for r in spark.range(4000).where(~toxicity.held_out(F.col("id"))).limit(600).collect()]
+    held = [r["id"] for r in spark.range(400).where(toxicity.held_out(F.col("id"))).limit(40).collect()]
+    docs = spark.createDataFrame([(i, f"a fine day number {i}") for i in ids + held], "doc_id long, text string")
+    label = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    for rows in ([], [(i, k % 2) for k, i in enumerate(held)], [(i, 1) for i in ids[:50]], [(i, 0) for i in ids[:50]]):
+        model = toxicity.train(docs, label(rows))
+        assert toxicity.score(docs, model).where("score >= 0.3").count() == 0
+    filler = "calm words of the day go on and on " * 200
+    texts = [(i, ("you grobblez and grobblex here " if k % 2 else "we met a friend and talked ") + filler) for k, i in enumerate(ids)]
+    long_docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.train(long_docs, label([(i, k % 2) for k, i in enumerate(ids)] * 2 + [(ids[0], 1)]))
+    clean, bad = toxicity.Scorer(model).score(["we met a friend", "you grobblez and grobblex"])
+    assert clean < bad
+
+
+def test_random_texts_encode_like_the_tokenizer():
+    """Letters whose small or composed form holds a mark, combining marks, all ASCII marks."""
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(tokens.word_bpe_path()), tokens.PieceEncoder(tokens.word_bpe_path())
+    rng = np.random.default_rng(11)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    letters = list("aAbİıIéÉßŉﬁΣσςǰẖÅКйЙक़ग़שּׁ각ﬀ中") + ["e\u0301", "i\u0307", "I\u0307", "T\u0308", "\u0301", "\u0958", "\ufb2a", "x\u0323"]
+    others = [" ", " ", "\n", "\t", "\u00a0", "5", "٣", "…", "<|"]
+    alphabet = np.array(letters * 2 + marks + others * 2, dtype=object)
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 14))) for _ in range(30_000)] + ["Sn. İ. Yılmaz", "İ,", "(İ)", "Ali İ.", "\u0958. \u0958,"]
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        ids, bounds = encoder.batch(pa.array(part, pa.string()), 1)
+        for k, text in enumerate(part):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1], repr(text)
