@@ -33,11 +33,12 @@ MAX_CATEGORIES = 500_000
 
 @dataclass
 class FeatureModel:
-    """Stages from raw columns to one vector, and the name of each position."""
+    """Stages from raw columns to one vector, and the name of each position; the first `numeric` are no 0/1 columns."""
 
     stages: PipelineModel
     names: list[str]
     scratch: list[str]
+    numeric: int = 0
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.stages.transform(df).drop(*self.scratch)
@@ -129,8 +130,7 @@ def fit_features(df: DataFrame, columns: Sequence[str] | None = None) -> Feature
         model = stage.fit(shape) if hasattr(stage, "fit") else stage
         shape = model.transform(shape)
         fitted.append(model)
-    return FeatureModel(PipelineModel(fitted), names, scratch)
-
+    return FeatureModel(PipelineModel(fitted), names, scratch, sum(n.startswith("_num") for n in inputs))
 
 
 

@@ -9,22 +9,16 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import is_missing, quoted, require_columns
-from gridlens.operators import evaluate
+from gridlens.operators import evaluate, linear, trees
 from gridlens.operators.features import FEATURES, FeatureModel, column_list, fit_features
 from gridlens.operators.prep import with_class_weights
 from gridlens.operators.profile import detect_task_type
@@ -33,7 +27,6 @@ from gridlens.session import materialise
 
 SEED = 42
 LABEL, WEIGHT = "_label", "_weight"
-MAX_TREE_DEPTH = 30
 CLASSIFIERS = (
     "Random Forest", "Gradient Boosting", "Logistic Regression", "SVM", "XGBoost", "LightGBM",
     "Ensemble",
@@ -49,15 +42,20 @@ REGRESSORS = (
 
 @dataclass
 class Member:
-    """One fitted Spark model and how to turn its output into scores."""
+    """One fitted model and how to turn its output into scores."""
 
     model: Any
     classes: int = 0
+    weights: np.ndarray | None = None
     before: Callable[[DataFrame], DataFrame] | None = None
     platt: Any = None
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """Append class probabilities (array) or the predicted number."""
+        if isinstance(self.model, (trees.BoostedTrees, trees.RandomForestTrees)):
+            return trees.scored(df, FEATURES, self.model, name)
+        if isinstance(self.model, linear.LinearModel):
+            return df.withColumn(name, self.model.predict(FEATURES))
         keep = df.columns
         ready = self.before(df) if self.before else df
         out = self.model.transform(ready)
@@ -76,60 +74,40 @@ class Member:
             value = F.transform(odds, lambda p: p / F.aggregate(odds, F.lit(0.0), lambda a, x: a + x))
         return out.select(*[quoted(c) for c in keep], value.alias(name))
 
-    def importance(self, size: int) -> list[float] | None:
-        m = self.model
-        if self.before is not None:
-            return None
-        if hasattr(m, "featureImportances"):
-            return m.featureImportances.toArray().tolist()
-        if hasattr(m, "coefficientMatrix"):
-            return np.abs(m.coefficientMatrix.toArray()).mean(axis=0).tolist()
-        if hasattr(m, "coefficients"):
-            return np.abs(m.coefficients.toArray()).tolist()
-        if hasattr(m, "models") and all(hasattr(x, "featureImportances") for x in m.models):
-            return np.mean([x.featureImportances.toArray() for x in m.models], axis=0).tolist()
-        return None
-
-
-def _fit_random_forest(df: DataFrame, classes: int, trees: int = 200, depth: int = MAX_TREE_DEPTH,
-                       **_: Any) -> Member:
-    common = dict(featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=depth, seed=SEED)
-    if classes:
-        return Member(RandomForestClassifier(weightCol=WEIGHT, **common).fit(df), classes)
-    return Member(RandomForestRegressor(featureSubsetStrategy="all", **common).fit(df))
-
-
-def _fit_boosting(df: DataFrame, classes: int, rounds: int, rate: float, depth: int,
-                  weighted: bool = False, bins: int = 32, rows: float = 1.0, columns: str = "all",
-                  ) -> Member:
-    common = dict(
-        featuresCol=FEATURES, labelCol=LABEL, maxIter=rounds, stepSize=rate, maxDepth=depth,
-        maxBins=bins, subsamplingRate=rows, featureSubsetStrategy=columns, seed=SEED,
-    )
-    if not classes:
-        return Member(GBTRegressor(**common).fit(df))
-    weight = {"weightCol": WEIGHT} if weighted else {}
-    if classes <= 2:
-        return Member(GBTClassifier(**common, **weight).fit(df), classes)
-    rest = OneVsRest(classifier=GBTClassifier(**common), featuresCol=FEATURES, labelCol=LABEL,
-                     **weight)
-    return Member(rest.fit(df), classes)
-
-
-def _fit_gradient_boosting(df: DataFrame, classes: int, rounds: int = 150, depth: int = 5,
-                           **_: Any) -> Member:
-    return _fit_boosting(df, classes, rounds, 0.1, depth)
-
-
-def _fit_xgboost_style(df: DataFrame, classes: int, rounds: int = 200, depth: int = 6,
-                       rate: float = 0.05, rows: float = 0.8, columns: str = "0.8", **_: Any) -> Member:
-    return _fit_boosting(df, classes, rounds, rate, depth, rows=rows, columns=columns)
 
-
-def _fit_lightgbm_style(df: DataFrame, classes: int, rounds: int = 200, depth: int = 5,
-                        **_: Any) -> Member:
-    """Depth 5 allows 32 leaves; growth is by level and not by leaf."""
-    return _fit_boosting(df, classes, rounds, 0.05, depth, weighted=True, bins=255)
+def _tree_settings(name: str, classes: int, size: int, params: dict[str, Any]) -> trees.Boosting | trees.Forest | None:
+    """The settings of a tree model by its name; `trees`, `rounds` and `depth` change them."""
+    depth, none = params.get("depth"), 1 << 20
+    if name == "Random Forest":
+        drawn = max(1, int(size**0.5)) if classes else 0
+        return trees.Forest(params.get("trees", 200), depth or none, balanced=bool(classes), per_node=drawn, seed=SEED)
+    rounds = params.get("rounds")
+    if name == "Gradient Boosting":
+        plain = trees.Growth(depth=depth or params.get("levels", 5), penalty=0.0, least_hessian=0.0)
+        return trees.Boosting(rounds or 150, 0.1, plain, by_rows=True, seed=SEED)
+    if name == "XGBoost":
+        share = params.get("share", 0.8)
+        penalised = trees.Growth(depth=depth or 6, penalty=1.0, least_hessian=1.0, columns=share)
+        return trees.Boosting(rounds or 200, params.get("rate", 0.05), penalised, row_share=share, seed=SEED)
+    if name == "LightGBM":
+        by_leaf = trees.Growth(depth=depth or none, leaves=31, penalty=0.0, least_hessian=1e-3, least_rows=20)
+        return trees.Boosting(rounds or 200, 0.05, by_leaf, balanced=bool(classes), seed=SEED)
+    return None
+
+
+def _fit_trees(df: DataFrame, name: str, classes: int, features: FeatureModel, uses: Sequence[Column], params: dict[str, Any]) -> list[Member]:
+    size = len(features.names)
+    setting = _tree_settings(name, classes, size, params)
+    found = trees.fit_all(df, FEATURES, LABEL, features.numeric, size, classes, uses, setting, params.get("task_bytes"))
+    kept = lambda m: m.trees
+    return [Member(m, classes, trees.importances(kept(m), size)) for m in found]
+
+
+def _fit_linear(df: DataFrame, name: str, uses: Sequence[Column], params: dict[str, Any]) -> list[Member]:
+    limits = {"iterations": params["iterations"]} if "iterations" in params else {}
+    kind = "ridge" if name == "Ridge Regression" else "lasso"
+    found = linear.fit_all(df, FEATURES, LABEL, uses, kind, params.get("alpha", 1.0), **limits)
+    return [Member(m, 0, np.abs(m.coefficients.toArray())) for m in found]
 
 
 def _fit_logistic(df: DataFrame, classes: int, iterations: int = 1000, **_: Any) -> Member:
@@ -138,29 +116,8 @@ def _fit_logistic(df: DataFrame, classes: int, iterations: int = 1000, **_: Any)
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=iterations,
         regParam=1.0 / df.count(), standardization=False,
     )
-    return Member(estimator.fit(df), classes)
-
-
-def _fit_ridge(df: DataFrame, classes: int, alpha: float = 1.0, **_: Any) -> Member:
-    """Spark scales the penalty by the label's deviation; undo that."""
-    s = df.agg(F.count("*").alias("n"), F.stddev_pop(LABEL).alias("p"),
-               F.stddev_samp(LABEL).alias("s")).first()
-    wide = len(df.select(FEATURES).first()[0]) > 4096
-    estimator = LinearRegression(
-        featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=0.0, standardization=False,
-        solver="l-bfgs" if wide else "normal",
-        regParam=alpha * ((s["s"] if wide else s["p"]) or 0.0) / s["n"],
-    )
-    return Member(estimator.fit(df))
-
-
-def _fit_lasso(df: DataFrame, classes: int, alpha: float = 1.0, iterations: int = 5000,
-               **_: Any) -> Member:
-    estimator = LinearRegression(
-        featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=1.0, regParam=alpha,
-        standardization=False, maxIter=iterations,
-    )
-    return Member(estimator.fit(df))
+    fitted = estimator.fit(df)
+    return Member(fitted, classes, np.abs(fitted.coefficientMatrix.toArray()).mean(axis=0))
 
 
 def fourier_features(dims: int, gamma: float, size: int, seed: int) -> Callable[[DataFrame], DataFrame]:
@@ -193,47 +150,53 @@ def _fit_svm(df: DataFrame, classes: int, fourier: int = 200, iterations: int =
         if not classes:
             huber = LinearRegression(featuresCol=FEATURES, labelCol=LABEL, loss="huber",
                                      maxIter=iterations, regParam=1.0 / n)
-            return Member(huber.fit(ready), before=mapping)
+            return Member(huber.fit(ready), 0, before=mapping)
         svc = LinearSVC(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
                         maxIter=iterations, regParam=1.0 / n, standardization=False)
         if classes > 2:
             rest = OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT)
-            return Member(rest.fit(ready), classes, mapping)
+            return Member(rest.fit(ready), classes, before=mapping)
         fitted = svc.fit(ready)
         margins = fitted.transform(ready).select(
             LABEL, array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("_margin")
         )
         platt = LogisticRegression(featuresCol="_margin", labelCol=LABEL).fit(margins)
-        return Member(fitted, classes, mapping, platt)
+        return Member(fitted, classes, before=mapping, platt=platt)
     finally:
         ready.unpersist()
 
 
-FITTERS: dict[str, Callable[..., Member]] = {
-    "Random Forest": _fit_random_forest,
-    "Gradient Boosting": _fit_gradient_boosting,
-    "Logistic Regression": _fit_logistic,
-    "Ridge Regression": _fit_ridge,
-    "Lasso Regression": _fit_lasso,
-    "SVM": _fit_svm,
-    "XGBoost": _fit_xgboost_style,
-    "LightGBM": _fit_lightgbm_style,
-}
+TREES = ("Random Forest", "Gradient Boosting", "XGBoost", "LightGBM")
+LINEAR = ("Ridge Regression", "Lasso Regression")
+FITTERS: dict[str, Callable[..., Member]] = {"Logistic Regression": _fit_logistic, "SVM": _fit_svm}
+
 
+def known_name(name: str, task: str) -> str:
+    """Names that a task does not have mean a random forest."""
+    return name if name in (CLASSIFIERS if task == "classification" else REGRESSORS) else "Random Forest"
 
-def _fit_members(df: DataFrame, name: str, classes: int, params: dict[str, Any]) -> list[Member]:
+
+def _fit_members(
+    df: DataFrame, name: str, classes: int, features: FeatureModel, uses: Sequence[Column], params: dict[str, Any]
+) -> list[list[Member]]:
+    """The members of one model per row filter in `uses`."""
     if name == "Ensemble":
-        trees, rounds = params.get("trees", 150), params.get("rounds", 100)
-        depth = params.get("depth")
-        third = dict(rounds=rounds, depth=depth or 6, rate=0.3, rows=1.0, columns="all")
-        return [
-            _fit_random_forest(df, classes, trees=trees, depth=depth or MAX_TREE_DEPTH),
-            _fit_gradient_boosting(df, classes, rounds=rounds, depth=depth or 3),
-            _fit_xgboost_style(df, classes, **third),
+        parts = [
+            _fit_trees(df, "Random Forest", classes, features, uses, {"trees": 150, **params}),
+            _fit_trees(df, "Gradient Boosting", classes, features, uses, {"rounds": 100, "levels": 3, **params}),
+            _fit_trees(df, "XGBoost", classes, features, uses, {"rounds": 100, "rate": 0.3, "share": 1.0, **params}),
         ]
-    allowed = CLASSIFIERS if classes else REGRESSORS
-    fitter = FITTERS[name] if name in allowed else _fit_random_forest
-    return [fitter(df, classes, **params)]
+        return [list(members) for members in zip(*parts)]
+    if name in TREES:
+        return [[m] for m in _fit_trees(df, name, classes, features, uses, params)]
+    if name in LINEAR:
+        return [[m] for m in _fit_linear(df, name, uses, params)]
+    out = []
+    for use in uses:
+        rows = df.where(use)
+        rows = with_class_weights(rows, LABEL, WEIGHT) if classes else rows
+        out.append([FITTERS[name](rows, classes, **params)])
+    return out
 
 
 # ---------------------------------------------------------------- fitted model
@@ -295,7 +258,7 @@ class FittedModel:
     def importance(self, df: DataFrame) -> DataFrame:
         """(feature, importance), largest first: the mean over members that have
         one, zeros if none has."""
-        found = [v for v in (m.importance(len(self.features.names)) for m in self.members) if v]
+        found = [m.weights for m in self.members if m.weights is not None]
         mean = np.mean(found, axis=0) if found else np.zeros(len(self.features.names))
         rows = [(n, float(v)) for n, v in zip(self.features.names, mean)]
         return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
@@ -316,23 +279,38 @@ def fit(
     columns: Sequence[str] | None = None, fit_on: DataFrame | None = None, **params: Any,
 ) -> FittedModel:
     """Fit one model.  Encoders and scalers see ``df`` unless ``fit_on`` is given."""
+    return fit_each(df, [F.lit(True)], target, model, task, columns, fit_on, **params)[0]
+
+
+def fit_each(
+    df: DataFrame, uses: Sequence[Column], target: str, model: str, task: str,
+    columns: Sequence[str] | None = None, fit_on: DataFrame | None = None, **params: Any,
+) -> list[FittedModel]:
+    """One model per row filter in ``uses``, which share the encoders of the first one's rows.
+
+    Trees and the ridge and lasso of all filters come from one pass over the rows.
+    """
+    name = known_name(model, task)
     columns = column_list(df, target) if columns is None else list(columns)
-    features = fit_features(df if fit_on is None else fit_on, columns)
-    ready = features.transform(labelled(df, target, task)).select(FEATURES, quoted(target))
+    features = fit_features(df.where(uses[0]) if fit_on is None else fit_on, columns)
+    flags = [f"_use{m}" for m in range(len(uses))]
+    marked = labelled(df, target, task).select("*", *[u.alias(f) for u, f in zip(uses, flags)])
+    ready = features.transform(marked).select(FEATURES, quoted(target), *flags)
     labels: list[str] = []
     if task == "classification":
         indexer = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc")
-        index = indexer.fit(ready)
+        index = indexer.fit(ready.where(" or ".join(flags)))
+        index.setHandleInvalid("skip")
         labels = list(index.labels)
-        ready = with_class_weights(index.transform(ready), LABEL, WEIGHT)
+        ready = index.transform(ready)
     else:
         ready = ready.withColumn(LABEL, quoted(target).cast("double"))
     ready = ready.drop(target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        members = _fit_members(ready, model, len(labels), params)
+        members = _fit_members(ready, name, len(labels), features, [F.col(f) for f in flags], params)
     finally:
         ready.unpersist()
-    return FittedModel(task, model, target, features, members, labels)
+    return [FittedModel(task, model, target, features, m, labels) for m in members]
 
 
 # ---------------------------------------------------------------- training run
@@ -372,7 +350,12 @@ def train(
         "split",
     )
     everything = placed if fit_on == "all" else None
-    fitted = fit(placed.where("not is_test"), target, model, task, columns, everything, **params)
+    train_rows = ~F.col("is_test")
+    if known_name(model, task) in FITTERS:
+        fitted, in_folds = fit(placed.where(train_rows), target, model, task, columns, everything, **params), None
+    else:
+        uses = [train_rows, *[F.col("fold") != i for i in range(folds)]]
+        fitted, *in_folds = fit_each(placed, uses, target, model, task, columns, everything, **params)
     held_out = placed.where("is_test").drop("is_test", "fold")
     # scored once; metrics, confusion and report read the written rows
     scored = materialise(
@@ -381,20 +364,30 @@ def train(
     )
     scores = None
     if folds:
-        scores = cross_validate(placed, target, model, task, columns, folds, everything, **params)
+        scores = cross_validate(placed, target, model, task, columns, folds, everything, in_folds, **params)
     return TrainingRun(fitted, scored, _metrics(fitted, scored, scores), scores)
 
 
 def cross_validate(
     dealt: DataFrame, target: str, model: str, task: str, columns: Sequence[str], folds: int,
-    fit_on: DataFrame | None = None, **params: Any,
+    fit_on: DataFrame | None = None, fitted: Sequence[FittedModel] | None = None, **params: Any,
 ) -> DataFrame:
-    """(fold, score) over a table with a ``fold`` column; encoders and scalers are
-    fitted inside each fold."""
+    """(fold, score) over a table with a ``fold`` column, by the models in ``fitted`` where they are given.
+
+    Trees and linear models of all folds are fitted together on one encoding, which
+    only places rows on axes: linear models scale their columns by their own rows.
+    For the others encoders and scalers are fitted inside each fold.
+    """
+    if fitted is None and known_name(model, task) not in FITTERS:
+        uses = [F.col("fold") != i for i in range(folds)]
+        fitted = fit_each(dealt, uses, target, model, task, columns, dealt if fit_on is None else fit_on, **params)
     out = None
     for i in range(folds):
-        fitted = fit(dealt.where(F.col("fold") != i), target, model, task, columns, fit_on, **params)
-        scored = fitted.predict(dealt.where(F.col("fold") == i))
+        if fitted is None:
+            one = fit(dealt.where(F.col("fold") != i), target, model, task, columns, fit_on, **params)
+        else:
+            one = fitted[i]
+        scored = one.predict(dealt.where(F.col("fold") == i))
         part = evaluate.fold_scores(scored, task, target, "prediction")
         out = part if out is None else out.unionByName(part)
     return out
