@@ -7,18 +7,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import is_missing, quoted, require_columns
-from gridlens.operators import evaluate, linear, trees
+from gridlens.operators import evaluate, kernel, linear, trees
 from gridlens.operators.features import FEATURES, FeatureModel, column_list, fit_features
 from gridlens.operators.prep import with_class_weights
 from gridlens.operators.profile import detect_task_type
@@ -47,32 +45,15 @@ class Member:
     model: Any
     classes: int = 0
     weights: np.ndarray | None = None
-    before: Callable[[DataFrame], DataFrame] | None = None
-    platt: Any = None
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """Append class probabilities (array) or the predicted number."""
-        if isinstance(self.model, (trees.BoostedTrees, trees.RandomForestTrees)):
-            return trees.scored(df, FEATURES, self.model, name)
         if isinstance(self.model, linear.LinearModel):
             return df.withColumn(name, self.model.predict(FEATURES))
-        keep = df.columns
-        ready = self.before(df) if self.before else df
-        out = self.model.transform(ready)
-        if not self.classes:
-            value = F.col("prediction")
-        elif self.platt is not None:
-            margin = vector_to_array("rawPrediction")[1]
-            shaped = out.withColumn("_margin", array_to_vector(F.array(margin)))
-            out = self.platt.transform(shaped.drop("rawPrediction", "prediction", FEATURES))
-            value = vector_to_array("probability")
-            keep = [c for c in keep if c != FEATURES]
-        elif "probability" in out.columns:
-            value = vector_to_array("probability")
-        else:
-            odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-            value = F.transform(odds, lambda p: p / F.aggregate(odds, F.lit(0.0), lambda a, x: a + x))
-        return out.select(*[quoted(c) for c in keep], value.alias(name))
+        if hasattr(self.model, "scores"):
+            return trees.scored(df, FEATURES, self.model, name)
+        out = self.model.transform(df)
+        return out.select(*[quoted(c) for c in df.columns], vector_to_array("probability").alias(name))
 
 
 def _tree_settings(name: str, classes: int, size: int, params: dict[str, Any]) -> trees.Boosting | trees.Forest | None:
@@ -120,55 +101,19 @@ def _fit_logistic(df: DataFrame, classes: int, iterations: int = 1000, **_: Any)
     return Member(fitted, classes, np.abs(fitted.coefficientMatrix.toArray()).mean(axis=0))
 
 
-def fourier_features(dims: int, gamma: float, size: int, seed: int) -> Callable[[DataFrame], DataFrame]:
-    """Random Fourier features of the RBF kernel (Rahimi and Recht, 2007)."""
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(scale=np.sqrt(2 * gamma), size=(dims, size))
-    phase = rng.uniform(0, 2 * np.pi, size=size)
-
-    @F.pandas_udf("array<double>")
-    def project(rows: pd.Series) -> pd.Series:
-        x = np.stack(rows.to_numpy())
-        return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ directions + phase)))
-
-    def apply(df: DataFrame) -> DataFrame:
-        mapped = array_to_vector(project(vector_to_array(FEATURES)))
-        return df.withColumn(FEATURES, mapped)
-
-    return apply
-
-
-def _fit_svm(df: DataFrame, classes: int, fourier: int = 200, iterations: int = 100,
-             **_: Any) -> Member:
-    """RBF support vectors, approximated: Spark has linear ones only."""
+def _fit_kernel(df: DataFrame, classes: int, uses: Sequence[Column], params: dict[str, Any]) -> list[Member]:
     # scaled columns have variance 1 and constant ones 0, so features times variance is the number of varying ones
-    variance = df.select(Summarizer.variance(F.col(FEATURES)).alias("v")).first()["v"].toArray()
-    mapping = fourier_features(len(variance), 1.0 / max(1, int((variance > 1e-9).sum())), fourier, SEED)
-    ready = mapping(df).persist(StorageLevel.MEMORY_AND_DISK)
-    n = ready.count()
-    try:
-        if not classes:
-            huber = LinearRegression(featuresCol=FEATURES, labelCol=LABEL, loss="huber",
-                                     maxIter=iterations, regParam=1.0 / n)
-            return Member(huber.fit(ready), 0, before=mapping)
-        svc = LinearSVC(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                        maxIter=iterations, regParam=1.0 / n, standardization=False)
-        if classes > 2:
-            rest = OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT)
-            return Member(rest.fit(ready), classes, before=mapping)
-        fitted = svc.fit(ready)
-        margins = fitted.transform(ready).select(
-            LABEL, array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("_margin")
-        )
-        platt = LogisticRegression(featuresCol="_margin", labelCol=LABEL).fit(margins)
-        return Member(fitted, classes, before=mapping, platt=platt)
-    finally:
-        ready.unpersist()
+    variance = df.where(uses[0]).select(Summarizer.variance(F.col(FEATURES)).alias("v")).first()["v"].toArray()
+    gamma = 1.0 / max(1, int((variance > 1e-9).sum()))
+    limits = {"iterations": params["iterations"]} if "iterations" in params else {}
+    found = kernel.fit_all(df, FEATURES, LABEL, classes, uses, gamma, params.get("fourier", 200), seed=SEED,
+                           task_bytes=params.get("task_bytes"), **limits)
+    return [Member(m, classes) for m in found]
 
 
 TREES = ("Random Forest", "Gradient Boosting", "XGBoost", "LightGBM")
 LINEAR = ("Ridge Regression", "Lasso Regression")
-FITTERS: dict[str, Callable[..., Member]] = {"Logistic Regression": _fit_logistic, "SVM": _fit_svm}
+FITTERS: dict[str, Callable[..., Member]] = {"Logistic Regression": _fit_logistic}
 
 
 def known_name(name: str, task: str) -> str:
@@ -189,6 +134,8 @@ def _fit_members(
         return [list(members) for members in zip(*parts)]
     if name in TREES:
         return [[m] for m in _fit_trees(df, name, classes, features, uses, params)]
+    if name == "SVM":
+        return [[m] for m in _fit_kernel(df, classes, uses, params)]
     if name in LINEAR:
         return [[m] for m in _fit_linear(df, name, uses, params)]
     out = []

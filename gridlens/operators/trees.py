@@ -336,7 +336,7 @@ def grow(offsets: np.ndarray, growth: Growth, leaf: Callable, seed: int, closed:
     return tree, left_over
 
 
-def run_together(growths: list[Generator], ask: Callable[[list[tuple[int, Tree, list[int]]]], list]) -> list:
+def run_together(growths: list[Generator], ask: Callable[[list[tuple]], list]) -> list:
     """Runs growths in step: one call of `ask` answers all that are open."""
     results: list[Any] = [None] * len(growths)
     asked = {k: next(g) for k, g in enumerate(growths)}
@@ -741,7 +741,7 @@ def importances(trees: Sequence[Tree], size: int) -> np.ndarray:
     return out / max(out.sum(), TINY) if out.any() else out
 
 
-def scored(df: DataFrame, features: str, model: BoostedTrees | RandomForestTrees, name: str) -> DataFrame:
+def scored(df: DataFrame, features: str, model: Any, name: str) -> DataFrame:
     """Append class probabilities (array) or the predicted number."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
