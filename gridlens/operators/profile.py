@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,11 @@ from gridlens.functions.columns import (
     temporal_columns,
     type_class,
 )
+from gridlens.operators.gram import summed_matrices
 from gridlens.operators.ranking import quantiles
 
 CLASSIFICATION_MAX_VALUES = 20
-CORRELATION_COLUMNS_PER_PASS = 40
+CORRELATION_COLUMNS = 500
 
 
 def _rows(cells: Sequence[Column]) -> Column:
@@ -277,77 +280,56 @@ def detect_task_type(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every pair, as (col_i, col_j, r) with both halves and the
-    diagonal.  Pairs use the rows where both are present; a constant column
-    gives NULL.
+    diagonal.  Pairs use the rows where both are present; a column that is constant
+    in these rows gives NULL.
 
-    Columns are centred by their mean first, so plain sums of products are
-    enough; ``corr`` would divide by zero on a constant column under ANSI and
-    keeps six running moments per pair.
+    Two scans: means, then the products of all columns, of their squares and of
+    their presence, as matrices that tasks add up.  Beyond CORRELATION_COLUMNS the
+    pairs of blocks of columns take a scan each.
     """
     columns = list(numeric_columns(df) if columns is None else columns)
     if len(columns) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    clean = nan_to_null(df.select(*[quoted(c).cast("double").alias(c) for c in columns]))
-    centre = clean.agg(
-        F.count("*").alias("n"),
-        *[
-            F.struct(
-                F.count(quoted(c)).alias("n"), F.avg(quoted(c)).alias("mean"),
-                (F.min(quoted(c)) < F.max(quoted(c))).alias("varies"),
-            ).alias(f"s{i}")
-            for i, c in enumerate(columns)
-        ],
-    ).first()
-    stats = [centre[f"s{i}"] for i in range(len(columns))]
-    centred = clean.select(
-        *[(quoted(c) - F.lit(stats[i]["mean"])).alias(f"d{i}") for i, c in enumerate(columns)]
-    )
-    pairs = [*combinations(range(len(columns)), 2), *[(i, i) for i in range(len(columns))]]
-    per_pass = CORRELATION_COLUMNS_PER_PASS * (CORRELATION_COLUMNS_PER_PASS - 1) // 2
-    out = None
-    for start in range(0, len(pairs), per_pass):
-        part = pairs[start : start + per_pass]
-        full = [stats[i]["n"] == stats[j]["n"] == centre["n"] for i, j in part]
-        cells = [
-            F.struct(
-                F.lit(columns[a]).alias("col_i"), F.lit(columns[b]).alias("col_j"),
-                F.col(f"r_{i}_{j}").alias("r"),
-            )
-            for i, j in part
-            for a, b in dict.fromkeys([(i, j), (j, i)])
-        ]
-        rows = (
-            centred.agg(
-                *[
-                    (_r_complete(i, j, stats) if f else _r_pairwise(i, j)).alias(f"r_{i}_{j}")
-                    for (i, j), f in zip(part, full)
-                ]
-            )
-            .select(_rows(cells))
-            .select("r.*")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    clean = nan_to_null(df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    means = clean.agg(*[F.avg(c).alias(c) for c in clean.columns]).first()
+    centred = clean.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in clean.columns])
+    starts = range(0, len(columns), CORRELATION_COLUMNS)
+    found = [
+        part
+        for i in starts
+        for j in starts
+        if i <= j
+        for part in _block_correlation(centred, columns, range(i, min(i + CORRELATION_COLUMNS, len(columns))), range(j, min(j + CORRELATION_COLUMNS, len(columns))))
+    ]
+    return df.sparkSession.createDataFrame(pd.concat(found), "col_i string, col_j string, r double")
 
 
-def _r_complete(i: int, j: int, stats: Sequence) -> Column:
-    """r of two columns without missing values."""
-    if not (stats[i]["varies"] and stats[j]["varies"]):
-        return F.max(F.lit(None).cast("double"))
-    x, y = F.col(f"d{i}"), F.col(f"d{j}")
-    return F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
-
-
-def _r_pairwise(i: int, j: int) -> Column:
-    """r over the rows where both are present; means are those of these rows."""
-    both = F.col(f"d{i}").isNotNull() & F.col(f"d{j}").isNotNull()
-    x, y = F.when(both, F.col(f"d{i}")), F.when(both, F.col(f"d{j}"))
-    n = F.count_if(both)
-    sxy = F.sum(x * y) - F.try_divide(F.sum(x) * F.sum(y), n)
-    sxx = F.sum(x * x) - F.try_divide(F.sum(x) * F.sum(x), n)
-    syy = F.sum(y * y) - F.try_divide(F.sum(y) * F.sum(y), n)
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.try_divide(sxy, F.sqrt(F.greatest(sxx * syy, F.lit(0.0)))))
+def _block_correlation(centred: DataFrame, columns: list[str], left: range, right: range) -> list[pd.DataFrame]:
+    """r of the columns of two blocks, in both directions."""
+
+    def products(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        side = lambda block: np.column_stack([values[names.index(f"c{i}")] for i in block]).astype(np.float64)
+        x, y = side(left), side(right)
+        p, q = (~np.isnan(x)).astype(np.float64), (~np.isnan(y)).astype(np.float64)
+        x, y = np.nan_to_num(x, nan=0.0), np.nan_to_num(y, nan=0.0)
+        return dict(enumerate((x.T @ y, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), p.T @ q)))
+
+    names = [f"c{i}" for i in dict.fromkeys([*left, *right])]
+    sums = summed_matrices(centred.select(*names), products)
+    if not sums:
+        r = np.full((len(left), len(right)), np.nan)
+    else:
+        xy, sx, sy, xx, yy, n = (sums[k] for k in range(6))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own, other = xx - sx * sx / n, yy - sy * sy / n
+            # equal values leave rounding only
+            varies = (own > 1e-12 * xx) & (other > 1e-12 * yy)
+            r = np.where(varies, np.clip((xy - sx * sy / n) / np.sqrt(own * other), -1.0, 1.0), np.nan)
+    cell = lambda one, two, values: pd.DataFrame({
+        "col_i": np.repeat([columns[i] for i in one], len(two)), "col_j": np.tile([columns[j] for j in two], len(one)),
+        "r": pd.Series(values.ravel(), dtype=object).where(~np.isnan(values.ravel()), None)})
+    return [cell(left, right, r)] if left == right else [cell(left, right, r), cell(right, left, r.T)]
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -111,28 +111,31 @@ def bucketed_row_number(
 
 
 def with_ordinal(
-    df: DataFrame, order_by: str, ties: Sequence[str] = (), name: str = "position", buckets: int = 256
+    df: DataFrame, order_by: str, ties: Sequence[str] = (), name: str = "position", parts: int | None = None
 ) -> DataFrame:
     """Row number (from 1) over the whole table, ordered by a column and its ties.
 
-    Without ties equal rows are ordered by their hash.
+    Rows are dealt into ranges of (value, ties, place in the input), so rows that are
+    equal in all columns are cut as well, and sorted in their range.  The written
+    rows know their range and their place in it; a row number is that place plus the
+    rows of earlier ranges.  Without ties equal values are ordered by the row's hash.
     """
+    keyed = df.withColumn("_input", F.monotonically_increasing_id())
     if not ties:
-        tied = df.withColumn("_tie", row_hash(df))
-        return with_ordinal(tied, order_by, ["_tie"], name, buckets).drop("_tie")
-    value = quoted(order_by)
-    cuts = split_points(df, order_by, buckets)
-    points = distinct_points(cuts)
-    hot = [p for p in points if cuts.count(p) > 1]
-    bucket = bucket_of(value, points).cast("long")
-    if hot or None in cuts:
-        # within a bucket NULL or its cut value comes first; a hot one is cut by the tie
-        inner = distinct_points(split_points(df, ties[0], buckets))
-        is_hot = value.isNull() | (value.isin(hot) if hot else F.lit(False))
-        part = F.when(is_hot, bucket_of(quoted(ties[0]), inner)).otherwise(len(inner) + 1)
-        bucket = bucket * (len(inner) + 2) + part
-    order = [value.asc_nulls_first(), *[quoted(c).asc_nulls_first() for c in ties]]
-    return bucketed_row_number(df, [], bucket, order, name)
+        keyed, ties = keyed.withColumn("_hash", row_hash(df)), ["_hash"]
+    order = [quoted(order_by).asc_nulls_first(), *[quoted(c).asc_nulls_first() for c in ties], F.col("_input").asc()]
+    ranged = keyed.repartitionByRange(parts, *order) if parts else keyed.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).select(*[quoted(c) for c in df.columns], F.monotonically_increasing_id().alias("_place"))
+    stored = materialise(placed, "ordinal")
+    bits = 33  # of the id, below the number of the range
+    part = F.shiftright("_place", bits)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    offsets = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = stored.join(F.broadcast(offsets), part == F.col("_part"))
+    position = F.col("_place").bitwiseAND(F.lit((1 << bits) - 1)) + F.col("_before") + 1
+    return numbered.select(*[quoted(c) for c in df.columns], position.cast("long").alias(name))
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 
 from gridlens.operators import chartdata, insights, profile
@@ -38,12 +40,26 @@ def test_constant_column_has_no_correlation(spark):
 def test_correlation_in_several_passes(spark, monkeypatch):
     df = spark.sql("select id as a, id * id as b, id % 3 as c, -id as d from range(50)")
     whole = sorted(profile.correlation(df).collect())
-    monkeypatch.setattr(profile, "CORRELATION_COLUMNS_PER_PASS", 2)
+    monkeypatch.setattr(profile, "CORRELATION_COLUMNS", 2)
     parts = sorted(profile.correlation(df).collect())
     assert [x[:2] for x in whole] == [x[:2] for x in parts]
     assert [x[2] for x in whole] == pytest.approx([x[2] for x in parts])
 
 
+def test_correlation_of_many_columns_with_gaps(spark):
+    """200 columns, gaps that differ, constants: pandas' pairwise r, from two scans."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 3))
+    x = base @ rng.normal(size=(3, 200)) + rng.normal(0, 0.3, (150, 200)) + rng.normal(0, 50, 200)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 9] = 4.2, np.nan
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(200)])
+    got = profile.correlation(spark.createDataFrame(frame)).toPandas().pivot(index="col_i", columns="col_j", values="r")
+    want = frame.corr().loc[got.index, got.columns]
+    np.testing.assert_allclose(got.to_numpy(dtype=float), want.to_numpy(), atol=1e-9)
+    assert got.loc["c7"].isna().all() and got.loc["c9"].isna().all()
+
+
 def test_one_numeric_column_cannot_correlate(spark):
     with pytest.raises(ValueError):
         profile.correlation(spark.range(3))

@@ -27,12 +27,20 @@ def test_ordinal_with_hot_and_missing_values(spark):
     assert got == {r["id"]: i for i, r in enumerate(rows, start=1)}
 
 
-def test_ordinal_splits_the_hot_value(spark):
-    df = _skewed(spark)
-    cuts = ranking.split_points(df, "v", 64)
+def test_ordinal_spreads_equal_rows(spark, monkeypatch):
+    """One row repeated: every range gets its share."""
+    stored, write = [], ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, stem: stored.append(write(df, stem)) or stored[-1])
+    df = spark.range(40_000).select(F.lit("same").alias("s"), F.lit(1.5).alias("v"))
+    numbered = ranking.with_ordinal(df.repartition(4), "v", ["s"], parts=8)
+    assert sorted(r["position"] for r in numbered.select("position").collect()) == list(range(1, 40_001))
+    sizes = [r["count"] for r in stored[0].groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+
+
+def test_split_points_find_hot_values(spark):
+    cuts = ranking.split_points(_skewed(spark), "v", 64)
     assert cuts.count(5.0) > 1 and None in cuts
-    numbered = ranking.with_ordinal(df, "v", ["id"], buckets=64)
-    assert "_bucket" in numbered._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_ordinal_without_ties_is_a_permutation(spark):
