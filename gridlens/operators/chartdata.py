@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import nan_to_null, quoted
@@ -164,17 +164,24 @@ def type_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def metrics_bands(metrics: DataFrame) -> DataFrame:
-    """Dashboard rows from a long (metric, value) table in display order.
+    """Dashboard rows from a long (metric, value) table in display order, or in that of
+    its ``position``; the first metric with a number is the primary one.
 
     The gauge ends at 1, or at 1.2 times the value when that is above 1; its
     bands break at 0.5 and 0.8 of the end.  Rows without a number are dropped.
     """
     title = F.initcap(F.replace(F.col("metric"), F.lit("_"), F.lit(" ")))
     end = F.when(F.col("value") <= 1, F.lit(1.0)).otherwise(F.col("value") * 1.2)
+    kept = metrics.where("value is not null")
+    order = F.col("position") if "position" in metrics.columns else F.monotonically_increasing_id()
+    # a dashboard has few metrics
+    place = F.row_number().over(Window.orderBy("_order"))
     return (
-        metrics.where("value is not null")
+        kept.withColumn("_order", order)
         .withColumn("gauge_max", end)
         .select(
+            place.alias("position"),
+            (place == 1).alias("primary"),
             "metric",
             title.alias("title"),
             "value",

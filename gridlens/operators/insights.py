@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import nan_to_null, numeric_columns, quoted
 from gridlens.operators import profile as prof
 from gridlens.operators.chartdata import tukey_fences
-from gridlens.operators.ranking import lookup_join
+from gridlens.operators.ranking import lookup_join, with_ordinal
 
 MISSING_LIMIT, CORRELATION_LIMIT, CLASS_SHARE_LIMIT, Z_LIMIT = 5.0, 0.9, 0.10, 3.0
 
@@ -56,7 +56,8 @@ def trends(df: DataFrame, date: str, value: str, grain: str = "month") -> DataFr
     """(period, n, total, mean, change, slope): change of the total against the
     period before; slope of the totals over the period number (from 0).
 
-    Windows run over the periods, which are few, and not over rows.
+    Periods are numbered by ranges, each meets the one before by its number, and the
+    slope comes from sums, so a fine grain over many years needs no single task.
     """
     clean = nan_to_null(df.select(quoted(date).alias("d"), quoted(value).cast("double").alias("v")))
     periods = (
@@ -64,16 +65,18 @@ def trends(df: DataFrame, date: str, value: str, grain: str = "month") -> DataFr
         .groupBy(F.date_trunc(grain, "d").alias("period"))
         .agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"))
     )
-    order = Window.partitionBy().orderBy("period")
-    whole = Window.partitionBy()
-    numbered = periods.withColumn("i", F.row_number().over(order) - 1)
-    return numbered.select(
-        "period",
-        "n",
-        "total",
-        "mean",
-        (F.col("total") - F.lag("total").over(order)).alias("change"),
-        F.regr_slope(F.col("total"), F.col("i").cast("double")).over(whole).alias("slope"),
+    numbered = with_ordinal(periods, "period", ["n"], "i")
+    known = numbered.where("total is not null")
+    middle = known.agg(F.avg("i").alias("i"), F.avg("total").alias("total")).first()
+    slope = None
+    if middle["i"] is not None:
+        x, y = F.col("i") - F.lit(middle["i"]), F.col("total") - F.lit(middle["total"])
+        slope = known.agg(F.try_divide(F.sum(x * y), F.sum(x * x)).alias("slope")).first()["slope"]
+    before = numbered.select((F.col("i") + 1).alias("i"), F.col("total").alias("_before"))
+    return numbered.join(before, "i", "left").select(
+        "period", "n", "total", "mean",
+        (F.col("total") - F.col("_before")).alias("change"),
+        F.lit(slope).cast("double").alias("slope"),
     )
 
 

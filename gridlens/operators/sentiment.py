@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import quoted
 from gridlens.operators.text import non_blank
+from gridlens.session import materialise
 
 SHOWN_CHARS = 80
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LIMIT = 30.0  # log odds beyond which a score is as good as sure
 POSITIVE, NEGATIVE = "POSITIVE", "NEGATIVE"
 
 
@@ -53,29 +55,62 @@ def score_text(
     return scored.select(*_record(kept, F.col("_text"), F.col("_found.label"), F.col("_found.score")))
 
 
-def train_sentiment(df: DataFrame, text: str, label: str, width: int = 1 << 16) -> PipelineModel:
-    """Words -> hashed counts -> IDF -> logistic regression on a 0/1 label."""
-    ready = df.where(quoted(label).isNotNull()).select(
-        quoted(text).alias("_text"), quoted(label).cast("double").alias("_y")
+@dataclass
+class SentimentModel:
+    """Log odds of each word as a table, and those of a text without known words."""
+
+    words: DataFrame
+    prior: float
+
+
+def _words(text: Column) -> Column:
+    """Runs of letters, digits and other non-ASCII characters; A-Z lower-cased."""
+    return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+
+
+def train_sentiment(df: DataFrame, text: str, label: str) -> SentimentModel:
+    """Naive Bayes on a 0/1 label: how often each word stands in either kind, each count one more.
+
+    One aggregate per word; words and counts stay a table, so the vocabulary has no limit.
+    """
+    rated = df.where(quoted(label).isNotNull() & quoted(text).isNotNull()).select(
+        (quoted(label) == 1).alias("good"), _words(quoted(text)).alias("ws")
+    )
+    texts = rated.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+    counts = materialise(
+        rated.select("good", F.explode("ws").alias("word")).groupBy("word").agg(
+            F.count_if("good").alias("c1"), F.count_if(~F.col("good")).alias("c0")
+        ),
+        "word-counts",
     )
-    return Pipeline(
-        stages=[
-            Tokenizer(inputCol="_text", outputCol="_words"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width),
-            IDF(inputCol="_tf", outputCol="_x"),
-            LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=30, regParam=0.01),
-        ]
-    ).fit(ready)
-
-
-def score_sentiment(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
-    """Score whole non-blank texts by a trained pipeline."""
+    sums = counts.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.count("*").alias("v")).first()
+
+    def share(count: str, total: int | None) -> Column:
+        return F.log((F.col(count) + 1).cast("double") / F.lit(float((total or 0) + sums["v"])))
+
+    odds = counts.select("word", (share("c1", sums["n1"]) - share("c0", sums["n0"])).alias("odds"))
+    return SentimentModel(odds, math.log((texts["good"] + 1) / (texts["bad"] + 1)))
+
+
+def score_sentiment(model: SentimentModel, df: DataFrame, text: str) -> DataFrame:
+    """Score whole non-blank texts by the log odds of their words.
+
+    Texts are written once with a number; their words meet the word table and are
+    summed per number before they move.
+    """
     kept = [c for c in df.columns if c != text]
-    scored = model.transform(non_blank(df, text).withColumn("_text", quoted(text)))
-    p = vector_to_array("probability")[1]
+    ready = materialise(
+        non_blank(df, text).select(*[quoted(c) for c in kept], quoted(text).alias("_text"), F.monotonically_increasing_id().alias("_row")),
+        "texts",
+    )
+    found = ready.select("_row", F.explode(_words(F.col("_text"))).alias("word")).join(model.words, "word")
+    summed = found.groupBy("_row").agg(F.sum("odds").alias("_odds"))
+    odds = F.lit(model.prior) + F.coalesce(F.col("_odds"), F.lit(0.0))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), odds))))
+    scored = ready.join(summed, "_row", "left").withColumn("_p", p)
     return scored.select(
-        *_record(kept, F.col("_text"), F.when(p >= 0.5, POSITIVE).otherwise(NEGATIVE),
-                 F.greatest(p, 1 - p))
+        *_record(kept, F.col("_text"), F.when(F.col("_p") >= 0.5, POSITIVE).otherwise(NEGATIVE),
+                 F.greatest(F.col("_p"), 1 - F.col("_p")))
     )
 
 

@@ -101,7 +101,8 @@ def type_counts(t: Tables) -> DataFrame:
     l AS (SELECT unnest(['rmse', 'mae', 'r2_score']) AS metric,
       unnest([sqrt(mse), mae, 1 - mse / v]) AS value FROM m),
     g AS (SELECT *, CASE WHEN value <= 1 THEN 1.0 ELSE value * 1.2::DOUBLE END AS gauge_max FROM l)
-    SELECT metric, CASE metric WHEN 'rmse' THEN 'Rmse' WHEN 'mae' THEN 'Mae' ELSE 'R2 Score' END AS title,
+    SELECT CAST(CASE metric WHEN 'rmse' THEN 1 WHEN 'mae' THEN 2 ELSE 3 END AS INTEGER) AS position,
+      metric = 'rmse' AS "primary", metric, CASE metric WHEN 'rmse' THEN 'Rmse' WHEN 'mae' THEN 'Mae' ELSE 'R2 Score' END AS title,
       round(value, 3) AS value, round(gauge_max, 3) AS gauge_max,
       CASE WHEN value < 0.5 * gauge_max THEN 'low' WHEN value < 0.8 * gauge_max THEN 'middle'
       ELSE 'high' END AS band FROM g"""

@@ -235,9 +235,8 @@ def chat_context(t: Tables) -> DataFrame:
 )
 def nearest_class_top5(t: Tables) -> DataFrame:
     e = t.embeddings
-    centroids = labels.class_centroids(e, "embedding", "label")
-    scored, names = labels.centroid_scores(e.select("vec_id", "embedding"), "embedding", centroids)
-    return labels.top_labels(scored.drop("embedding"), "scores", [f"class_{n}" for n in names])
+    centroids = labels.class_centroids(e, "embedding", "label").withColumn("label", F.concat(F.lit("class_"), "label"))
+    return labels.nearest_labels(e.select("vec_id", "embedding"), "embedding", centroids)
 
 
 def _sentiment(t: Tables) -> DataFrame:
@@ -246,13 +245,35 @@ def _sentiment(t: Tables) -> DataFrame:
     return sentiment.score_sentiment(model, t.texts.select("doc_id", "text"), "text")
 
 
-@query()
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SENTIMENT_SQL = rf"""WITH rated AS (SELECT quality AS y, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL AND text IS NOT NULL),
+    c AS (SELECT word, count(*) FILTER (WHERE y = 1) AS c1, count(*) FILTER (WHERE y <> 1) AS c0
+      FROM (SELECT y, unnest(ws) AS word FROM rated) GROUP BY word),
+    n AS (SELECT sum(c1) AS n1, sum(c0) AS n0, count(*) AS v FROM c),
+    m AS (SELECT word, ln((c1 + 1)::DOUBLE / (n1 + v)::DOUBLE) - ln((c0 + 1)::DOUBLE / (n0 + v)::DOUBLE) AS odds FROM c, n),
+    p AS (SELECT ln((count(*) FILTER (WHERE y = 1) + 1)::DOUBLE / (count(*) FILTER (WHERE y <> 1) + 1)::DOUBLE) AS prior FROM rated),
+    d AS (SELECT row_number() OVER () AS r, doc_id, text,
+      regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+      WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+    o AS (SELECT r, sum(odds) AS odds FROM (SELECT r, unnest(ws) AS word FROM d) JOIN m USING (word) GROUP BY r),
+    s AS (SELECT doc_id, text, 1 / (1 + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, prior + coalesce(odds, 0))))) AS q
+      FROM d LEFT JOIN o USING (r), p)"""
+
+
+@query(
+    f"""{_SENTIMENT_SQL} SELECT doc_id, left(text, 80) AS text, CASE WHEN q >= 0.5 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment,
+      printf('%.1f%%', greatest(q, 1 - q) * 100) AS confidence, round(greatest(q, 1 - q), 4) AS score FROM s"""
+)
 def sentiment_scores(t: Tables) -> DataFrame:
     """A scorer trained on the labelled documents, applied to all of them."""
     return _sentiment(t)
 
 
-@query()
+@query(
+    f"""{_SENTIMENT_SQL} SELECT CASE WHEN q >= 0.5 THEN 'Positive' ELSE 'Negative' END AS sentiment, count(*) AS texts
+      FROM s GROUP BY 1"""
+)
 def sentiment_counts(t: Tables) -> DataFrame:
     return sentiment.sentiment_counts(_sentiment(t))
 

@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of the OpenCV pixel types.
+SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
 MODE_NAMES = {0: "L", 16: "RGB", 24: "RGBA"}
 
 
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size_bytes, loaded, reason): every file of the folder and whether it came in as an image.
+
+    A file is not loaded if its name is of no image, or its bytes do not decode.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    found = spark.read.format("binaryFile").load(path)
+    # Spark's reader lists all files but reads no row from an empty one
+    listed = spark.createDataFrame([(unquote(f),) for f in found.inputFiles()], "path string").select(plain("path").alias("path"))
+    sizes = found.select(plain("path").alias("path"), F.col("length").alias("_n"))
+    files = listed.join(sizes, "path", "left").select("path", F.coalesce("_n", F.lit(0).cast("long")).alias("size_bytes"))
+    decoded = read_images(spark, path).select(plain("path").alias("path"), F.lit(True).alias("_ok"))
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    reason = (
+        F.when(~suffix.isin(*SUFFIXES), F.concat(F.lit("no image suffix: "), suffix))
+        .when(suffix == "webp", F.lit("no decoder for webp"))
+        .when(F.col("size_bytes") == 0, F.lit("empty file"))
+        .otherwise(F.lit("does not decode"))
+    )
+    return files.join(decoded, "path", "left").select(
+        "path", "size_bytes", F.col("_ok").isNotNull().alias("loaded"), F.when(F.col("_ok").isNull(), reason).alias("reason")
+    )
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, channels, mode, data); files that do not decode are
-    left out."""
+    left out, and :func:`load_report` names them."""
     return (
         spark.read.format("image").option("dropInvalid", True).load(path)
         .select(

@@ -27,6 +27,13 @@ def test_images(spark, tmp_path):
     assert len(stats) == 1
     assert (stats[0]["resolution"], stats[0]["mode"], stats[0]["brightness"]) == ("4×3", "RGB", 30.0)
     assert files.auto_load(spark, str(tmp_path / "ok.png"))[1] == "image"
+    for name in ("photo.webp", "empty.JPG", "notes.txt", "bare"):
+        (tmp_path / name).write_bytes(b"" if name == "empty.JPG" else b"x")
+    report = {r["path"].rsplit("/", 1)[1]: (r["loaded"], r["reason"]) for r in images.load_report(spark, str(tmp_path)).collect()}
+    assert report == {
+        "ok.png": (True, None), "broken.png": (False, "does not decode"), "photo.webp": (False, "no decoder for webp"),
+        "empty.JPG": (False, "empty file"), "notes.txt": (False, "no image suffix: txt"), "bare": (False, "no image suffix: "),
+    }
 
 
 @pytest.mark.parametrize(

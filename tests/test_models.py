@@ -131,6 +131,22 @@ def test_top_labels(spark):
     assert rows[0]["score"] == round(p[1], 4) and rows[0]["confidence"] == f"{p[1] * 100:.2f}%"
 
 
+@pytest.mark.parametrize("cells", [1, 6, 10**6])
+def test_nearest_labels_by_blocks(spark, cells):
+    """Blocks of one class, of two and of all give the same ranks and shares."""
+    rng = np.random.default_rng(3)
+    vectors, means = rng.normal(size=(40, 3)), rng.normal(size=(7, 3))
+    means[5] = means[2]  # a tie goes to the smaller label
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, v array<double>")
+    c = spark.createDataFrame([(f"big_{k}", m.tolist()) for k, m in enumerate(means)], "label string, centroid array<double>")
+    got = {(r["id"], r["rank"]): (r["label"], r["score"]) for r in labels.nearest_labels(df, "v", c, 3, cells).collect()}
+    p = np.exp(vectors @ means.T)
+    p /= p.sum(axis=1, keepdims=True)
+    for i in range(40):
+        for rank, k in enumerate(np.argsort(-p[i], kind="stable")[:3], start=1):
+            assert got[i, rank] == (f"Big {k}", pytest.approx(p[i, k], abs=6e-5))
+
+
 def test_infinite_values_count_as_missing(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("inf"),), (float("-inf"),), (float("nan"),)], "x double")
     got = np.array([r["features"][0] for r in fit_features(df).transform(df).collect()])

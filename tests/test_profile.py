@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 import pytest
 
 from gridlens.operators import chartdata, insights, profile
@@ -108,6 +109,21 @@ def test_metric_bands(spark):
     rows = {r["metric"]: r for r in chartdata.metrics_bands(df).collect()}
     assert rows["cv_mean"]["title"] == "Cv Mean" and rows["cv_mean"]["band"] == "low"
     assert rows["big"]["gauge_max"] == 12.0 and rows["big"]["band"] == "high" and "none" not in rows
+    assert [(rows[m]["position"], rows[m]["primary"]) for m in ("cv_mean", "big")] == [(1, True), (2, False)]
+    placed = df.select("metric", "value", F.when(F.col("metric") == "big", 3).otherwise(9).alias("position"))
+    assert [r["metric"] for r in chartdata.metrics_bands(placed).where("primary").collect()] == ["big"]
+
+
+def test_trends_without_a_task_of_all_periods(spark):
+    """Second grain over a gap: changes to the period before, slope over the period number."""
+    rows = [(f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", float(i * i)) for i in range(0, 600, 2)] + [("2024-01-01 00:00:00", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "t string, v double").withColumn("t", F.col("t").cast("timestamp"))
+    got = sorted(insights.trends(df, "t", "v", "second").collect(), key=lambda r: r["period"])
+    totals = [float(i * i) for i in range(0, 600, 2)]
+    assert [r["total"] for r in got] == totals and got[0]["change"] is None
+    assert [r["change"] for r in got[1:]] == [b - a for a, b in zip(totals, totals[1:])]
+    assert got[0]["slope"] == pytest.approx(np.polyfit(range(300), totals, 1)[0])
+    assert insights.trends(df.limit(0), "t", "v").count() == 0
 
 
 def test_anomalies_of_whole_table(spark):
