@@ -22,7 +22,7 @@ CACHED_WORDS = 400_000
 CACHED_IDS = 4_000_000
 WORDS_AT_ONCE = 4096
 ROWS_AT_ONCE = 1000
-COMBINING = r"\pM"
+LAST_MARKS = r"(\pL)([!-/:-@\[-`{-~]+)( |$)"
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -35,15 +35,11 @@ FILE_SCHEMA = "doc_id {kind}, shard int, start long, n_tokens long, tokens array
 
 
 @functools.lru_cache(maxsize=1)
-def last_marks() -> str:
-    """Pattern of ASCII marks after a letter at a piece's end.
-
-    A letter that is composed or lower-cased to one with a combining mark at its end
-    does not count: the tokenizer keeps such a mark with the punctuation after it.
-    """
+def marked_letters() -> str:
+    """Pattern of combining marks, and of letters that are composed or lower-cased to one with such a mark at its end."""
     letters = [c for c in map(chr, range(0x30000)) if unicodedata.category(c).startswith("L")]
     marked = [c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1]).startswith("M")]
-    return rf"([^\PL{''.join(marked)}])([!-/:-@\[-`{{-~]+)( |$)"
+    return rf"[\pM{''.join(marked)}]"
 
 
 def word_bpe_path() -> str:
@@ -60,15 +56,16 @@ class PieceEncoder:
     and ASCII punctuation after a letter at a piece's end is a piece of its own.  The
     ids of known words lie in one pool; texts are gathered from it as arrays.  A text
     with "<|", which may spell a special token, is encoded as a whole.  ASCII letters are
-    lower-cased before, to know fewer words, but not in a text with combining marks: the
-    tokenizer composes first, and a mark may compose with the small letter only.
+    lower-cased and marks cut off before, to know fewer words, but not in a text with
+    combining marks or letters that become one: the tokenizer composes first, a mark may
+    compose with the small letter only, and it stays with the punctuation after it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.last_marks = last_marks()
+        self.marked = marked_letters()
         self._forget()
 
     def _forget(self) -> None:
@@ -106,9 +103,10 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring(texts, "<|")
         plain = pc.if_else(whole, "", texts)
-        plain = pc.if_else(pc.match_substring_regex(plain, COMBINING), plain, pc.ascii_lower(plain))
+        marked = pc.match_substring_regex(plain, self.marked)
         plain = pc.replace_substring(plain, "\n", " ")
-        split = pc.split_pattern(pc.replace_substring_regex(plain, self.last_marks, r"\1 \2\3"), " ")
+        plain = pc.if_else(marked, plain, pc.replace_substring_regex(pc.ascii_lower(plain), LAST_MARKS, r"\1 \2\3"))
+        split = pc.split_pattern(plain, " ")
         coded = split.values.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         new = [p for p in pieces if p not in self.known]
