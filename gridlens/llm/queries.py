@@ -21,6 +21,7 @@ QUERIES = {
 }
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op11_collocations": collocations.OP11_SQL,
     "op12_lexical": lexical.OP12_SQL,
     "op13_url_filter": url_filter.OP13_SQL,

@@ -1,6 +1,6 @@
 """WARC records in ZIP packages, and a reader of such packages.
 
-A package is a ZIP file with two stored (uncompressed) members: archive/data.warc
+A package is a ZIP file with two stored (uncompressed) members: archive/data.warc.gz
 holds the records, each gzip-compressed on its own, indexes/index.cdxj one line per record
 with its offset and length inside the archive.  The reader parses the end record,
 the ZIP64 records and the central directory from the tail of the file, finds the
@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -87,7 +88,10 @@ def _line(value) -> str:
 
 
 def record_bytes(page_id, url, payload: bytes, first) -> bytes:
-    """One WARC record: a response with its payload, or a revisit of page `first` with the HTTP head only."""
+    """One WARC record: a response with its payload, or a revisit of page `first` with the HTTP head only.
+
+    Ids are texts and stand percent-encoded in their headers; a null id has no header.
+    """
     kind = "response" if first is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if first is None else http
@@ -98,14 +102,15 @@ def record_bytes(page_id, url, payload: bytes, first) -> bytes:
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {_line(url)}",
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
-        f"X-Page-ID: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {quote(page_id, safe='')}")
     if first is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{first}')}>",
-            f"X-Refers-To-Page: {first}",
+            f"X-Refers-To-Page: {quote(first, safe='')}",
         ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -132,11 +137,14 @@ def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
 def write_packages(pages: DataFrame, path: str, least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes all pages as packages below `path`; returns the manifest (package, bytes, records), itself a stored table.
 
-    A null html is an empty payload, a null url an empty line.  A task that runs twice
-    writes under new names; the manifest lists the packages of the attempts that
-    were committed, and the reader opens no others.
+    A null html is an empty payload, a null url an empty line.  Ids may have any type
+    that Spark casts to a text and back; they are compared in their own type and stored
+    as texts.  Repeated rows are stored each.  An empty table gives an empty manifest.
+    A task that runs twice writes under new names; the manifest lists the packages of
+    the attempts that were committed, and the reader opens no others.
     """
     rows = with_first(pages.select("page_id", "url", "html"), least)
+    rows = rows.select(F.col("page_id").cast("string"), F.col("url").cast("string"), "html", F.col("_first").cast("string"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_store(path)
@@ -253,14 +261,27 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
-RECORD_SCHEMA = "page_id {kind}, url string, record_type string, payload_digest string, payload_bytes long, refers_to {kind}, payload binary"
+RECORD_SCHEMA = "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary"
+
+
+def runs_of(entries: list[dict], bytes_per_read: int) -> list[list[dict]]:
+    """Neighbouring index entries of at most bytes_per_read together, or one entry that is longer."""
+    runs, size = [], 0
+    for entry in entries:
+        if not runs or size + entry["length"] > bytes_per_read:
+            runs.append([])
+            size = 0
+        runs[-1].append(entry)
+        size += entry["length"]
+    return runs
 
 
-def read_packages(manifest: DataFrame, id_type: str = "bigint", records_per_read: int = 256) -> DataFrame:
-    """One row per record of the listed packages; `payload` is null for revisits.
+def read_packages(manifest: DataFrame, id_type: str = "bigint", bytes_per_read: int = 1 << 20, bytes_per_batch: int = 16 << 20) -> DataFrame:
+    """One row per record of the listed packages; `payload` is null for revisits, ids are cast to `id_type`.
 
-    A first pass reads directories and indexes only and gives runs of records; the
-    runs are dealt out evenly and read by byte range.
+    A first pass reads directories and indexes only and gives runs of records by their
+    stored bytes; the runs are dealt out evenly and read by byte range.  Rows leave a
+    task once their payloads reach bytes_per_batch.  An empty manifest gives no rows.
     """
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,12 +295,17 @@ def read_packages(manifest: DataFrame, id_type: str = "bigint", records_per_read
                 if zlib.crc32(index) != archive.members[INDEX]["crc"]:
                     raise ValueError(f"damaged index in {row['package']}")
                 entries = [json.loads(x) for x in index.decode().splitlines()]
-                runs = [entries[k : k + records_per_read] for k in range(0, len(entries), records_per_read)]
+                runs = runs_of(entries, bytes_per_read)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["package"]] * len(runs)), pa.array([base + r[0]["offset"] for r in runs], pa.int64()), pa.array([[e["length"] for e in r] for r in runs], pa.list_(pa.int64()))],
                     ["package", "at", "lengths"],
                 )
 
+    def records(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -287,22 +313,36 @@ def read_packages(manifest: DataFrame, id_type: str = "bigint", records_per_read
                 with store.open_input_file(name) as file:
                     file.seek(row["at"])
                     data = file.read(sum(row["lengths"]))
-                rows, at = [], 0
+                rows, at, held = [], 0, 0
                 for length in row["lengths"]:
                     h, block = parse_record(data[at : at + length])
                     at += length
                     payload = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "response" else None
-                    number = lambda key, h=h: int(h[key]) if h.get(key) else None
-                    rows.append((number("x-page-id"), h["warc-target-uri"], h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"]), number("x-refers-to-page"), payload))
-                types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    page_id, refers_to = (unquote(h[key]) if key in h else None for key in ("x-page-id", "x-refers-to-page"))
+                    rows.append((page_id, h["warc-target-uri"], h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"]), refers_to, payload))
+                    held += len(payload or b"")
+                    if held >= bytes_per_batch:
+                        yield records(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield records(rows)
 
     runs = manifest.select("package", "bytes").mapInArrow(locate, "package string, at long, lengths array<long>")
-    return runs.repartition(F.xxhash64("package", "at")).mapInArrow(fetch, RECORD_SCHEMA.format(kind=id_type))
+    found = runs.repartition(F.xxhash64("package", "at")).mapInArrow(fetch, RECORD_SCHEMA)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     manifest = write_packages(pages, scratch(spark, "warc"))
-    return read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_packages(manifest, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# base32 takes five bits a letter: five hexadecimal digits of the SHA-1 give four letters
+OP8_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(s, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(least, page_id) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(least, page_id) THEN least END AS refers_to FROM q"""
