@@ -97,35 +97,65 @@ class Model:
         return states[::-1]
 
 
+# shares of what is expected without any training conversation
+PRIOR_START, PRIOR_NEXT, PRIOR_MARKER, PRIOR_KIND, STRAY = 0.2, 0.15, 0.1, 0.3, 0.001
+
+
 def fit(conversations: list[list[tuple[str, list[str]]]]) -> Model:
-    """Counts over conversations of (role, lines) turns, with one added to every count."""
+    """Shares counted over conversations of (role, lines) turns, mixed with what holds for any transcript.
+
+    Any role may open a transcript and follow any other; how long turns are, and the
+    kinds of lines inside them, are the same for all roles; the names of STYLES are
+    known for their roles; a known name stands for another role, or inside a turn, in
+    one line of a thousand at most unless the conversations show more.  So a known
+    marker outweighs the order in which the roles of the conversations stand.
+    """
     known = Counter(marker(lines[0])[0] for turns in conversations for _, lines in turns if lines)
+    names = {marker(m)[0]: role for style in STYLES for role, m in zip(ROLES, style)}
     markers = {"": 0}
-    for name, n in sorted(known.items()):
-        if name and n > 1:
-            markers[name] = len(markers)
-    place = {s: k for k, s in enumerate(STATES)}
-    start, step = np.full(len(STATES), 0.1), np.full((len(STATES), len(STATES)), 0.1)
-    sees_marker, sees_kind = np.full((len(STATES), len(markers) + 1), 0.05), np.ones((len(STATES), 5))
+    for name in [*sorted(names), *sorted(n for n, c in known.items() if n and c > 1 and n not in names)]:
+        markers[name] = len(markers)
+    roles, other = len(ROLES), len(markers)
+    start, follows = np.zeros(roles), np.zeros((roles, roles))
+    goes_on = np.ones((2, 2))  # opening or inner line, then turn ends or goes on
+    sees_marker, sees_kind = np.zeros((len(STATES), other + 1)), np.ones((len(STATES), 5))
     for turns in conversations:
         before = None
         for role, lines in turns:
+            now = ROLES.index(role)
+            if before is None:
+                start[now] += 1
+            else:
+                follows[before, now] += 1
+            before = now
+            goes_on[int(len(lines) > 1), 0] += 1
+            goes_on[0, 1] += len(lines) > 1
+            goes_on[1, 1] += max(0, len(lines) - 2)
             for k, line in enumerate(lines):
-                state = place[role, k == 0]
-                if before is None:
-                    start[state] += 1
-                else:
-                    step[before, state] += 1
-                sees_marker[state, markers.get(marker(line)[0], len(markers))] += 1
+                state = STATES.index((role, k == 0))
+                sees_marker[state, markers.get(marker(line)[0], other)] += 1
                 sees_kind[state, kind(line)] += 1
-                before = state
-    for k, (role, opens) in enumerate(STATES):  # a line inside a turn follows a line of that turn
-        for j, (other, inside) in enumerate(STATES):
-            if not inside and other != role:
-                step[k, j] = 1e-9
-        start[k] = start[k] if opens else 1e-9
-    share = lambda counts: np.log(counts / counts.sum(axis=-1, keepdims=True))
-    return Model(markers, share(start), share(step), share(sees_marker), share(sees_kind))
+
+    def mixed(counts: np.ndarray, prior: np.ndarray, share: float) -> np.ndarray:
+        total = counts.sum(axis=-1, keepdims=True)
+        return np.where(total > 0, (1 - share) * counts / np.maximum(total, 1) + share * prior, prior)
+
+    start, follows = mixed(start, np.full(roles, 1 / roles), PRIOR_START), mixed(follows, np.full((roles, roles), 1 / roles), PRIOR_NEXT)
+    goes_on /= goes_on.sum(axis=1, keepdims=True)
+    opening, step = np.zeros(len(STATES)), np.zeros((len(STATES), len(STATES)))
+    marker_prior, kinds = np.zeros_like(sees_marker), np.zeros_like(sees_kind)
+    for k, (role, opens) in enumerate(STATES):
+        now, line = ROLES.index(role), int(not opens)
+        opening[k] = start[now] if opens else 0
+        for j, (after, next_opens) in enumerate(STATES):  # a line inside a turn follows a line of that turn
+            step[k, j] = goes_on[line, 0] * follows[now, ROLES.index(after)] if next_opens else goes_on[line, 1] * (after == role)
+        own = [markers[n] for n, r in names.items() if r == role] if opens else [0, other]
+        marker_prior[k, own] = 1 / len(own)
+        together = sees_kind[[i for i, (_, x) in enumerate(STATES) if x == opens]].sum(axis=0)
+        kinds[k] = mixed(sees_kind[k], together / together.sum(), PRIOR_KIND if opens else 1.0)
+    seen = (1 - STRAY) * mixed(sees_marker, marker_prior, PRIOR_MARKER) + STRAY / (other + 1)
+    log = lambda p: np.log(np.maximum(p, 1e-12))
+    return Model(markers, log(opening), log(step), np.log(seen), np.log(kinds))
 
 
 def parse(segments: DataFrame, model: Model) -> DataFrame:
@@ -133,8 +163,12 @@ def parse(segments: DataFrame, model: Model) -> DataFrame:
 
     `line` is the number of the turn's first line in its segment.  A turn that runs
     over the end of a segment continues in the next one as a row with opens = false.
-    A null transcript has no lines; equal segment numbers of a conversation follow
-    each other in the order of their texts; an empty table gives no rows.
+    The marker of a turn's first line is left out if its name is known; any other
+    first words stay.  A null transcript has no lines, an empty one has one empty line;
+    equal segment numbers of a conversation follow each other in the order of their
+    texts, null ones first, and repeated rows are all parsed; null conv_ids are one
+    conversation; equally likely states go to the first of STATES; an empty table
+    gives no rows.  Other columns are left out.
     """
     kind_of = segments.schema["conv_id"].dataType.simpleString()
     spark = segments.sparkSession
@@ -184,10 +218,15 @@ def parse(segments: DataFrame, model: Model) -> DataFrame:
                 before = None if row["before"] in (None, -1) else row["before"]
                 states = own.decode(lines, before, row["leaving"])
                 turns: list[list] = []
+
+                def bare(line: str) -> str:
+                    name, length = marker(line)
+                    return line[length:] if name in own.markers else line
+
                 for k, (line, state) in enumerate(zip(lines, states)):
                     role, opens = STATES[state]
                     if opens or not turns:
-                        turns.append([k, role, opens, [line[marker(line)[1] :] if opens else line]])
+                        turns.append([k, role, opens, [bare(line) if opens else line]])
                     else:
                         turns[-1][3].append(line)
                 for k, role, opens, text in turns:
