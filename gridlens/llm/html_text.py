@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.shared import table
+from gridlens.llm.shared import spare, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>"
@@ -32,21 +33,39 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template textarea select svg math iframe object head title canvas audio video button".split())
+SILENT = frozenset("script style noscript template textarea select svg iframe object head title canvas audio video annotation annotation-xml".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe"))
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd annotation annotation-xml".split()
 )
+# what a head may hold; it ends at any other element and at text
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 # an open element of the first kind ends where one of the second begins
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("ul ol dl table body article section div main aside nav header footer form blockquote".split())
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
+    """An open element.  `path` leads to the nearest element, itself included, that gives features; those are linked by `above`."""
+
     tag: str
     marks: tuple[str, ...]
     silent: bool
+    above: Element | None = None
+    depth: int = 0
+
+    @property
+    def path(self) -> Element | None:
+        return self if self.tag not in INLINE or self.marks else self.above
+
+
+def ancestors(path: Element | None) -> Iterator[Element]:
+    """From the nearest to the outermost."""
+    while path is not None:
+        yield path
+        path = path.above
 
 
 def _marks(attributes: str) -> tuple[tuple[str, ...], bool]:
@@ -63,16 +82,19 @@ def _marks(attributes: str) -> tuple[tuple[str, ...], bool]:
     return tuple(marks), hidden
 
 
-def blocks_of(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]]:
-    """Leaf blocks in page order: text (references decoded, white space single), ancestors, characters in links.
+def blocks_of(page: str | None) -> list[tuple[str, Element | None, int]]:
+    """Leaf blocks in page order: text (references decoded, white space single), path of ancestors, characters in links.
 
-    Works on any text: open tags end with the page, stray end tags are ignored.
+    Works on any text: open tags end with the page, stray end tags are ignored, tags
+    of head and body may be left out.  Blocks share their paths, so memory grows with
+    the page and not with its depth.
     """
     page = page or ""
     out: list = []
     stack: list[Element] = []
+    opened: Counter[str] = Counter()  # open elements by tag
     parts: list[str] = []
-    state = {"link": 0, "links": 0}
+    state = {"link": 0, "links": 0, "plain": False}
 
     def flush() -> None:
         if parts:
@@ -80,14 +102,23 @@ def blocks_of(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, .
             if "&" in text:
                 text = html.unescape(text)
             text = " ".join(text.split())
-            if text:
-                out.append((text, tuple((e.tag, e.marks) for e in stack if e.tag not in INLINE or e.marks), state["link"]))
+            if text and state["plain"]:  # buttons alone are controls, inside a sentence they are text
+                out.append((text, stack[-1].path if stack else None, state["link"]))
             parts.clear()
-        state["link"] = 0
+        state["link"], state["plain"] = 0, False
+
+    def cut(depth: int) -> None:
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+            state["links"] -= e.tag == "a"
+        del stack[depth:]
 
     def add(raw: str) -> None:
+        if stack and stack[-1].tag == "head" and raw.strip():
+            cut(len(stack) - 1)
         if raw and not (stack and stack[-1].silent):
             parts.append(raw)
+            state["plain"] |= not opened["button"] and not raw.isspace()
             if state["links"]:
                 state["link"] += len(raw.strip())
 
@@ -107,23 +138,25 @@ def blocks_of(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, .
             add(" ")
             continue
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if depth is None:
+            if not opened[tag]:
                 continue
+            depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag)
             if tag in INLINE and any(e.tag in BARRIER for e in stack[depth + 1 :]):
                 continue
             if any(e.tag not in INLINE for e in stack[depth:]):
                 flush()
-            state["links"] -= sum(e.tag == "a" for e in stack[depth:])
-            del stack[depth:]
+            cut(depth)
             continue
+        if tag == "head" and any(opened[x] for x in opened if x != "html"):
+            continue
+        if stack and stack[-1].tag == "head" and tag not in HEAD:
+            cut(len(stack) - 1)
         if tag not in INLINE:
             flush()
             ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag not in VOID else frozenset())
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[x] for x in ends) else ():
                 if stack[k].tag in ends:
-                    state["links"] -= sum(e.tag == "a" for e in stack[k:])
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in BARRIER:
                     break
@@ -134,10 +167,9 @@ def blocks_of(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, .
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if tag == "body":  # an unclosed head ends here
-            while stack and stack[-1].tag == "head":
-                stack.pop()
-        stack.append(Element(tag, marks, tag in SILENT or hidden or bool(stack and stack[-1].silent)))
+        above = stack[-1].path if stack else None
+        stack.append(Element(tag, marks, tag in SILENT or hidden or bool(stack and stack[-1].silent), above, above.depth + 1 if above else 0))
+        opened[tag] += 1
         state["links"] += tag == "a"
     flush()
     return out
@@ -147,31 +179,35 @@ LANDMARKS = ("article", "main")
 ENDINGS = tuple('.!?…"”»')
 
 
+def own_names(element: Element, landmarks: bool = True) -> list[str]:
+    """Features that every block inside the element has."""
+    if element.tag in LANDMARKS and not landmarks:
+        return []
+    return [f"in {element.tag}", *(f"mark {m}" for m in element.marks if landmarks or m not in LANDMARKS)]
+
+
+def text_names(block: tuple, first: bool, last: bool, landmarks: bool = True) -> list[str]:
+    """Features of a block's text, place and nearest element."""
+    text, path, in_links = block
+    names = ["any", f"words {min((text.count(' ') + 1).bit_length(), 8)}"]
+    if path is not None and (landmarks or path.tag not in LANDMARKS):
+        names.append(f"at {path.tag}")
+    share = in_links / max(1, len(text))
+    names.append("links all" if share > 0.8 else "links some" if share > 0.2 else "links few")
+    names.append("ends" if text.endswith(ENDINGS) else "open")
+    if "©" in text or "(c)" in text.lower():
+        names.append("copyright")
+    if first or last:
+        names.append("first" if first else "last")
+    return names
+
+
 def features(blocks: list, landmarks: bool = True) -> list[list[str]]:
     """Names of the features of each block; without `landmarks`, article and main elements are not seen."""
     out = []
-    total = len(blocks)
-    for k, (text, ancestors, in_links) in enumerate(blocks):
-        names = {"any"}
-        for depth, (tag, marks) in enumerate(reversed(ancestors)):
-            if tag in LANDMARKS and not landmarks:
-                continue
-            names.add(f"in {tag}")
-            if depth == 0:
-                names.add(f"at {tag}")
-            for mark in marks:
-                if landmarks or mark not in LANDMARKS:
-                    names.add(f"mark {mark}")
-        words = text.count(" ") + 1
-        names.add(f"words {min(words.bit_length(), 8)}")
-        share = in_links / max(1, len(text))
-        names.add("links all" if share > 0.8 else "links some" if share > 0.2 else "links few")
-        names.add("ends" if text.endswith(ENDINGS) else "open")
-        if "©" in text or "(c)" in text.lower():
-            names.add("copyright")
-        if k == 0 or k == total - 1:
-            names.add("first" if k == 0 else "last")
-        out.append(sorted(names))
+    for k, block in enumerate(blocks):
+        names = {x for e in ancestors(block[1]) for x in own_names(e, landmarks)}
+        out.append(sorted(names.union(text_names(block, k == 0, k == len(blocks) - 1, landmarks))))
     return out
 
 
@@ -182,15 +218,42 @@ class Field:
     weights: dict[str, float]
     transition: np.ndarray
 
+    def gains(self, blocks: list) -> Iterator[float]:
+        """Weight of each block's features; each name counts once.
+
+        Blocks stand in page order, so stepping from one path to the next enters and
+        leaves every element once.  Weights are multiples of 2**-20 and add up exactly.
+        """
+        weights, names = self.weights, Counter()
+        path: list[tuple[Element, list[str]]] = []
+        inside = 0.0
+        for k, block in enumerate(blocks):
+            fresh = []
+            for e in ancestors(block[1]):
+                if e.depth < len(path) and path[e.depth][0] is e:
+                    break
+                fresh.append(e)
+            keep = fresh[-1].depth if fresh else block[1].depth + 1 if block[1] else 0
+            while len(path) > keep:
+                for x in path.pop()[1]:
+                    names[x] -= 1
+                    inside -= 0.0 if names[x] else weights[x]
+            for e in reversed(fresh):
+                known = [x for x in own_names(e) if x in weights]
+                path.append((e, known))
+                for x in known:
+                    inside += 0.0 if names[x] else weights[x]
+                    names[x] += 1
+            yield inside + sum(weights.get(x, 0.0) for x in text_names(block, k == 0, k == len(blocks) - 1))
+
     def decode(self, blocks: list) -> list[bool]:
         """Most likely labels by Viterbi."""
         if not blocks:
             return []
-        weights, (t00, t01), (t10, t11) = self.weights, *self.transition.tolist()
+        (t00, t01), (t10, t11) = self.transition.tolist()
         s0 = s1 = 0.0
         back = []
-        for k, names in enumerate(features(blocks)):
-            gain = sum(weights.get(n, 0.0) for n in names)
+        for k, gain in enumerate(self.gains(blocks)):
             if k:
                 from0, from1 = s0 + t00 >= s1 + t10, s0 + t01 > s1 + t11
                 s0, s1 = max(s0 + t00, s1 + t10), max(s0 + t01, s1 + t11) + gain
@@ -254,7 +317,7 @@ def fit(sequences: list[tuple[list[list[str]], list[bool]]], steps: int = 120, p
             total += d * d
         w += 0.5 * slope / np.sqrt(sums[0])
         transition += 0.5 * turn / np.sqrt(sums[1])
-    return Field({x: float(v) for x, v in zip(names, w) if abs(v) > 1e-3}, transition)
+    return Field({x: round(float(v) * 2**20) / 2**20 for x, v in zip(names, w) if abs(v) > 1e-3}, transition)
 
 
 # words by which pages commonly name their parts
@@ -265,21 +328,26 @@ OTHER_BOXES = (
     '<div class="sidebar widget"><p>|</p></div>', '<div class="related"><ul><li><a href="/">|</a></li></ul></div>', '<div class="cookie-notice"><p>|</p></div>', '<div class="notice alert"><p>|</p></div>',
     '<div class="popup modal" role="dialog"><p>|</p></div>', '<div class="ad">|</div>', '<div class="ads sponsored"><p>|</p></div>', '<div class="advert advertisement"><p>|</p></div>', '<div class="promo"><p>|</p></div>',
     "<form><label>|</label></form>", '<form class="newsletter subscribe"><p>|</p></form>', '<div class="share social"><a href="/">|</a></div>', '<div class="comments"><div class="comment"><p>|</p></div></div>',
+    '<div class="user-remarks"><div class="remark"><p>|</p></div></div>', '<div id="discussion"><div class="thread"><p>|</p></div></div>', '<section class="responses feedback"><p>|</p></section>', '<div class="guestbook opinions"><p>|</p></div>',
     '<section id="comments"><h3>|</h3></section>', '<ol class="commentlist"><li class="comment"><p>|</p></li></ol>', '<div class="reply response"><p>|</p></div>', '<div class="copyright legal"><p>|</p></div>', '<nav class="pagination"><a href="/">|</a></nav>',
 )
 
 
+# class and id words of parts that do not belong to an article although they stand in it
+OUTSIDE = frozenset("ad comment comments related remark remarks share sidebar".split())
+
+
 def labelled(pages: list[str], seed: int = 5) -> list[tuple[list[list[str]], list[bool]]]:
     """Training sequences from pages with a landmark element, as they are, without it, and recomposed."""
     rng = np.random.default_rng(seed)
     parsed, articles, others = [], [], []
     for page in pages:
         blocks = blocks_of(page)
-        outside = lambda path: any(t in ("nav", "aside", "footer", "form") or {"comment", "comments", "ad", "sidebar", "share", "related"} & set(m) for t, m in path)
-        truth = [any(t in LANDMARKS for t, _ in path) and not outside(path) for _, path, _ in blocks]
+        outside = lambda e: e.tag in ("nav", "aside", "footer", "form") or bool(OUTSIDE.intersection(e.marks))
+        truth = [any(e.tag in LANDMARKS for e in ancestors(path)) and not any(map(outside, ancestors(path))) for _, path, _ in blocks]
         if any(truth):
             parsed.append((blocks, truth))
-            articles.append([(text, path[-1][0] if path else "p") for (text, path, _), y in zip(blocks, truth) if y])
+            articles.append([(text, path.tag if path else "p") for (text, path, _), y in zip(blocks, truth) if y])
             others += [text for (text, _, _), y in zip(blocks, truth) if not y]
     out = [(features(blocks, landmarks), truth) for blocks, truth in parsed for landmarks in (True, False)]
     others = others or ["Menu"]
@@ -348,7 +416,11 @@ def train(pages: DataFrame, column: str = "html", max_pages: int = 250, max_char
 def extract(pages: DataFrame, field: Field, column: str = "html") -> DataFrame:
     """All rows and columns plus `text` and `n_chars` (replaced if there): the article's blocks, one per line.
 
-    A null or empty page, or one without article blocks, has an empty text.
+    A null or empty page, or one without article blocks, has an empty text; an empty
+    table gives no rows.  Every row is extracted on its own, so repeated rows give
+    equal texts.  Time and memory of a page grow with its length, however deep it
+    nests.  A tie between the labels of a block goes to "other".  Other columns,
+    whatever their names, are kept.
     """
     own = [c for c in pages.columns if c not in ("text", "n_chars")]
     shared = pages.sparkSession.sparkContext.broadcast((field.weights, field.transition))
@@ -357,14 +429,14 @@ def extract(pages: DataFrame, field: Field, column: str = "html") -> DataFrame:
         model = Field(*shared.value)
         for batch in batches:
             texts = []
-            for page in batch.column("_html").to_pylist():
+            for page in batch.column(len(own)).to_pylist():
                 blocks = blocks_of(page)
                 texts.append("\n".join(b[0] for b, keep in zip(blocks, model.decode(blocks)) if keep))
-            kept = [batch.column(c) for c in own]
+            kept = [batch.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*own, "text", "n_chars"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in own), "text string, n_chars long"])
-    return pages.select(*own, F.col(column).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*own, F.col(column).alias(spare(own, "_html"))).mapInArrow(run, schema)
 
 
 def op4_html(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spare(columns: list[str], base: str) -> str:
+    """A name that none of the columns has, in small or capital letters."""
+    taken, name = {c.lower() for c in columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder below spark.checkpoint.dir (below the warehouse where that is unset); removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"

@@ -169,6 +169,30 @@ def test_packages(spark):
     assert warc.read_packages(warc.write_packages(pages.limit(0), scratch(spark, "warc"))).count() == 0
 
 
+@pytest.mark.parametrize("kind,ids", [("string", ["b", " a\n%:", "", "é"]), ("date", ["2020-01-02", "2019-01-01", None, "2021-01-01"]), ("decimal(20,2)", ["10.50", "9.25", "9.25", None])])
+def test_packages_of_any_id(spark, kind, ids):
+    rows = [(x, "<p>same" if k < 3 else "<p>" + "long " * 50_000, 1) for k, x in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "i string, html string, _sha int").selectExpr(f"cast(i as {kind}) as page_id", "'u' as url", "html", "_sha")
+    found = warc.read_packages(warc.write_packages(pages, scratch(spark, "warc"), package_bytes=300), kind, bytes_per_read=100, bytes_per_batch=1)
+    assert found.schema["page_id"].dataType == pages.schema["page_id"].dataType
+    got = found.selectExpr("cast(page_id as string) as p", "cast(refers_to as string) as r", "payload_digest as d", "cast(payload as string) as t").collect()
+    least = pages.where("html = '<p>same'").selectExpr("cast(min(page_id) as string) as p").first()["p"]
+    want = [(x, None if x == least or len(h) > 10 else least, warc.digest_of(h.encode())) for x, h, _ in rows]
+    assert sorted(map(str, ((g["p"], g["r"], g["d"]) for g in got))) == sorted(map(str, want))
+    assert all(g["t"] in (None, *(h for _, h, _ in rows)) and (g["t"] is None) == (g["r"] is not None) for g in got)
+
+
+def test_runs_by_bytes():
+    entries = [{"length": n} for n in (5, 5, 5, 30, 1)]
+    assert [[e["length"] for e in run] for run in warc.runs_of(entries, 10)] == [[5, 5], [5], [30], [1]]
+    assert warc.runs_of([], 10) == []
+
+
+def article_of(page, field):
+    blocks = html_text.blocks_of(page)
+    return "\n".join(text for (text, _, _), keep in zip(blocks, field.decode(blocks)) if keep)
+
+
 def test_extraction(spark, folder):
     pages = table(spark, folder, "pages")
     field = html_text.train(pages)
@@ -179,6 +203,51 @@ def test_extraction(spark, folder):
     assert got[1] == "Title & more\nFirst text of the article ends here.\nSecond, longer text of the article stands here as well."
     assert got[2] == got[3] == got[5] == "" and len(got) == 5
     assert html_text.extract(rows.limit(0), field).count() == 0
+    twice = html_text.extract(rows.withColumn("_html", F.lit(7)).union(rows.withColumn("_html", F.lit(7))), field)
+    assert twice.columns == ["page_id", "html", "_html", "text", "n_chars"] and twice.distinct().count() == 5 and twice.count() == 10
+
+
+def test_extraction_of_whole_pages(spark, folder):
+    """The articles of the given pages stand in their article element, where they are known without the model."""
+    rows = QUERIES["op4_html"](spark, folder).join(table(spark, folder, "pages").select("page_id", "html"), "page_id").collect()
+    tags = re.compile(r"<(script|style)\b.*?</\1>|<!--.*?-->", re.S)
+    right = 0
+    for r in rows:
+        article = re.search(r"<article.*?</article>", tags.sub(" ", r["html"]), re.S)
+        want = {b[0] for b in html_text.blocks_of(re.sub(r'<div class="ad">.*?</div>', " ", article[0], flags=re.S))} if article else set()
+        right += want == set(r["text"].split("\n")) - {""}
+        assert r["n_chars"] == len(r["text"])
+    assert right >= 0.98 * len(rows)
+
+
+def test_extraction_of_pages_without_usual_tags():
+    field = html_text.fit(html_text.labelled(html_text.standard_pages()))
+    first, second = "The first paragraph stands here and is long enough to be read.", "A second one follows it, and it ends with a full stop as well."
+    assert article_of(f"<title>x</title><article><p>{first}<p>{second}</article>", field) == f"{first}\n{second}"
+    assert article_of(f"<html><head><meta charset=utf-8><title>x</title><article><p>{first}<p>{second}</article>", field) == f"{first}\n{second}"
+    assert article_of(f"<head><style>a</style>{first}", field) in ("", first) and html_text.blocks_of(f"<head>{first}")[0][0] == first
+    assert article_of("<article><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is <button>not</button> odd.</p><button>Share</button></article>", field) == "The sum x+1 is not odd."
+    assert article_of(f"<article><p>{first}</article><div class='user-remarks'><p>I like this text.</p></div>", field) == first
+
+
+def test_deep_pages_take_little():
+    import tracemalloc
+
+    field = html_text.fit(html_text.labelled(html_text.standard_pages()))
+    for page in ("<div>x" * 50_000, "".join(f"<div class=a{k}>x" for k in range(50_000))):
+        tracemalloc.start()
+        blocks = html_text.blocks_of(page)
+        assert len(field.decode(blocks)) == len(blocks) == 50_000
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+
+
+def test_gains_are_sums_of_features():
+    pages = html_text.standard_pages(30)
+    field = html_text.fit(html_text.labelled(pages))
+    for page in [*pages, "<div class='a b'><p>x<b class=ad>y</b><div class=a><nav>z</nav>w</div>v</div>u"]:
+        blocks = html_text.blocks_of(page)
+        assert list(field.gains(blocks)) == [sum(field.weights.get(n, 0.0) for n in names) for names in html_text.features(blocks)]
 
 
 def test_chat(spark, folder):
@@ -194,6 +263,45 @@ def test_chat(spark, folder):
     assert turns.where("conv_id is null").count() == 1 and turns.where("conv_id = 2").count() == 0
 
 
+def _turns(model, transcript):
+    return [chat.STATES[k] for k in model.decode(transcript.split("\n"), None, None)]
+
+
+def test_chat_markers_outweigh_order(spark, folder):
+    """Learns from one half of the conversations; the other half is given random roles and styles."""
+    found = {}
+    for r in table(spark, folder, "conversations").orderBy("conv_id", "turn").collect():
+        found.setdefault(r["conv_id"], []).append((r["role"], r["text"] or ""))
+    said = [turns for _, turns in sorted(found.items())]
+    marked = lambda turns, style: [(role, (chat.STYLES[style][chat.ROLES.index(role)] + text).split("\n")) for role, text in turns]
+    model = chat.fit([marked(turns, k % len(chat.STYLES)) for k, turns in enumerate(said[::2])])
+    rng = np.random.default_rng(3)
+    for turns in said[1::2]:
+        turns = marked([(chat.ROLES[rng.integers(3)], text) for _, text in turns], int(rng.integers(len(chat.STYLES))))
+        assert _turns(model, "\n".join(x for _, lines in turns for x in lines)) == [(role, k == 0) for role, lines in turns for k in range(len(lines))]
+    for own in (model, chat.fit([])):
+        assert _turns(own, "Assistant: Hello\nUser: hi") == [("assistant", True), ("user", True)]
+        assert _turns(own, "[A] x\n[Q] y") == [("assistant", True), ("user", True)]
+        assert _turns(own, "User: hi\nSystem: be brief") == [("user", True), ("system", True)]
+        assert _turns(own, "User: a\nUser: b") == [("user", True), ("user", True)]
+        assert _turns(own, "User: a\nNote: b\nAI: c") == [("user", True), ("user", False), ("assistant", True)]
+    odd = spark.createDataFrame([(1, 0, "Remember: this stays\nUser: hi")] * 2, "conv_id long, segment long, transcript string")
+    texts = [r["text"] for r in chat.parse(odd.limit(1), model).orderBy("line").collect()]
+    assert texts == ["Remember: this stays", "hi"] and chat.parse(odd, model).count() == 4 and chat.parse(odd.limit(0), model).count() == 0
+
+
+def test_chained_segments_give_one_pass(spark, folder):
+    model = chat.train(table(spark, folder, "conversations"))
+    rng = np.random.default_rng(4)
+    words = ["User: a?", "AI: b", "plain text", "- item", "", "System: c", "Note: d", "x" * 70]
+    lines = [words[k] for k in rng.integers(0, len(words), 400)]
+    cuts = [0, *sorted(set(rng.integers(1, 400, 12).tolist())), 400]
+    rows = [(1, k, "\n".join(lines[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, segment long, transcript string"), model).orderBy("segment", "line").collect()
+    opened = [(cuts[r["segment"]] + r["line"], r["role"]) for r in got if r["opens"]]
+    assert opened == [(k, role) for k, (role, opens) in enumerate(_turns(model, "\n".join(lines))) if opens]
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline
 
