@@ -276,7 +276,7 @@ def runs_of(entries: list[dict], bytes_per_read: int) -> list[list[dict]]:
     return runs
 
 
-def read_packages(manifest: DataFrame, id_type: str = "bigint", bytes_per_read: int = 1 << 20, bytes_per_batch: int = 16 << 20) -> DataFrame:
+def read_packages(manifest: DataFrame, id_type: str = "bigint", bytes_per_read: int = 1 << 20, bytes_per_batch: int = 16 << 20, bytes_per_task: int = 8 << 20) -> DataFrame:
     """One row per record of the listed packages; `payload` is null for revisits, ids are cast to `id_type`.
 
     A first pass reads directories and indexes only and gives runs of records by their
@@ -328,7 +328,9 @@ def read_packages(manifest: DataFrame, id_type: str = "bigint", bytes_per_read:
                     yield records(rows)
 
     runs = manifest.select("package", "bytes").mapInArrow(locate, "package string, at long, lengths array<long>")
-    found = runs.repartition(F.xxhash64("package", "at")).mapInArrow(fetch, RECORD_SCHEMA)
+    # runs are small rows that stand for much reading: dealt by the bytes of the packages, which adaptive execution doesn't see
+    parts = 1 + (manifest.agg(F.sum("bytes")).first()[0] or 0) // bytes_per_task
+    found = runs.repartition(parts, F.xxhash64("package", "at")).mapInArrow(fetch, RECORD_SCHEMA)
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
