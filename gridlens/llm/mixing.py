@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens.llm.shared import numbered
+
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_RANGE = 1_000_000
 
@@ -70,10 +72,13 @@ def mix(
 
     A null text has size 0; null is a source of its own, the last; a source
     without words gets no copies; an empty table gives an empty one.  Equal rows
-    are sampled on their own, and reruns give the same copies.  `cap` bounds the
-    copies of each document.
+    are sampled on their own, ties in hash and id go by the other columns, and reruns
+    give the same copies.  `cap` bounds the copies of each document.  Other columns,
+    whatever their names, are kept.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    docs, names, (id_column, text, source), own = *numbered(docs, id_column, text, source), docs.columns
+    kept = [(n, c) for n, c in zip(names, own) if c.lower() not in ("size", "source_size", "target", "copies")]
+    own = [n for n, _ in kept]
     ident = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     rows = docs.select(
         *own,
@@ -105,13 +110,15 @@ def mix(
     rank = F.col("_before") + F.row_number().over(in_bucket)
     upto = lambda k: F.floor(k.cast("double") * F.col("_rate") + F.col("_offset"))
     placed = placed.withColumn("_rank", rank).withColumn("copies", (upto(F.col("_rank")) - upto(F.col("_rank") - 1)).cast("long"))
-    return placed.select(*own, "size", "source_size", "target", "copies")
+    return placed.select(*[F.col(n).alias(c) for n, c in kept], "size", "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken."""
-    taken = mix(docs, **options)
-    return taken.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
+    plain, names, (id_column, text, source) = numbered(docs, id_column, text, source)
+    taken = mix(plain, id_column=id_column, text=text, source=source, **options)
+    copies = taken.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return copies.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def op2_mixing(spark, folder: str) -> DataFrame:

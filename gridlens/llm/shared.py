@@ -24,6 +24,16 @@ def spare(columns: list[str], base: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows with columns named c0, c1, ..., these names, and those of the wanted columns.
+
+    Operators work on such rows, so that no column of the caller has a name of theirs.
+    """
+    names = [f"c{k}" for k in range(len(df.columns))]
+    at = {c.lower(): n for c, n in zip(df.columns, names)}
+    return df.toDF(*names), names, [at[c.lower()] for c in wanted]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder below spark.checkpoint.dir (below the warehouse where that is unset); removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
