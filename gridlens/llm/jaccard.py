@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.shared import GAMMA, free, mix64, shingle_hashes, table, text_bytes, word_hashes, written
+from gridlens.llm.shared import GAMMA, free, mix64, numbered, shingle_hashes, table, text_bytes, word_hashes, written
 
 CELLS = 1 << 20
 CHUNKS = 64
@@ -385,7 +385,13 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
 
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """One row of each component with all its columns: that with the least id (a null id last)."""
+    """One row of each component with all its columns, whatever their names: that with the least id (a null id last).
+
+    Of equal ids and texts on several rows any one stays; empty and blank texts all
+    stay; an empty table gives none.
+    """
+    columns = docs.columns
+    docs, _, (id_column, text) = numbered(docs, id_column, text)
     found = written(components(docs, id_column, text, percent), "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("row").alias("r"))).alias("first")
     kept = found.join(found.groupBy("component").agg(first).select(F.col("first.r").alias("row")), "row").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
@@ -398,7 +404,8 @@ def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str =
     free(docs.sparkSession)
     chosen = F.col(id_column).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h"))
     out = docs.join(once, chosen, "left_semi")
-    return out.unionByName(docs.join(several, chosen, "left_semi").dropDuplicates([id_column, text])) if several.take(1) else out
+    out = out.unionByName(docs.join(several, chosen, "left_semi").dropDuplicates([id_column, text])) if several.take(1) else out
+    return out.toDF(*columns)
 
 
 def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
