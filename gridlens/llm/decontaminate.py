@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.shared import table, written
+from gridlens.llm.shared import numbered, table, written
 
 SHINGLE = 5
 BLOCKS, BITS = 16, 4
@@ -55,20 +55,26 @@ def _block(value: Column, k: int) -> Column:
 
 
 def similarity(a: Column, b: Column) -> tuple[Column, Column]:
-    """Weighted overlap and total of two lists of hashes: sums of the lesser and the greater counts."""
-    count = lambda hashes, h: F.size(F.filter(hashes, lambda x: x == h))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h)))
+    """Weighted overlap and total of two sorted lists of hashes: sums of the lesser and the greater counts.
+
+    Hashes that stand once are met by an intersection of the lists; only those that
+    repeat in both are counted one by one.
+    """
+    repeated = lambda x: F.filter(x, lambda h, i: (i > 0) & (F.get(x, i - 1) == h))
+    count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
+    both = F.array_intersect(repeated(a), repeated(b))
+    common = F.aggregate(both, F.size(F.array_intersect(a, b)), lambda n, h: n + F.least(count(a, h), count(b, h)) - 1)
     return common, F.size(a) + F.size(b) - common
 
 
 def benchmark_items(benchmark: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Stored distinct items with words: item (own key, never null), item_id, length, k (words per shingle), hashes, fingerprint."""
+    """Stored distinct items with words: item (own key, never null), item_id, length, k (words per shingle), sorted hashes, fingerprint."""
     items = benchmark.select(F.col(id_column).alias("item_id"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
     k = F.least(F.size("w"), F.lit(SHINGLE))
     hashes = shingles(F.col("w"), SHINGLE)
     for short in range(1, SHINGLE):
         hashes = F.when(F.size("w") == short, shingles(F.col("w"), short)).otherwise(hashes)
-    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("w").alias("length"), k.alias("k"), hashes.alias("hashes"))
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("w").alias("length"), k.alias("k"), F.array_sort(hashes).alias("hashes"))
     return written(items.withColumn("fingerprint", simhash(F.col("hashes"))), "items")
 
 
@@ -140,7 +146,7 @@ def leaks(
         if k < SHINGLE:
             run = F.xxhash64(*[F.get("w", F.col("p.start") + j) for j in range(k)])
             hashes = F.when(F.col("p.length") == k, F.array(run)).otherwise(hashes)
-    windows = windows.select("key_1", "key_2", F.col("p.start").alias("start"), F.col("p.length").alias("length"), hashes.alias("window"))
+    windows = windows.select("key_1", "key_2", F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.array_sort(hashes).alias("window"))
     windows = written(windows.withColumn("mark", simhash(F.col("window"))), "windows")
 
     flips = [0] + [1 << b for b in range(BITS)]
@@ -166,18 +172,23 @@ def _same_text(text: str) -> Column:
     return (F.xxhash64(text) == F.col("key_1")) & (F.xxhash64(F.col(text), F.lit(1)) == F.col("key_2"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """A row per document and item it holds: the document's columns, item_id, similarity, word_start (these names are replaced)."""
-    text = options.get("text", "text")
-    own = [c for c in docs.columns if c not in ("item_id", "similarity", "word_start")]
-    found = leaks(docs, benchmark, **options)
-    return docs.select(*own).join(found, _same_text(text)).select(*own, "item_id", "similarity", "word_start")
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """A row per document and item it holds: the document's columns, item_id, similarity, word_start (these names are replaced).
+
+    Repeated rows are reported each; other columns, whatever their names, are kept; an
+    empty table gives none.
+    """
+    plain, names, (at,) = numbered(docs, text)
+    own = [(n, c) for n, c in zip(names, docs.columns) if c.lower() not in ("item_id", "similarity", "word_start")]
+    found = plain.join(leaks(plain, benchmark, text=at, **options), _same_text(at))
+    return found.select(*[F.col(n).alias(c) for n, c in own], "item_id", "similarity", "word_start")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, with their columns."""
-    found = leaks(docs, benchmark, **options).select("key_1", "key_2").distinct()
-    return docs.join(found, _same_text(options.get("text", "text")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that hold no item, with their columns, whatever their names; repeated rows stay."""
+    plain, _, (at,) = numbered(docs, text)
+    found = leaks(plain, benchmark, text=at, **options).select("key_1", "key_2").distinct()
+    return plain.join(found, _same_text(at), "left_anti").toDF(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:

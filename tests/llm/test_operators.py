@@ -80,6 +80,45 @@ def test_leaks(spark, odd, none):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_weighted_overlap(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(sorted(rng.integers(0, top, rng.integers(0, 30)).tolist()) for _ in "ab") for top in (3, 10, 100) for _ in range(60)]
+    want = [sum(min(a.count(x), b.count(x)) for x in set(a)) for a, b in rows]
+    common, total = decontaminate.similarity(F.col("a"), F.col("b"))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(common.alias("n"), total.alias("t")).collect()
+    assert [tuple(r) for r in got] == [(n, len(a) + len(b) - n) for n, (a, b) in zip(want, rows)]
+
+
+def test_long_items_are_checked_in_time(spark):
+    import time
+
+    words = [f"w{k}" for k in range(1200)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join(words) + " after"), (2, " ".join(words[::-1]))], "doc_id long, text string")
+    begun = time.time()
+    assert [(r["doc_id"], r["similarity"], r["word_start"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1.0, 1)]
+    assert time.time() - begun < 60  # 82 s when every hash was counted by scanning both lists
+
+
+NAMES = ["_hash", "_src", "_id", "_tie", "_class", "_range", "_rank", "_copy", "b_src", "copies", "key_1", "KEY_2", "places", "_i", "_h", "_ah", "row", "digest", "c0", "c1", "_score", "component", "item_id", "Size"]
+
+
+def test_names_of_columns_do_not_clash(spark, folder):
+    import corpus_pipeline
+
+    rows = [(str(k), "one two three four five six seven" if k < 4 else f"text {k} of its own with some words", "ab"[k % 2], *[f"{k}"] * len(NAMES)) for k in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *NAMES])
+    bench = spark.createDataFrame([("x", "TEXT 5 of its own with some words")], "item_id string, text string")
+    assert {tuple(r) for r in mixing.mixed(docs).collect()} <= set(rows)
+    taken = mixing.mix(docs)
+    assert taken.count() == 8 and {r["size"] for r in taken.collect()} == {7, 8}
+    found = decontaminate.contaminated(docs, bench)
+    assert [(r["doc_id"], r["item_id"], r["key_1"]) for r in found.collect()] == [("5", "x", "5")]
+    assert {tuple(r) for r in decontaminate.without_leaks(docs, bench).collect()} == {r for r in rows if r[0] != "5"}
+    assert {tuple(r) for r in jaccard.without_near_copies(docs).collect()} == {rows[0], *rows[4:]}
+    assert {tuple(r) for r in corpus_pipeline.reject_toxic(spark, docs, folder).collect()} <= set(rows)
+
+
 def test_fingerprints_by_brute_force(spark, folder, odd, none):
     cut = lambda t: {p for p in re.split(r"\n+|(?<=[.!?]) +", t) if p}
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
