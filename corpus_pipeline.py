@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlens.llm import decontaminate, jaccard, mixing, tokens, toxicity
 from gridlens.llm.queries import QUERIES as OPERATORS
 from gridlens.llm.queries import SQL as OPERATOR_SQL
-from gridlens.llm.shared import table, written
+from gridlens.llm.shared import spare, table, written
 
 TOXIC = 0.3
 
@@ -16,7 +16,8 @@ TOXIC = 0.3
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; the model learns from the labels of the whole table."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, column="_score").where(F.col("_score") < TOXIC).select(*docs.columns)
+    score = spare(docs.columns, "_score")
+    return toxicity.score(docs, model, column=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
