@@ -7,10 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.operators import models
+from gridlens.operators import evaluate, insights, models
+from gridlens.operators import profile as prof
 from gridlens.operators.split import kfold
 from gridlens.plans.registry import QUERIES, Tables, query
-from gridlens.session import materialise
+from gridlens.session import materialise, new_path
+from gridlens.sources import export, files
 
 FOLDS = 5
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -217,25 +219,69 @@ def lasso_one_feature(t: Tables) -> DataFrame:
     return _one_feature(t, "Lasso Regression", 1.0)
 
 
-@query(
-    """WITH s AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_discount) AS m2,
+_TWO_FEATURES = """WITH s AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_discount) AS m2,
       stddev_pop(l_discount) AS s2, avg(l_extendedprice) AS my, CAST(count(*) AS DOUBLE) AS n FROM lineitem),
     x AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity - m1) / s1 AS a, (l_discount - m2) / s2 AS b,
       l_extendedprice - my AS y, my, n FROM lineitem, s),
     g AS (SELECT sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS yb, any_value(n) + 1.0::DOUBLE AS d FROM x),
-    c AS (SELECT (ay * d - yb * ab) / (d * d - ab * ab) AS p, (yb * d - ay * ab) / (d * d - ab * ab) AS q FROM g)
-    SELECT l_orderkey, l_linenumber, l_partkey, round(my + p * a + q * b, 3) AS prediction FROM x, c"""
-)
+    c AS (SELECT (ay * d - yb * ab) / (d * d - ab * ab) AS p, (yb * d - ay * ab) / (d * d - ab * ab) AS q FROM g)"""
+
+
+def _ridge(t: Tables) -> tuple[DataFrame, models.FittedModel]:
+    data = t.lineitem.select(*KEYS, "l_quantity", "l_discount", F.col("l_extendedprice").alias("y"))
+    return data, models.fit(data, "y", "Ridge Regression", "regression", ["l_quantity", "l_discount"])
+
+
+@query(f"{_TWO_FEATURES} SELECT l_orderkey, l_linenumber, l_partkey, round(my + p * a + q * b, 3) AS prediction FROM x, c")
 def ridge_predictions(t: Tables) -> DataFrame:
     """Every line item with its prediction; closed form of two features."""
-    data = t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount",
-        F.col("l_extendedprice").alias("y"),
-    )
-    fitted = models.fit(data, "y", "Ridge Regression", "regression", ["l_quantity", "l_discount"])
-    return fitted.predict(data).select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.round("prediction", 3).alias("prediction")
-    )
+    data, fitted = _ridge(t)
+    return fitted.predict(data).select(*KEYS, F.round("prediction", 3).alias("prediction"))
+
+
+_PROFILED = ("l_quantity", "l_discount", "y")
+_PROFILE_SQL = " UNION ALL ".join(
+    f"""SELECT 'profile' AS section, '{c}.' || unnest(['missing', 'missing_percent', 'mean', 'std', 'min', 'max', 'median']) AS key,
+      unnest([CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE), round(count(*) FILTER (WHERE {c} IS NULL) * 100.0::DOUBLE / count(*), 2),
+        avg({c}), stddev_samp({c}), min({c}), max({c}), median({c})]) AS number FROM v"""
+    for c in _PROFILED
+)
+
+
+@query(
+    f"""{_TWO_FEATURES}, v AS (SELECT l_quantity, l_discount, l_extendedprice AS y FROM lineitem),
+    e AS (SELECT avg((y - p * a - q * b) ** 2) AS mse, var_pop(y) AS variance FROM x, c),
+    facts AS ({_PROFILE_SQL}
+      UNION ALL SELECT 'profile', '*.' || unnest(['row_count', 'features', 'duplicate_rows']), unnest([CAST(count(*) AS DOUBLE), 3.0::DOUBLE,
+        CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS DOUBLE)]) FROM v
+      UNION ALL SELECT 'metrics', unnest(['rmse', 'r2_score']), unnest([sqrt(mse), 1 - mse / variance]) FROM e)
+    SELECT section, key, round(number, 4) AS number, CAST(NULL AS VARCHAR) AS text FROM facts
+    UNION ALL SELECT 'model', unnest(['model_name', 'task_type']), CAST(NULL AS DOUBLE), unnest(['Ridge Regression', 'regression'])"""
+)
+def report_of_model(t: Tables) -> DataFrame:
+    """Report from the profile of all line items and the metrics of a model fitted on them."""
+    data, fitted = _ridge(t)
+    errors = evaluate.regression_metrics(fitted.predict(data), "y", "prediction")
+    metrics = errors.select(F.expr("stack(2, 'rmse', rmse, 'r2_score', r2_score)").alias("metric", "value"))
+    facts = insights.analysis_report(
+        prof.profile(data.select(*_PROFILED)), metrics, {"model_name": fitted.name, "task_type": fitted.task})
+    number = F.col("value").try_cast("double")
+    return facts.select("section", "key", F.round(number, 4).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+@query(f"SELECT {', '.join(KEYS)}, {SHIPPED} AS y, {SHIPPED} AS prediction, 1.0::DOUBLE AS total, TRUE AS likeliest FROM lineitem")
+def export_model_predictions(t: Tables) -> DataFrame:
+    """All line items scored by a model, exported with its class probabilities and read back."""
+    data = _keyed_items(t, SHIPPED)
+    fitted = models.fit(data, "y", "Logistic Regression", "classification", FEATURES)
+    scored = fitted.predict_proba(data)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema)
+    back = files.read_csv(t.spark, export.Exporter(t.spark, new_path(t.spark, "predictions")).predictions(scored), schema)
+    shares = [F.col(f"prob_class_{i}") for i in range(len(fitted.labels))]
+    place = F.array_position(F.lit(fitted.labels), F.col("prediction")).cast("int") - 1
+    return back.select(
+        *KEYS, "y", "prediction", F.round(sum(shares[1:], shares[0]), 6).alias("total"),
+        (F.get(F.array(*shares), place) == F.greatest(*shares)).alias("likeliest"))
 
 
 __all__ = ["QUERIES"]

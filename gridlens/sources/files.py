@@ -79,14 +79,17 @@ def detect_kind(path: str) -> str:
 
 
 def auto_load(
-    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True, unknown_as: str = "unknown"
 ) -> tuple[DataFrame, str]:
     """Load by suffix; returns the rows and dataframe, image or text.
 
     ``schema`` saves CSV and JSON the pass that infers types; without
-    ``multi_line`` they have one record per line and can be split.
+    ``multi_line`` they have one record per line and can be split.  A file of
+    unknown suffix raises, unless ``unknown_as`` names the kind to read it as.
     """
     kind = detect_kind(path)
+    if kind == "unknown" and not path.rstrip("/").endswith(".parquet"):
+        kind = unknown_as
     if kind == "csv":
         return read_csv(spark, path, schema, multi_line), "dataframe"
     if kind == "json":

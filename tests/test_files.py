@@ -64,6 +64,9 @@ def test_catalog_and_loading(spark, tmp_path):
     assert kind == "text" and rows.first()["text"] == "line one\nline two é"
     with pytest.raises(ValueError):
         files.auto_load(spark, str(tmp_path / "t.bin"))
+    (tmp_path / "t.dat").write_text("a,b\n1,x\n")
+    rows, kind = files.auto_load(spark, str(tmp_path / "t.dat"), unknown_as="csv")
+    assert kind == "dataframe" and [tuple(r) for r in rows.collect()] == [(1, "x")]
 
 
 def test_exports(spark, tmp_path):
