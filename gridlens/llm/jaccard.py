@@ -37,6 +37,13 @@ GROUP = 64
 PER_SALT = 256
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that only a few sets at a time are copied out of Arrow."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def tokens_of(data: np.ndarray) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     return np.unique(shingle_hashes(word_hashes(data)[0]))
@@ -138,7 +145,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, uni
     """Stored (node, tokens) of the wanted (node, doc_id, digest), from the texts of these ids; unique: no id repeats."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             nodes, sets = [], []
             for node, digest, data in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), text_bytes(batch.column("text"))):
                 raw = tokens_of(data).tobytes()
@@ -158,7 +165,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_set = lambda raw: np.frombuffer(raw, dtype=np.uint64)
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]
             kept = [(a, b) for a, b, x, y in zip(*columns) if linked(as_set(x), as_set(y), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -173,7 +180,7 @@ def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_bits = lambda raw: np.frombuffer(raw, dtype=np.uint64)
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [batch.column(c).to_pylist() for c in ("a", "b", "na", "ba", "nb", "bb")]
             kept = [(a, b) for a, b, n, x, m, y in zip(*columns) if may_link(n, as_bits(x), m, as_bits(y), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -247,7 +254,7 @@ def possible_groups(queries: DataFrame, groups: DataFrame, bits: DataFrame, perc
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, members = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             kept = []
             for g, kind, node, n, raw in zip(*[batch.column(c).to_pylist() for c in ("g", "kind", "node", "n", "bits")]):
                 if g != current:
@@ -271,7 +278,7 @@ def group_links(queries: DataFrame, groups: DataFrame, sets: DataFrame, percent:
 
     def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, members, union = None, [], None
-        for batch in batches:
+        for batch in pieces(batches):
             links = []
             for g, kind, node, raw in zip(*[batch.column(c).to_pylist() for c in ("g", "kind", "node", "tokens")]):
                 if g != current:
