@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from gridlens.operators.text import non_blank
 from gridlens.session import materialise
 
 SHOWN_CHARS = 80
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# in UTF-8: A-Z lower-cased, ASCII characters but letters and digits as spaces, all others as they are
+_SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
+FREQUENT = 200_000  # words that are sent to every task
 LIMIT = 30.0  # log odds beyond which a score is as good as sure
 POSITIVE, NEGATIVE = "POSITIVE", "NEGATIVE"
 
@@ -57,30 +60,41 @@ def score_text(
 
 @dataclass
 class SentimentModel:
-    """Log odds of each word as a table, and those of a text without known words."""
+    """Log odds of each word (word, odds, n: how often it was seen) as a table, and those of a text without known words."""
 
     words: DataFrame
     prior: float
 
 
-def _words(text: Column) -> Column:
+def _words(text: str) -> list[bytes]:
     """Runs of letters, digits and other non-ASCII characters; A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+    return text.encode().translate(_SPLIT).split()
 
 
 def train_sentiment(df: DataFrame, text: str, label: str) -> SentimentModel:
     """Naive Bayes on a 0/1 label: how often each word stands in either kind, each count one more.
 
-    One aggregate per word; words and counts stay a table, so the vocabulary has no limit.
+    Words are counted per batch of texts before they move; words and counts stay a
+    table, so the vocabulary has no limit.
     """
     rated = df.where(quoted(label).isNotNull() & quoted(text).isNotNull()).select(
-        (quoted(label) == 1).alias("good"), _words(quoted(text)).alias("ws")
+        (quoted(label) == 1).alias("good"), quoted(text).cast("string").alias("text")
     )
     texts = rated.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[bytes, list[int]] = {}
+            for good, one in zip(batch.column("good").to_pylist(), batch.column("text")):
+                for word, n in Counter(_words(one.as_py())).items():
+                    found.setdefault(word, [0, 0])[good] += n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.decode() for w in found], pa.string()), *[pa.array([n[k] for n in found.values()], pa.int64()) for k in (1, 0)]],
+                ["word", "c1", "c0"],
+            )
+
     counts = materialise(
-        rated.select("good", F.explode("ws").alias("word")).groupBy("word").agg(
-            F.count_if("good").alias("c1"), F.count_if(~F.col("good")).alias("c0")
-        ),
+        rated.mapInArrow(count, "word string, c1 long, c0 long").groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")),
         "word-counts",
     )
     sums = counts.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.count("*").alias("v")).first()
@@ -88,26 +102,60 @@ def train_sentiment(df: DataFrame, text: str, label: str) -> SentimentModel:
     def share(count: str, total: int | None) -> Column:
         return F.log((F.col(count) + 1).cast("double") / F.lit(float((total or 0) + sums["v"])))
 
-    odds = counts.select("word", (share("c1", sums["n1"]) - share("c0", sums["n0"])).alias("odds"))
+    odds = counts.select(
+        "word", (share("c1", sums["n1"]) - share("c0", sums["n0"])).alias("odds"), (F.col("c1") + F.col("c0")).alias("n"))
     return SentimentModel(odds, math.log((texts["good"] + 1) / (texts["bad"] + 1)))
 
 
-def score_sentiment(model: SentimentModel, df: DataFrame, text: str) -> DataFrame:
+def _known_to_all(words: DataFrame, most: int) -> int:
+    """A count of at least which at most `most` words were seen, as a power of two; 1 if that are all words."""
+    powers = words.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("words")).collect()
+    least, held = 1 << 62, 0
+    for r in sorted(powers, key=lambda r: -r["p"]):
+        held += r["words"]
+        if held > most:
+            return least
+        least = 1 << r["p"]
+    return 1
+
+
+def score_sentiment(model: SentimentModel, df: DataFrame, text: str, frequent: int = FREQUENT) -> DataFrame:
     """Score whole non-blank texts by the log odds of their words.
 
-    Texts are written once with a number; their words meet the word table and are
-    summed per number before they move.
+    The `frequent` words, which most of a text consists of, are sent to every task and
+    added up where the text is.  Where the model has more words, the others leave the
+    text, meet the word table, and are summed per text.
     """
     kept = [c for c in df.columns if c != text]
-    ready = materialise(
-        non_blank(df, text).select(*[quoted(c) for c in kept], quoted(text).alias("_text"), F.monotonically_increasing_id().alias("_row")),
-        "texts",
-    )
-    found = ready.select("_row", F.explode(_words(F.col("_text"))).alias("word")).join(model.words, "word")
-    summed = found.groupBy("_row").agg(F.sum("odds").alias("_odds"))
-    odds = F.lit(model.prior) + F.coalesce(F.col("_odds"), F.lit(0.0))
+    least = _known_to_all(model.words, frequent)
+    table = {r["word"].encode(): r["odds"] for r in model.words.where(F.col("n") >= least).select("word", "odds").collect()}
+    known = df.sparkSession.sparkContext.broadcast(table)
+    rare = least > 1
+
+    @F.pandas_udf("odds double, rest array<string>")
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        odds = known.value
+        for batch in batches:
+            sums, rest = [], []
+            for one in batch:
+                words = _words(one)
+                found = [odds[w] for w in words if w in odds]
+                sums.append(math.fsum(found))
+                rest.append([w.decode() for w in words if w not in odds] if rare and len(found) < len(words) else [])
+            yield pd.DataFrame({"odds": sums, "rest": rest})
+
+    shown = non_blank(df, text).select(
+        *[quoted(c) for c in kept], F.substring(quoted(text), 1, SHOWN_CHARS).alias("_text"), work(quoted(text)).alias("_found"))
+    total = F.col("_found.odds")
+    if rare:
+        shown = materialise(shown.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        others = model.words.where(F.col("n") < least).select("word", "odds")
+        met = shown.select("_row", F.explode("_found.rest").alias("word")).join(others, "word")
+        shown = shown.join(met.groupBy("_row").agg(F.sum("odds").alias("_odds")), "_row", "left")
+        total = total + F.coalesce(F.col("_odds"), F.lit(0.0))
+    odds = F.lit(model.prior) + total
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), odds))))
-    scored = ready.join(summed, "_row", "left").withColumn("_p", p)
+    scored = shown.withColumn("_p", p)
     return scored.select(
         *_record(kept, F.col("_text"), F.when(F.col("_p") >= 0.5, POSITIVE).otherwise(NEGATIVE),
                  F.greatest(F.col("_p"), 1 - F.col("_p")))
