@@ -164,6 +164,17 @@ def fold_scores(df: DataFrame, task: str, label: str, prediction: str, fold: str
     return df.groupBy(quoted(fold).alias("fold")).agg(score.alias("score"))
 
 
+def weighted_fold_sums(df: DataFrame, task: str, label: str, prediction: str, rows: str, fold: str = "fold") -> DataFrame:
+    """(fold, mean): the share of hits or the mean squared error, where a row stands for `rows` of them."""
+    if task == "classification":
+        one = (quoted(label) == quoted(prediction)).cast("double")
+    else:
+        one = (quoted(label).cast("double") - quoted(prediction).cast("double")) ** 2
+    n = quoted(rows).cast("double")
+    return df.groupBy(quoted(fold).alias("fold")).agg(
+        F.try_divide(F.sum(one * n), F.sum(F.when(one.isNotNull(), n))).alias("mean"))
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     """One row (cv_mean, cv_std): population deviation over the folds."""
     return scores.agg(

@@ -43,6 +43,12 @@ class FeatureModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.stages.transform(df).drop(*self.scratch)
 
+    def numbers(self, df: DataFrame) -> DataFrame:
+        """The first `numeric` positions alone, a column each."""
+        if not self.numeric:
+            return df.select()
+        return self.stages.stages[0].transform(df).select(*self.scratch[: self.numeric])
+
 
 def _as_number(df: DataFrame, name: str) -> str:
     """SQL text for a column as a double; dates become seconds, NaN and infinite

@@ -50,13 +50,14 @@ class Cells:
     rows: np.ndarray
 
 
-def cells_of(df: DataFrame, features: str, label: str, uses: Sequence[Any]) -> DataFrame:
-    """Stored (x, y, rows): distinct rows and how many of them each model sees."""
+def cells_of(df: DataFrame, features: str, label: str, uses: Sequence[Any], rows: str | None = None) -> DataFrame:
+    """Stored (x, y, rows): distinct rows and how many of them each model sees; `rows` says how many rows each stands for."""
     picked = df.select(
         vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"),
+        (F.col(rows) if rows else F.lit(1)).cast("double").alias("n"),
         *[F.coalesce(u, F.lit(False)).alias(f"u{m}") for m, u in enumerate(uses)],
     )
-    counted = picked.groupBy("x", "y").agg(F.array(*[F.count_if(F.col(f"u{m}")).cast("double") for m in range(len(uses))]).alias("rows"))
+    counted = picked.groupBy("x", "y").agg(F.array(*[F.coalesce(F.sum(F.when(F.col(f"u{m}"), F.col("n"))), F.lit(0.0)) for m in range(len(uses))]).alias("rows"))
     return materialise(counted, "kernel-cells")
 
 
@@ -219,11 +220,11 @@ def _counts(cells: Cells, model: int, classes: int) -> np.ndarray:
 
 def fit_all(
     df: DataFrame, features: str, label: str, classes: int, uses: Sequence[Any], gamma: float, size: int = 200,
-    iterations: int = 100, seed: int = 42, task_bytes: int | None = None,
+    iterations: int = 100, seed: int = 42, task_bytes: int | None = None, rows: str | None = None,
 ) -> list[KernelModel]:
     """One model per row filter in `uses`, all from the same cells."""
     spark = df.sparkSession
-    cells = cells_of(df, features, label, uses)
+    cells = cells_of(df, features, label, uses, rows)
     width = len(df.select(vector_to_array(features)).first()[0])
     per_cell = 8 * (width + size + 2 + len(uses))
     task_bytes = TASK_BYTES if task_bytes is None else task_bytes
@@ -243,8 +244,8 @@ def fit_all(
                 yield pd.DataFrame({"model": batch["model"], "parts": found})
 
         work = spark.createDataFrame([(m,) for m in models], "model int").repartition(len(uses), "model")
-        rows = work.mapInPandas(fit, "model int, parts binary").collect()
-        parts = {r["model"]: pickle.loads(bytes(r["parts"])) for r in rows}
+        found = work.mapInPandas(fit, "model int, parts binary").collect()
+        parts = {r["model"]: pickle.loads(bytes(r["parts"])) for r in found}
     else:
         held = cells.rdd.mapPartitions(_whole).persist(StorageLevel.MEMORY_AND_DISK)
         try:

@@ -35,11 +35,12 @@ class LinearModel:
         return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + F.lit(self.intercept)
 
 
-def moments(df: DataFrame, features: str, label: str, uses: Sequence[Column]) -> list[np.ndarray]:
-    """Per row filter the sums of products of (features..., 1, target)."""
+def moments(df: DataFrame, features: str, label: str, uses: Sequence[Column], rows: str | None = None) -> list[np.ndarray]:
+    """Per row filter the sums of products of (features..., 1, target); `rows` says how many rows each stands for."""
     flags = [f"u{m}" for m in range(len(uses))]
-    rows = df.select(
+    picked = df.select(
         vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"),
+        (F.col(rows) if rows else F.lit(1)).cast("double").alias("n"),
         *[F.coalesce(u, F.lit(False)).alias(name) for name, u in zip(flags, uses)],
     )
 
@@ -48,11 +49,12 @@ def moments(df: DataFrame, features: str, label: str, uses: Sequence[Column]) ->
         full = np.column_stack([x, np.ones(len(x)), batch.column("y").to_numpy()])
         out = {}
         for m, name in enumerate(flags):
-            own = full[batch.column(name).to_numpy(zero_copy_only=False)]
-            out[m] = own.T @ own
+            inside = batch.column(name).to_numpy(zero_copy_only=False)
+            own = full[inside]
+            out[m] = own.T @ (own * batch.column("n").to_numpy()[inside, None])
         return out
 
-    found = summed_matrices(rows, products)
+    found = summed_matrices(picked, products)
     return [found[m] for m in range(len(uses))]
 
 
@@ -104,6 +106,6 @@ def lasso(products: np.ndarray, alpha: float, iterations: int = 5000, tolerance:
     return _model(weights, mean, deviation, target)
 
 
-def fit_all(df: DataFrame, features: str, label: str, uses: Sequence[Any], name: str, alpha: float = 1.0, iterations: int = 5000) -> list[LinearModel]:
+def fit_all(df: DataFrame, features: str, label: str, uses: Sequence[Any], name: str, alpha: float = 1.0, iterations: int = 5000, rows: str | None = None) -> list[LinearModel]:
     """One model per row filter in `uses`."""
-    return [ridge(m, alpha) if name == "ridge" else lasso(m, alpha, iterations) for m in moments(df, features, label, uses)]
+    return [ridge(m, alpha) if name == "ridge" else lasso(m, alpha, iterations) for m in moments(df, features, label, uses, rows)]

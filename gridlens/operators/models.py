@@ -20,11 +20,12 @@ from gridlens.operators import evaluate, kernel, linear, trees
 from gridlens.operators.features import FEATURES, FeatureModel, column_list, fit_features
 from gridlens.operators.prep import with_class_weights
 from gridlens.operators.profile import detect_task_type
+from gridlens.operators.ranking import lookup_join
 from gridlens.operators.split import split_and_folds
 from gridlens.session import materialise
 
 SEED = 42
-LABEL, WEIGHT = "_label", "_weight"
+LABEL, WEIGHT, ROWS = "_label", "_weight", "_rows"
 CLASSIFIERS = (
     "Random Forest", "Gradient Boosting", "Logistic Regression", "SVM", "XGBoost", "LightGBM",
     "Ensemble",
@@ -76,10 +77,12 @@ def _tree_settings(name: str, classes: int, size: int, params: dict[str, Any]) -
     return None
 
 
-def _fit_trees(df: DataFrame, name: str, classes: int, features: FeatureModel, uses: Sequence[Column], params: dict[str, Any]) -> list[Member]:
+def _fit_trees(
+    df: DataFrame, name: str, classes: int, features: FeatureModel, uses: Sequence[Column], bins: trees.Bins, params: dict[str, Any]
+) -> list[Member]:
     size = len(features.names)
     setting = _tree_settings(name, classes, size, params)
-    found = trees.fit_all(df, FEATURES, LABEL, features.numeric, size, classes, uses, setting, params.get("task_bytes"))
+    found = trees.fit_all(df, FEATURES, LABEL, features.numeric, size, classes, uses, setting, params.get("task_bytes"), bins, ROWS)
     kept = lambda m: m.trees
     return [Member(m, classes, trees.importances(kept(m), size)) for m in found]
 
@@ -87,15 +90,16 @@ def _fit_trees(df: DataFrame, name: str, classes: int, features: FeatureModel, u
 def _fit_linear(df: DataFrame, name: str, uses: Sequence[Column], params: dict[str, Any]) -> list[Member]:
     limits = {"iterations": params["iterations"]} if "iterations" in params else {}
     kind = "ridge" if name == "Ridge Regression" else "lasso"
-    found = linear.fit_all(df, FEATURES, LABEL, uses, kind, params.get("alpha", 1.0), **limits)
+    found = linear.fit_all(df, FEATURES, LABEL, uses, kind, params.get("alpha", 1.0), rows=ROWS, **limits)
     return [Member(m, 0, np.abs(m.coefficients.toArray())) for m in found]
 
 
 def _fit_logistic(df: DataFrame, classes: int, iterations: int = 1000, **_: Any) -> Member:
     """L2 with C = 1: Spark divides the loss by the sum of weights, which is n."""
+    n = df.agg(F.sum(ROWS)).first()[0]
     estimator = LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=iterations,
-        regParam=1.0 / df.count(), standardization=False,
+        regParam=1.0 / n, standardization=False,
     )
     fitted = estimator.fit(df)
     return Member(fitted, classes, np.abs(fitted.coefficientMatrix.toArray()).mean(axis=0))
@@ -107,7 +111,7 @@ def _fit_kernel(df: DataFrame, classes: int, uses: Sequence[Column], params: dic
     gamma = 1.0 / max(1, int((variance > 1e-9).sum()))
     limits = {"iterations": params["iterations"]} if "iterations" in params else {}
     found = kernel.fit_all(df, FEATURES, LABEL, classes, uses, gamma, params.get("fourier", 200), seed=SEED,
-                           task_bytes=params.get("task_bytes"), **limits)
+                           task_bytes=params.get("task_bytes"), rows=ROWS, **limits)
     return [Member(m, classes) for m in found]
 
 
@@ -122,18 +126,20 @@ def known_name(name: str, task: str) -> str:
 
 
 def _fit_members(
-    df: DataFrame, name: str, classes: int, features: FeatureModel, uses: Sequence[Column], params: dict[str, Any]
+    df: DataFrame, name: str, classes: int, features: FeatureModel, uses: Sequence[Column], numbers: DataFrame, params: dict[str, Any]
 ) -> list[list[Member]]:
-    """The members of one model per row filter in `uses`."""
+    """The members of one model per row filter in `uses`; bins are cut in the rows of `numbers`."""
+    if name == "Ensemble" or name in TREES:
+        bins = trees.bins_of(numbers, [F.col(c) for c in numbers.columns], len(features.names))
     if name == "Ensemble":
         parts = [
-            _fit_trees(df, "Random Forest", classes, features, uses, {"trees": 150, **params}),
-            _fit_trees(df, "Gradient Boosting", classes, features, uses, {"rounds": 100, "levels": 3, **params}),
-            _fit_trees(df, "XGBoost", classes, features, uses, {"rounds": 100, "rate": 0.3, "share": 1.0, **params}),
+            _fit_trees(df, "Random Forest", classes, features, uses, bins, {"trees": 150, **params}),
+            _fit_trees(df, "Gradient Boosting", classes, features, uses, bins, {"rounds": 100, "levels": 3, **params}),
+            _fit_trees(df, "XGBoost", classes, features, uses, bins, {"rounds": 100, "rate": 0.3, "share": 1.0, **params}),
         ]
         return [list(members) for members in zip(*parts)]
     if name in TREES:
-        return [[m] for m in _fit_trees(df, name, classes, features, uses, params)]
+        return [[m] for m in _fit_trees(df, name, classes, features, uses, bins, params)]
     if name == "SVM":
         return [[m] for m in _fit_kernel(df, classes, uses, params)]
     if name in LINEAR:
@@ -141,7 +147,9 @@ def _fit_members(
     out = []
     for use in uses:
         rows = df.where(use)
-        rows = with_class_weights(rows, LABEL, WEIGHT) if classes else rows
+        if classes:
+            weighted = with_class_weights(rows, LABEL, WEIGHT, ROWS)
+            rows = weighted.withColumn(WEIGHT, F.col(WEIGHT) * F.col(ROWS))
         out.append([FITTERS[name](rows, classes, **params)])
     return out
 
@@ -159,8 +167,19 @@ class FittedModel:
     features: FeatureModel
     members: list[Member]
     labels: list[str] = field(default_factory=list)
+    columns: list[str] = field(default_factory=list)
 
     def _scored(self, df: DataFrame) -> DataFrame:
+        """Append the probabilities or the number.  Trees and support vectors score each
+        distinct row of the model's columns once, and the rows of the table look theirs up."""
+        name = "prediction" if self.task == "regression" else "probability"
+        if not self.columns or not all(hasattr(m.model, "scores") for m in self.members):
+            return self._scored_rows(df)
+        distinct = df.select(*[quoted(c) for c in self.columns]).distinct()
+        found = self._scored_rows(over_tasks(distinct)).withColumnRenamed(name, "_found")
+        return lookup_join(df, found, self.columns).select(*[quoted(c) for c in df.columns], F.col("_found").alias(name))
+
+    def _scored_rows(self, df: DataFrame) -> DataFrame:
         out = self.features.transform(df.withColumn("_row", F.struct(*[quoted(c) for c in df.columns])))
         out = out.select("_row", FEATURES)
         for i, m in enumerate(self.members):
@@ -182,7 +201,13 @@ class FittedModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Append ``prediction``: the class by its name, or the number."""
-        scored = self._scored(df)
+        return self._named(self._scored(df))
+
+    def predict_each(self, df: DataFrame) -> DataFrame:
+        """As :meth:`predict`, for a table whose rows hardly repeat."""
+        return self._named(self._scored_rows(df))
+
+    def _named(self, scored: DataFrame) -> DataFrame:
         if self.task == "regression":
             return scored
         return scored.withColumn("prediction", self._best()).drop("probability")
@@ -213,6 +238,17 @@ class FittedModel:
         )
 
 
+def over_tasks(df: DataFrame) -> DataFrame:
+    """Deals few rows, whose work is large, to all cores; many to the usual number of tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct rows of some columns, and in ROWS how many rows each stands for."""
+    return df.groupBy(*[quoted(c) for c in columns]).agg(F.count("*").alias(ROWS))
+
+
 def labelled(df: DataFrame, target: str, task: str) -> DataFrame:
     """For classes, missing is the class "nan"; rows without a number are dropped."""
     if task == "classification":
@@ -235,14 +271,16 @@ def fit_each(
 ) -> list[FittedModel]:
     """One model per row filter in ``uses``, which share the encoders of the first one's rows.
 
-    Trees and the ridge and lasso of all filters come from one pass over the rows.
+    Trees and the ridge and lasso of all filters come from one pass over the rows, which
+    keeps the distinct ones and how many rows each stands for.
     """
     name = known_name(model, task)
     columns = column_list(df, target) if columns is None else list(columns)
     features = fit_features(df.where(uses[0]) if fit_on is None else fit_on, columns)
     flags = [f"_use{m}" for m in range(len(uses))]
-    marked = labelled(df, target, task).select("*", *[u.alias(f) for u, f in zip(uses, flags)])
-    ready = features.transform(marked).select(FEATURES, quoted(target), *flags)
+    known = labelled(df, target, task)
+    marked = known.select("*", *[u.alias(f) for u, f in zip(uses, flags)])
+    ready = features.transform(distinct_rows(marked, [*columns, target, *flags])).select(FEATURES, quoted(target), ROWS, *flags)
     labels: list[str] = []
     if task == "classification":
         indexer = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc")
@@ -254,10 +292,10 @@ def fit_each(
         ready = ready.withColumn(LABEL, quoted(target).cast("double"))
     ready = ready.drop(target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        members = _fit_members(ready, name, len(labels), features, [F.col(f) for f in flags], params)
+        members = _fit_members(ready, name, len(labels), features, [F.col(f) for f in flags], features.numbers(known.where(uses[0])), params)
     finally:
         ready.unpersist()
-    return [FittedModel(task, model, target, features, m, labels) for m in members]
+    return [FittedModel(task, model, target, features, m, labels, columns) for m in members]
 
 
 # ---------------------------------------------------------------- training run
@@ -323,21 +361,26 @@ def cross_validate(
 
     Trees and linear models of all folds are fitted together on one encoding, which
     only places rows on axes: linear models scale their columns by their own rows.
-    For the others encoders and scalers are fitted inside each fold.
+    For the others encoders and scalers are fitted inside each fold.  Folds are scored by
+    their distinct rows, and the scores are stored.
     """
     if fitted is None and known_name(model, task) not in FITTERS:
         uses = [F.col("fold") != i for i in range(folds)]
         fitted = fit_each(dealt, uses, target, model, task, columns, dealt if fit_on is None else fit_on, **params)
+    held = materialise(distinct_rows(dealt, dict.fromkeys([*columns, target, "fold"])), "fold-rows")
     out = None
     for i in range(folds):
         if fitted is None:
             one = fit(dealt.where(F.col("fold") != i), target, model, task, columns, fit_on, **params)
         else:
             one = fitted[i]
-        scored = one.predict(dealt.where(F.col("fold") == i))
-        part = evaluate.fold_scores(scored, task, target, "prediction")
+        scored = one.predict_each(over_tasks(held.where(F.col("fold") == i)))
+        part = evaluate.weighted_fold_sums(scored, task, target, "prediction", ROWS)
         out = part if out is None else out.unionByName(part)
-    return out
+    if task == "classification":
+        return materialise(out.select("fold", F.col("mean").alias("score")), "fold-scores")
+    spreads = dealt.groupBy("fold").agg(F.var_pop(quoted(target).cast("double")).alias("spread"))
+    return materialise(out.join(spreads, "fold").select("fold", (1 - F.try_divide("mean", "spread")).alias("score")), "fold-scores")
 
 
 def _metrics(model: FittedModel, scored: DataFrame, folds: DataFrame | None) -> DataFrame:

@@ -270,16 +270,16 @@ def impute_and_scale(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """(label, n, weight) with weight = rows / (classes * n)."""
+def class_weights(df: DataFrame, label: str, rows: str | None = None) -> DataFrame:
+    """(label, n, weight) with weight = rows / (classes * n); `rows` says how many rows each stands for."""
     counts = df.where(~is_missing(df, label)).groupBy(quoted(label).alias("label")).agg(
-        F.count("*").alias("n")
+        (F.sum(rows) if rows else F.count("*")).alias("n")
     )
     totals = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
     share = totals.select(F.col("rows") / F.col("classes")).scalar()
     return counts.withColumn("weight", share / F.col("n"))
 
 
-def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(F.col("label").alias(label), F.col("weight").alias(name))
+def with_class_weights(df: DataFrame, label: str, name: str = "weight", rows: str | None = None) -> DataFrame:
+    weights = class_weights(df, label, rows).select(F.col("label").alias(label), F.col("weight").alias(name))
     return lookup_join(df, weights, [label])

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.session import materialise
@@ -67,11 +67,17 @@ def fit_bins(df: DataFrame, features: str, numeric: int, size: int, max_bins: in
 
     Bins only say which thresholds are tried; one pass, one sketch per column.
     """
-    cuts = [np.zeros(1)] * size
+    x = vector_to_array(features)
+    return bins_of(df, [F.get(x, F.lit(j)) for j in range(numeric)], size, max_bins)
+
+
+def bins_of(df: DataFrame, numbers: Sequence[Column], size: int, max_bins: int = MAX_BINS) -> Bins:
+    """The bins of `size` positions, of which the first are the given numbers."""
+    cuts, numeric = [np.zeros(1)] * size, len(numbers)
     if numeric:
         shares = [k / max_bins for k in range(max_bins)]
-        row = df.select(vector_to_array(features).alias("x")).agg(
-            *[F.percentile_approx(F.get("x", F.lit(j)), shares, 10_000).alias(f"c{j}") for j in range(numeric)]
+        row = df.select(*[c.alias(f"x{j}") for j, c in enumerate(numbers)]).agg(
+            *[F.percentile_approx(f"x{j}", shares, 10_000).alias(f"c{j}") for j in range(numeric)]
         ).first()
         for j in range(numeric):
             cuts[j] = np.unique(np.array(row[f"c{j}"] or [0.0], dtype=np.float64))[:max_bins]
@@ -89,30 +95,31 @@ class Block:
     ident: np.ndarray
 
 
-def cells_of(df: DataFrame, features: str, label: str, classes: int, uses: Sequence[Any], bins: Bins) -> DataFrame:
-    """Stored (x, label, rows, sums): one row per distinct bins (and class); `uses` are the row filters of the models."""
-    kinds = "x binary, label int, y double, " + ", ".join(f"u{m} boolean" for m in range(len(uses)))
+def cells_of(df: DataFrame, features: str, label: str, classes: int, uses: Sequence[Any], bins: Bins, rows: str | None = None) -> DataFrame:
+    """Stored (x, label, rows, sums): one row per distinct bins (and class); `uses` are the row filters of the models,
+    `rows` says how many rows each stands for."""
+    kinds = "x binary, label int, y double, n double, " + ", ".join(f"u{m} boolean" for m in range(len(uses)))
     picked = df.select(
         vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"),
+        (F.col(rows) if rows else F.lit(1)).cast("double").alias("n"),
         *[F.coalesce(u, F.lit(False)).alias(f"u{m}") for m, u in enumerate(uses)],
     )
-    width, names = len(bins.cuts), ["x", "label", "y", *[f"u{m}" for m in range(len(uses))]]
+    width, names = len(bins.cuts), ["x", "label", "y", "n", *[f"u{m}" for m in range(len(uses))]]
 
     def cut(batches):
         for batch in batches:
             if batch.num_rows:
-                rows = batch.column("x").flatten().to_numpy().reshape(-1, width)
-                binned = bins.of(rows)
+                binned = bins.of(batch.column("x").flatten().to_numpy().reshape(-1, width))
                 y = batch.column("y")
-                known = y.cast(pa.int32()) if classes else pa.array(np.zeros(len(rows), dtype=np.int32))
+                known = y.cast(pa.int32()) if classes else pa.array(np.zeros(len(binned), dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r.tobytes() for r in binned], pa.binary()), known, y, *batch.columns[2:]],
                     names,
                 )
 
     counted = picked.mapInArrow(cut, kinds).groupBy("x", "label").agg(
-        F.array(*[F.count_if(F.col(f"u{m}")).cast("double") for m in range(len(uses))]).alias("rows"),
-        F.array(*[F.coalesce(F.sum(F.when(F.col(f"u{m}"), F.col("y"))), F.lit(0.0)) for m in range(len(uses))]).alias("sums"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col(f"u{m}"), F.col("n"))), F.lit(0.0)) for m in range(len(uses))]).alias("rows"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col(f"u{m}"), F.col("y") * F.col("n"))), F.lit(0.0)) for m in range(len(uses))]).alias("sums"),
     )
     return materialise(counted, "cells")
 
@@ -164,14 +171,19 @@ class Tree:
 
     def places(self, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """The leaf of each row of bins."""
-        column, cut, left, right = self.arrays()
+        column, cut, left, _ = self.arrays()
         at = np.zeros(len(x), dtype=np.int64) if at is None else at
-        open_rows = np.flatnonzero(column[at] >= 0)
+        flat, inner = x.reshape(-1), column >= 0
+        open_rows = np.flatnonzero(inner.take(at))
+        node, start = at[open_rows], open_rows * x.shape[1]
         while len(open_rows):
-            node = at[open_rows]
-            goes_left = x[open_rows, column[node]] <= cut[node]
-            at[open_rows] = np.where(goes_left, left[node], right[node])
-            open_rows = open_rows[column[at[open_rows]] >= 0]
+            # the right child comes after the left one
+            node = left.take(node) + (flat.take(start + column.take(node)) > cut.take(node))
+            going = inner.take(node)
+            if not going.all():
+                ended = ~going
+                at[open_rows[ended]] = node[ended]
+                open_rows, node, start = open_rows[going], node[going], start[going]
         return at
 
     def values(self, x: np.ndarray) -> np.ndarray:
@@ -755,7 +767,7 @@ def scored(df: DataFrame, features: str, model: Any, name: str) -> DataFrame:
 
 def fit_all(
     df: DataFrame, features: str, label: str, numeric: int, size: int, classes: int, uses: Sequence[Any], setting: Boosting | Forest,
-    task_bytes: int | None = None,
+    task_bytes: int | None = None, bins: Bins | None = None, rows: str | None = None,
 ) -> list[BoostedTrees | RandomForestTrees]:
     """One model per row filter in `uses`, all from the same cells.
 
@@ -763,8 +775,8 @@ def fit_all(
     model (or a tree of a forest) of its own; else the steps are Spark jobs.
     """
     spark = df.sparkSession
-    bins = fit_bins(df.where(uses[0]), features, numeric, size)
-    cells = cells_of(df, features, label, classes, uses, bins)
+    bins = fit_bins(df.where(uses[0]), features, numeric, size) if bins is None else bins
+    cells = cells_of(df, features, label, classes, uses, bins, rows)
     offsets = np.concatenate([[0], np.cumsum(bins.sizes)])
     per_cell = size + 16 * len(uses) + 24
     task_bytes = TASK_BYTES if task_bytes is None else task_bytes
@@ -792,9 +804,9 @@ def fit_all(
                 found.append(pickle.dumps(one))
             yield pd.DataFrame({"model": batch["model"], "tree": batch["tree"], "fitted": found})
 
-    rows = work.repartition(tasks, "model", "tree").mapInPandas(fit, "model int, tree int, fitted binary").collect()
+    grown = work.repartition(tasks, "model", "tree").mapInPandas(fit, "model int, tree int, fitted binary").collect()
     by_model: list[list] = [[] for _ in range(models)]
-    for r in sorted(rows, key=lambda r: (r["model"], r["tree"])):
+    for r in sorted(grown, key=lambda r: (r["model"], r["tree"])):
         by_model[r["model"]].append(pickle.loads(bytes(r["fitted"])))
     if isinstance(setting, Boosting):
         return [BoostedTrees(bins, classes, found[0]) for found in by_model]

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from gridlens.operators import evaluate, labels, models
+from gridlens.operators import evaluate, kernel, labels, linear, models, trees
 from gridlens.operators.features import fit_features
 from gridlens.sources.tables import read_table
 
@@ -152,3 +153,51 @@ def test_infinite_values_count_as_missing(spark):
     got = np.array([r["features"][0] for r in fit_features(df).transform(df).collect()])
     filled = np.array([1, 2, 4, 2, 2, 2], dtype=float)
     np.testing.assert_allclose(got, (filled - filled.mean()) / filled.std(), rtol=1e-12)
+
+
+def _repeated(spark):
+    """Six distinct rows, each of them many times."""
+    return spark.range(600).select(
+        F.concat(F.lit("r"), "id").alias("id"), (F.col("id") % 3).cast("double").alias("x"),
+        F.when(F.col("id") % 2 == 0, "a").alias("g"), ((F.col("id") % 3) * 2 + F.col("id") % 2).cast("double").alias("y"))
+
+
+@pytest.mark.parametrize("name", ["XGBoost", "SVM", "Ridge Regression"])
+def test_folds_and_fits_see_distinct_rows(spark, name, monkeypatch):
+    seen = []
+    counted = models.distinct_rows
+    monkeypatch.setattr(models, "distinct_rows", lambda df, columns: seen.append(counted(df, columns)) or seen[-1])
+    run = models.train(_repeated(spark), "y", "id", name, "regression", folds=3, **{**SMALL, "rounds": 60})
+    assert [d.agg(F.sum(models.ROWS)).first()[0] for d in seen] == [600, 600]
+    assert seen[1].count() <= 6 * 3
+    # the stored scores are not computed anew by each reader
+    assert "Python" not in run.folds._jdf.queryExecution().executedPlan().toString()
+    assert run.folds.where("score > 0.5").count() == 3
+    plain = evaluate.fold_scores(run.model.predict(run.predictions.withColumn("fold", F.lit(0)).drop("prediction")), "regression", "y", "prediction")
+    assert plain.first()["score"] > 0.5
+
+
+def test_weights_count_as_rows(spark):
+    df = _repeated(spark).select("x", "y", (F.col("id") != "r1").alias("u"))
+    parts = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    few = VectorAssembler(inputCols=["x"], outputCol="features").transform(models.distinct_rows(df, ["x", "y", "u"]))
+    uses = [F.lit(True), F.col("u")]
+    for one, two in zip(linear.moments(parts, "features", "y", uses), linear.moments(few, "features", "y", uses, models.ROWS)):
+        assert np.allclose(one, two)
+    sets = [sorted((list(r["x"]), r["y"], list(r["rows"])) for r in c.collect()) for c in (
+        kernel.cells_of(parts, "features", "y", uses), kernel.cells_of(few, "features", "y", uses, models.ROWS))]
+    assert sets[0] == sets[1]
+    bins = trees.fit_bins(parts, "features", 1, 1)
+    sets = [sorted((bytes(r["x"]), list(r["rows"]), list(r["sums"])) for r in c.collect()) for c in (
+        trees.cells_of(parts, "features", "y", 0, uses, bins), trees.cells_of(few, "features", "y", 0, uses, bins, models.ROWS))]
+    assert sets[0] == sets[1]
+
+
+def test_scores_are_looked_up_by_missing_values_too(spark):
+    df = spark.createDataFrame([(i, [None, float("nan"), 0.0, -0.0, 2.0][i % 5], [None, "p", "q"][i % 3], float(i % 5 > 1)) for i in range(60)],
+                               "k int, x double, g string, y double")
+    fitted = models.fit(df, "y", "XGBoost", "regression", ["x", "g"], rounds=5)
+    found = fitted.predict(df)
+    assert found.columns == ["k", "x", "g", "y", "prediction"]
+    each = {r["k"]: r["prediction"] for r in fitted.predict_each(df).collect()}
+    assert len(each) == 60 and {r["k"]: r["prediction"] for r in found.collect()} == each
