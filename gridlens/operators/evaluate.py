@@ -175,6 +175,17 @@ def weighted_fold_sums(df: DataFrame, task: str, label: str, prediction: str, ro
         F.try_divide(F.sum(one * n), F.sum(F.when(one.isNotNull(), n))).alias("mean"))
 
 
+def weighted_spreads(df: DataFrame, label: str, rows: str, fold: str = "fold") -> DataFrame:
+    """(fold, spread): the variance of a number, where a row stands for `rows` of them; exactly 0 for equal numbers."""
+    y = quoted(label).cast("double")
+    known = df.select(quoted(fold).alias("fold"), y.alias("y"), F.when(y.isNotNull(), quoted(rows)).cast("double").alias("n"))
+    low = F.min("y")
+    centres = known.groupBy("fold").agg(
+        F.when(low == F.max("y"), low).otherwise(F.try_divide(F.sum(F.col("y") * F.col("n")), F.sum("n"))).alias("centre"))
+    off = F.col("y") - F.col("centre")
+    return known.join(centres, "fold").groupBy("fold").agg(F.try_divide(F.sum(off * off * F.col("n")), F.sum("n")).alias("spread"))
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     """One row (cv_mean, cv_std): population deviation over the folds."""
     return scores.agg(

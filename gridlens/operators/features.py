@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import (
@@ -44,10 +44,8 @@ class FeatureModel:
         return self.stages.transform(df).drop(*self.scratch)
 
     def numbers(self, df: DataFrame) -> DataFrame:
-        """The first `numeric` positions alone, a column each."""
-        if not self.numeric:
-            return df.select()
-        return self.stages.stages[0].transform(df).select(*self.scratch[: self.numeric])
+        """Appends the first `numeric` positions, a column each."""
+        return self.stages.stages[0].transform(df) if self.numeric else df
 
 
 def _as_number(df: DataFrame, name: str) -> str:
@@ -59,37 +57,47 @@ def _as_number(df: DataFrame, name: str) -> str:
     return f"if(abs(cast({c} as double)) < double('inf'), cast({c} as double), null)"
 
 
-def fit_features(df: DataFrame, columns: Sequence[str] | None = None) -> FeatureModel:
-    """Median-impute and scale numbers, one-hot encode text without its first value.
-
-    Numbers come as (x - mean) / population deviation.  The 0/1 columns are
-    divided by theirs and not centred, which only moves the intercept and
-    keeps the vectors sparse.  Columns without any value are left out.
-    """
-    columns = list(df.columns if columns is None else columns)
+def feature_columns(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Those that become numbers, and those that become 0/1 columns."""
     plain = [*numeric_columns(df), *boolean_columns(df), *temporal_columns(df)]
     numbers = [c for c in columns if c in plain]
     text = [c for c in columns if c in categorical_columns(df)]
     unsupported = [c for c in columns if c not in numbers and c not in text]
     if unsupported:
         raise ValueError(f"columns of unsupported type: {unsupported}")
+    return numbers, text
+
+
+def _means_and_deviations(df: DataFrame, columns: Sequence[str], n: Column) -> list[tuple[float, float]]:
+    """Per column without gaps, where a row counts n times; exactly 0 is the deviation of equal values."""
+    first = df.agg(
+        F.sum(n).alias("n"), *[F.struct(F.sum(F.col(c) * n).alias("s"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in columns]
+    ).first()
+    means = [first[c]["low"] if first[c]["low"] == first[c]["high"] else first[c]["s"] / first["n"] for c in columns]
+    squares = df.agg(*[F.sum((F.col(c) - F.lit(m)) ** 2 * n).alias(c) for c, m in zip(columns, means)]).first()
+    return [(m, (squares[c] / first["n"]) ** 0.5) for c, m in zip(columns, means)]
+
 
+def fit_features(df: DataFrame, columns: Sequence[str] | None = None, counted: str | None = None) -> FeatureModel:
+    """Median-impute and scale numbers, one-hot encode text without its first value.
+
+    The column `counted` may say how many rows each stands for.
+
+    Numbers come as (x - mean) / population deviation.  The 0/1 columns are
+    divided by theirs and not centred, which only moves the intercept and
+    keeps the vectors sparse.  Columns without any value are left out.
+    """
+    numbers, text = feature_columns(df, df.columns if columns is None else columns)
+    n = F.col(counted) if counted else F.lit(1)
     stages, inputs, names, scratch = [], [], [], []
     if numbers:
-        raw = df.select(*[F.expr(_as_number(df, c)).alias(f"c{i}") for i, c in enumerate(numbers)])
-        medians = {r["column"]: r["q0"] for r in quantiles(raw, raw.columns, [0.5]).collect()}
+        raw = df.select(*[F.expr(_as_number(df, c)).alias(f"c{i}") for i, c in enumerate(numbers)], n.alias("n"))
+        medians = {r["column"]: r["q0"] for r in quantiles(raw, raw.columns[:-1], [0.5], rows="n" if counted else None).collect()}
         used = [i for i in range(len(numbers)) if f"c{i}" in medians]
-        row = raw.agg(
-            *[
-                F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias(f"s{i}")
-                for i in used
-                for x in [F.coalesce(F.col(f"c{i}"), F.lit(medians[f"c{i}"]))]
-            ]
-        ).first() if used else None
+        found = _means_and_deviations(raw.fillna(medians), [f"c{i}" for i in used], F.col("n")) if used else []
         cells = [
-            f"(coalesce({_as_number(df, numbers[i])}, {medians[f'c{i}']!r}D) - {row[f's{i}']['m']!r}D)"
-            f" / {(row[f's{i}']['s'] or 1.0)!r}D as _num{i}"
-            for i in used
+            f"(coalesce({_as_number(df, numbers[i])}, {medians[f'c{i}']!r}D) - {m!r}D) / {(s or 1.0)!r}D as _num{i}"
+            for i, (m, s) in zip(used, found)
         ]
         if cells:
             stages.append(SQLTransformer(statement=f"select *, {', '.join(cells)} from __THIS__"))
@@ -98,13 +106,13 @@ def fit_features(df: DataFrame, columns: Sequence[str] | None = None) -> Feature
         scratch += [f"_num{i}" for i in used]
     if text:
         counts: dict[str, dict[str, int]] = {c: {} for c in text}
-        found = value_counts(df, text).limit(MAX_CATEGORIES + 1).collect()
+        found = value_counts(df, text, counted).limit(MAX_CATEGORIES + 1).collect()
         if len(found) > MAX_CATEGORIES:
             raise ValueError(f"text columns {text} have over {MAX_CATEGORIES} values; a model holds "
                              "one weight for each: drop or group them first")
         for r in found:
             counts[r["column"]][r["value"]] = r["n"]
-        rows = df.count()
+        rows = df.agg(F.sum(n)).first()[0] or 0
         for k, c in enumerate(text):
             # descending, so that the value to leave out comes last
             labels = sorted(counts[c], reverse=True)

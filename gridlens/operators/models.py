@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridlens.functions.columns import is_missing, quoted, require_columns
 from gridlens.operators import evaluate, kernel, linear, trees
-from gridlens.operators.features import FEATURES, FeatureModel, column_list, fit_features
+from gridlens.operators.features import FEATURES, FeatureModel, column_list, feature_columns, fit_features
 from gridlens.operators.prep import with_class_weights
 from gridlens.operators.profile import detect_task_type
 from gridlens.operators.ranking import lookup_join
@@ -130,7 +130,7 @@ def _fit_members(
 ) -> list[list[Member]]:
     """The members of one model per row filter in `uses`; bins are cut in the rows of `numbers`."""
     if name == "Ensemble" or name in TREES:
-        bins = trees.bins_of(numbers, [F.col(c) for c in numbers.columns], len(features.names))
+        bins = trees.bins_of(numbers, [F.col(c) for c in features.scratch[: features.numeric]], len(features.names), rows=ROWS)
     if name == "Ensemble":
         parts = [
             _fit_trees(df, "Random Forest", classes, features, uses, bins, {"trees": 150, **params}),
@@ -169,13 +169,15 @@ class FittedModel:
     labels: list[str] = field(default_factory=list)
     columns: list[str] = field(default_factory=list)
 
-    def _scored(self, df: DataFrame) -> DataFrame:
+    def _scored(self, df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
         """Append the probabilities or the number.  Trees and support vectors score each
-        distinct row of the model's columns once, and the rows of the table look theirs up."""
+        distinct row of the model's columns once, and the rows of the table look theirs up;
+        so do the others where those rows are known."""
         name = "prediction" if self.task == "regression" else "probability"
-        if not self.columns or not all(hasattr(m.model, "scores") for m in self.members):
-            return self._scored_rows(df)
-        distinct = df.select(*[quoted(c) for c in self.columns]).distinct()
+        if distinct is None:
+            if not self.columns or not all(hasattr(m.model, "scores") for m in self.members):
+                return self._scored_rows(df)
+            distinct = df.select(*[quoted(c) for c in self.columns]).distinct()
         found = self._scored_rows(over_tasks(distinct)).withColumnRenamed(name, "_found")
         return lookup_join(df, found, self.columns).select(*[quoted(c) for c in df.columns], F.col("_found").alias(name))
 
@@ -199,9 +201,10 @@ class FittedModel:
             "_row.*", F.transform(mean, lambda p: p / len(scores)).alias("probability")
         )
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """Append ``prediction``: the class by its name, or the number."""
-        return self._named(self._scored(df))
+    def predict(self, df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
+        """Append ``prediction``: the class by its name, or the number.  ``distinct``: the
+        distinct rows of the model's columns, where they are known."""
+        return self._named(self._scored(df, distinct))
 
     def predict_each(self, df: DataFrame) -> DataFrame:
         """As :meth:`predict`, for a table whose rows hardly repeat."""
@@ -212,11 +215,11 @@ class FittedModel:
             return scored
         return scored.withColumn("prediction", self._best()).drop("probability")
 
-    def predict_proba(self, df: DataFrame) -> DataFrame:
+    def predict_proba(self, df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
         """Append ``prediction`` and one ``prob_class_i`` per class."""
         if self.task != "classification":
             raise ValueError("probabilities exist for classification only")
-        scored = self._scored(df)
+        scored = self._scored(df, distinct)
         return scored.select(
             *[quoted(c) for c in df.columns],
             self._best().alias("prediction"),
@@ -245,8 +248,9 @@ def over_tasks(df: DataFrame) -> DataFrame:
 
 
 def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The distinct rows of some columns, and in ROWS how many rows each stands for."""
-    return df.groupBy(*[quoted(c) for c in columns]).agg(F.count("*").alias(ROWS))
+    """The distinct rows of some columns, and in ROWS how many rows each stands for; counts that the table has are added up."""
+    n = F.sum(ROWS) if ROWS in df.columns else F.count("*")
+    return df.groupBy(*[quoted(c) for c in columns]).agg(n.alias(ROWS))
 
 
 def labelled(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -271,20 +275,29 @@ def fit_each(
 ) -> list[FittedModel]:
     """One model per row filter in ``uses``, which share the encoders of the first one's rows.
 
-    Trees and the ridge and lasso of all filters come from one pass over the rows, which
-    keeps the distinct ones and how many rows each stands for.
+    One pass over the rows keeps the distinct ones and how many rows each stands for;
+    encoders, cuts and models follow from these.  A table that has ROWS is such a one.
     """
     name = known_name(model, task)
-    columns = column_list(df, target) if columns is None else list(columns)
-    features = fit_features(df.where(uses[0]) if fit_on is None else fit_on, columns)
+    columns = column_list(df, target, [ROWS]) if columns is None else list(columns)
+    feature_columns(df, columns)
     flags = [f"_use{m}" for m in range(len(uses))]
-    known = labelled(df, target, task)
-    marked = known.select("*", *[u.alias(f) for u, f in zip(uses, flags)])
-    ready = features.transform(distinct_rows(marked, [*columns, target, *flags])).select(FEATURES, quoted(target), ROWS, *flags)
+    kept = [*dict.fromkeys([*columns, target]), *flags]
+    marked = df.select("*", *[u.alias(f) for u, f in zip(uses, flags)])
+    rows = marked if ROWS in df.columns else materialise(distinct_rows(marked, kept), "fit-rows")
+    if fit_on is None:
+        seen = rows.where(flags[0])
+    else:
+        seen = fit_on if ROWS in fit_on.columns else materialise(fit_on.groupBy(*[quoted(c) for c in columns]).agg(F.count("*").alias(ROWS)), "seen-rows")
+    features = fit_features(seen, columns, ROWS)
+    known = labelled(rows, target, task)
+    if ROWS in df.columns:  # without what told them apart
+        known = known.groupBy(*[quoted(c) for c in kept]).agg(F.sum(ROWS).alias(ROWS))
+    ready = features.transform(over_tasks(known)).select(FEATURES, quoted(target), ROWS, *flags)
     labels: list[str] = []
     if task == "classification":
         indexer = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc")
-        index = indexer.fit(ready.where(" or ".join(flags)))
+        index = indexer.fit(known.where(" or ".join(flags)))
         index.setHandleInvalid("skip")
         labels = list(index.labels)
         ready = index.transform(ready)
@@ -292,7 +305,7 @@ def fit_each(
         ready = ready.withColumn(LABEL, quoted(target).cast("double"))
     ready = ready.drop(target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        members = _fit_members(ready, name, len(labels), features, [F.col(f) for f in flags], features.numbers(known.where(uses[0])), params)
+        members = _fit_members(ready, name, len(labels), features, [F.col(f) for f in flags], features.numbers(known.where(flags[0])), params)
     finally:
         ready.unpersist()
     return [FittedModel(task, model, target, features, m, labels, columns) for m in members]
@@ -329,27 +342,26 @@ def train(
         task = detect_task_type(df, [target]).first()["task"]
     columns = column_list(df, target, [id_column])
     by = target if task == "classification" else None
-    # one ordering pass; every fit and fold below starts from the written table
-    placed = materialise(
-        split_and_folds(labelled(df, target, task), id_column, by, test_size, folds or 2, SEED),
-        "split",
-    )
-    everything = placed if fit_on == "all" else None
+    # one ordering pass; every fit and fold below starts from the distinct rows of the written table
+    placed = split_and_folds(labelled(df, target, task), id_column, by, test_size, folds or 2, SEED)
+    counted = materialise(distinct_rows(placed, list(dict.fromkeys([*columns, target, "is_test", "fold"]))), "distinct")
+    everything = counted if fit_on == "all" else None
     train_rows = ~F.col("is_test")
     if known_name(model, task) in FITTERS:
-        fitted, in_folds = fit(placed.where(train_rows), target, model, task, columns, everything, **params), None
+        fitted, in_folds = fit(counted.where(train_rows), target, model, task, columns, everything, **params), None
     else:
         uses = [train_rows, *[F.col("fold") != i for i in range(folds)]]
-        fitted, *in_folds = fit_each(placed, uses, target, model, task, columns, everything, **params)
+        fitted, *in_folds = fit_each(counted, uses, target, model, task, columns, everything, **params)
     held_out = placed.where("is_test").drop("is_test", "fold")
+    held_rows = counted.where("is_test").select(*[quoted(c) for c in columns]).distinct()
     # scored once; metrics, confusion and report read the written rows
     scored = materialise(
-        fitted.predict_proba(held_out) if task == "classification" else fitted.predict(held_out),
+        fitted.predict_proba(held_out, held_rows) if task == "classification" else fitted.predict(held_out, held_rows),
         "scored",
     )
     scores = None
     if folds:
-        scores = cross_validate(placed, target, model, task, columns, folds, everything, in_folds, **params)
+        scores = cross_validate(counted, target, model, task, columns, folds, everything, in_folds, **params)
     return TrainingRun(fitted, scored, _metrics(fitted, scored, scores), scores)
 
 
@@ -358,20 +370,21 @@ def cross_validate(
     fit_on: DataFrame | None = None, fitted: Sequence[FittedModel] | None = None, **params: Any,
 ) -> DataFrame:
     """(fold, score) over a table with a ``fold`` column, by the models in ``fitted`` where they are given.
+    The table may be one of distinct rows with ROWS.
 
     Trees and linear models of all folds are fitted together on one encoding, which
     only places rows on axes: linear models scale their columns by their own rows.
     For the others encoders and scalers are fitted inside each fold.  Folds are scored by
     their distinct rows, and the scores are stored.
     """
+    held = materialise(distinct_rows(dealt, list(dict.fromkeys([*columns, target, "fold"]))), "fold-rows")
     if fitted is None and known_name(model, task) not in FITTERS:
         uses = [F.col("fold") != i for i in range(folds)]
-        fitted = fit_each(dealt, uses, target, model, task, columns, dealt if fit_on is None else fit_on, **params)
-    held = materialise(distinct_rows(dealt, dict.fromkeys([*columns, target, "fold"])), "fold-rows")
+        fitted = fit_each(held, uses, target, model, task, columns, held if fit_on is None else fit_on, **params)
     out = None
     for i in range(folds):
         if fitted is None:
-            one = fit(dealt.where(F.col("fold") != i), target, model, task, columns, fit_on, **params)
+            one = fit(held.where(F.col("fold") != i), target, model, task, columns, fit_on, **params)
         else:
             one = fitted[i]
         scored = one.predict_each(over_tasks(held.where(F.col("fold") == i)))
@@ -379,7 +392,7 @@ def cross_validate(
         out = part if out is None else out.unionByName(part)
     if task == "classification":
         return materialise(out.select("fold", F.col("mean").alias("score")), "fold-scores")
-    spreads = dealt.groupBy("fold").agg(F.var_pop(quoted(target).cast("double")).alias("spread"))
+    spreads = evaluate.weighted_spreads(held, target, ROWS)
     return materialise(out.join(spreads, "fold").select("fold", (1 - F.try_divide("mean", "spread")).alias("score")), "fold-scores")
 
 

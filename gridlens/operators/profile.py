@@ -162,18 +162,19 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) over several columns, values as text, missing dropped."""
-    clean = nan_to_null(df.select(*[quoted(c) for c in columns]))
+def value_counts(df: DataFrame, columns: Sequence[str], rows: str | None = None) -> DataFrame:
+    """(column, value, n) over several columns, values as text, missing dropped; `rows` says how many rows each stands for."""
+    n = quoted(rows) if rows else F.lit(1)
+    clean = nan_to_null(df.select(*[quoted(c) for c in columns], n.cast("long").alias("_n")))
     cells = [
         F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value"))
         for c in columns
     ]
     return (
-        clean.select(_rows(cells))
+        clean.select(_rows(cells), "_n")
         .where(F.col("r.value").isNotNull())
         .groupBy(F.col("r.column").alias("column"), F.col("r.value").alias("value"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
 
 

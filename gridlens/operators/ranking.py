@@ -175,10 +175,11 @@ def number_of(bits: np.ndarray) -> np.ndarray:
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), rows: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as rows
-    (by..., column, n, q0, q1, ...); a column without values has none.
+    (by..., column, n, q0, q1, ...); a column without values has none.  Without `by`,
+    the column `rows` may say how many rows each stands for.
 
     Selection by radix: numbers become integers in the same order, and their
     leading bits are counted for all columns at once.  Only the bins that hold a
@@ -189,22 +190,28 @@ def quantiles(
     if not columns:
         raise ValueError("no columns given")
     if by:
+        if rows:
+            raise ValueError("rows that stand for others are not counted in groups")
         parts = [_group_quantiles(df, c, probs, list(by)) for c in columns]
         return reduce(lambda a, b: a.unionByName(b), parts)
-    work = df.select(*[quoted(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    counted = [quoted(rows).cast("long").alias("n")] if rows else []
+    work = df.select(*[quoted(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)], *counted)
     found = _selected(work, len(columns), probs)
-    rows = []
+    out = []
     for c, (n, values) in sorted(found.items()):
         spots = [(n - 1) * float(p) for p in probs]
         ends = [(values[math.floor(x)], values[math.ceil(x)], x - math.floor(x)) for x in spots]
-        rows.append((columns[c], n, *[low if low == high else low + share * (high - low) for low, high, share in ends]))
+        out.append((columns[c], n, *[low if low == high else low + share * (high - low) for low, high, share in ends]))
     kinds = ", ".join(f"q{j} double" for j in range(len(probs)))
-    return df.sparkSession.createDataFrame(rows, f"column string, n long, {kinds}")
+    return df.sparkSession.createDataFrame(out, f"column string, n long, {kinds}")
 
 
-def _column_bits(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    values = batch.column(f"v{i}").drop_null().to_numpy()
-    return ordered_bits(values[~np.isnan(values)])
+def _column_bits(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The values that are not missing, and how many rows each stands for (none: one)."""
+    values = batch.column(f"v{i}").to_numpy(zero_copy_only=False)
+    known = ~np.isnan(values)
+    n = batch.column("n").to_numpy()[known] if "n" in batch.schema.names else None
+    return ordered_bits(values[known]), n
 
 
 def _bin_counts(work: DataFrame, prefixes: dict[int, np.ndarray], used: int, width: int) -> DataFrame:
@@ -215,15 +222,15 @@ def _bin_counts(work: DataFrame, prefixes: dict[int, np.ndarray], used: int, wid
         totals = {c: np.zeros(len(p) << width, dtype=np.int64) for c, p in prefixes.items()}
         for batch in batches:
             for c, wanted in prefixes.items():
-                bits = _column_bits(batch, c)
+                bits, n = _column_bits(batch, c)
                 place = np.zeros(len(bits), dtype=np.int64)
                 if used:
                     own = bits >> np.uint64(64 - used)
                     place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                     inside = wanted[place] == own
-                    bits, place = bits[inside], place[inside]
+                    bits, place, n = bits[inside], place[inside], None if n is None else n[inside]
                 bins = ((bits >> np.uint64(64 - used - width)) & mask).astype(np.int64)
-                totals[c] += np.bincount((place << width) + bins, minlength=len(totals[c]))
+                totals[c] += np.bincount((place << width) + bins, n, minlength=len(totals[c])).astype(np.int64)
         for c, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -242,10 +249,11 @@ def _gathered(work: DataFrame, prefixes: dict[int, np.ndarray], used: int) -> Da
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c, wanted in prefixes.items():
-                bits = _column_bits(batch, c)
+                bits, n = _column_bits(batch, c)
                 own = bits >> np.uint64(64 - used)
                 inside = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
-                values, n = np.unique(bits[inside], return_counts=True)
+                values, place = np.unique(bits[inside], return_inverse=True)
+                n = np.bincount(place, None if n is None else n[inside], minlength=len(values)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(n), c, dtype=np.int32)), pa.array(values.view(np.int64)), pa.array(n)], ["c", "bits", "n"])
 

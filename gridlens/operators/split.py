@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import quoted
 from gridlens.operators.ranking import bucketed_row_number, lookup_join
+from gridlens.session import materialise
 
 HASH_BUCKET_DIGITS = 3
 
@@ -61,19 +62,45 @@ def kfold(
 def split_and_folds(
     df: DataFrame, id_column: str, label: str | None, test_size: float, folds: int, seed: int = 42
 ) -> DataFrame:
-    """Append ``is_test`` and ``fold`` with one ordering pass."""
+    """Append ``is_test`` and ``fold`` with one ordering pass.
+
+    Rows are written with their number within (hash bucket, class), for which they are
+    dealt and hashed once; the rows of earlier buckets are counted in the written table
+    and added when it is read.
+    """
+    _check_share(test_size)
     if label is not None and not can_stratify(df, label):
         label = None
-    placed = hash_positions(df, id_column, label, seed).withColumn("fold", _fold(folds))
-    return _mark_test(df, placed, label, test_size).select(*df.columns, "is_test", "fold")
+    keys = ["_bucket", *([label] if label else [])]
+    hashed = df.withColumn("_hash", row_hash(id_column, seed))
+    tagged = hashed.withColumn("_bucket", F.substring("_hash", 1, HASH_BUCKET_DIGITS)).withColumn("_hash", F.unhex("_hash"))
+    # the bucket comes first, so that most comparisons end there
+    within = Window.partitionBy(*[quoted(k) for k in keys]).orderBy("_hash", quoted(id_column))
+    numbered = tagged.withColumn("_rn", F.row_number().over(within)).drop("_hash")
+    stored = materialise(numbered, "split")
+    by = Window.partitionBy(*[quoted(k) for k in keys[1:]])
+    earlier = by.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = stored.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("_n")).select(
+        *[quoted(k) for k in keys], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        _test_rows(F.sum("_n").over(by), test_size).alias("_n_test"))
+    placed = lookup_join(stored, buckets, keys).withColumn("_pos", F.col("_rn") + F.col("_before"))
+    return placed.select(*[quoted(c) for c in df.columns], (F.col("_pos") <= F.col("_n_test")).alias("is_test"), _fold(folds).alias("fold"))
+
+
+def _check_share(test_size: float) -> None:
+    if not 0 < test_size < 1:
+        raise ValueError("test_size lies between 0 and 1")
+
+
+def _test_rows(n: Column, test_size: float) -> Column:
+    return F.greatest(F.lit(1), F.round(n * F.lit(test_size)).cast("long"))
 
 
 def _mark_test(df: DataFrame, placed: DataFrame, label: str | None, test_size: float) -> DataFrame:
-    if not 0 < test_size < 1:
-        raise ValueError("test_size lies between 0 and 1")
+    _check_share(test_size)
     by = [label] if label else []
     sizes = df.groupBy(*by).agg(
-        F.greatest(F.lit(1), F.round(F.count("*") * F.lit(test_size)).cast("long")).alias("_n_test")
+        _test_rows(F.count("*"), test_size).alias("_n_test")
     )
     if by:
         sized = lookup_join(placed, sizes, by)

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.session import materialise
@@ -39,6 +39,8 @@ MAX_BINS = 255
 TASK_BYTES = 64 << 20  # cells of a run that are sent to every task
 KEPT_ROUNDS = 10  # rounds after which the margins of the blocks are computed anew
 HISTOGRAM_CELLS = 4_000_000
+POINTS = 10_000  # values of a column that stand for BUFFER rows when cuts are found
+BUFFER = 1 << 20
 TINY = 1e-9
 
 
@@ -65,25 +67,64 @@ class Bins:
 def fit_bins(df: DataFrame, features: str, numeric: int, size: int, max_bins: int = MAX_BINS) -> Bins:
     """Cuts at approximate quantiles of the first `numeric` positions; the others are zero or not.
 
-    Bins only say which thresholds are tried; one pass, one sketch per column.
+    Bins only say which thresholds are tried; one pass.
     """
     x = vector_to_array(features)
     return bins_of(df, [F.get(x, F.lit(j)) for j in range(numeric)], size, max_bins)
 
 
-def bins_of(df: DataFrame, numbers: Sequence[Column], size: int, max_bins: int = MAX_BINS) -> Bins:
-    """The bins of `size` positions, of which the first are the given numbers."""
+def bins_of(df: DataFrame, numbers: Sequence[Column], size: int, max_bins: int = MAX_BINS, rows: str | None = None) -> Bins:
+    """The bins of `size` positions, of which the first are the given numbers; `rows` says how many rows each stands for.
+
+    A task keeps at most POINTS values of BUFFER rows and their numbers of rows, so a rank
+    is wrong by less than a POINTS-th of all rows; fewer distinct values are exact.
+    """
     cuts, numeric = [np.zeros(1)] * size, len(numbers)
-    if numeric:
-        shares = [k / max_bins for k in range(max_bins)]
-        row = df.select(*[c.alias(f"x{j}") for j, c in enumerate(numbers)]).agg(
-            *[F.percentile_approx(f"x{j}", shares, 10_000).alias(f"c{j}") for j in range(numeric)]
-        ).first()
+    if not numeric:
+        return Bins(cuts)
+    picked = df.select(*[c.cast("double").alias(f"x{j}") for j, c in enumerate(numbers)], (F.col(rows) if rows else F.lit(1)).cast("double").alias("n"))
+
+    def points(held: list[pa.RecordBatch]) -> Generator:
+        n = np.concatenate([b.column("n").to_numpy() for b in held])
         for j in range(numeric):
-            cuts[j] = np.unique(np.array(row[f"c{j}"] or [0.0], dtype=np.float64))[:max_bins]
+            x, w = _thinned(np.concatenate([b.column(f"x{j}").to_numpy(zero_copy_only=False) for b in held]), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), j, dtype=np.int32)), pa.array(x), pa.array(w)], ["c", "v", "n"])
+
+    def summed(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BUFFER:
+                yield from points(held)
+                held, size = [], 0
+        if size:
+            yield from points(held)
+
+    counted = picked.mapInArrow(summed, "c int, v double, n double").groupBy("c", "v").agg(F.sum("n").alias("n"))
+    every = Window.partitionBy("c")
+    ranked = counted.select("c", "v", "n", F.sum("n").over(every).alias("all"), F.sum("n").over(every.orderBy("v")).alias("upto"))
+    # how many of the shares 0, 1 / max_bins, ... are reached with this value, and before it
+    reached = lambda rank: F.least(F.floor(rank * max_bins / F.col("all")), F.lit(max_bins - 1))
+    before = F.col("upto") - F.col("n")
+    found = ranked.where((before == 0) | (reached(F.col("upto")) > reached(before))).select("c", "v").collect()
+    for j in range(numeric):
+        cuts[j] = np.unique(np.array([r["v"] for r in found if r["c"] == j] or [0.0], dtype=np.float64))[:max_bins]
     return Bins(cuts)
 
 
+def _thinned(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values that stand for themselves and smaller ones, and for how many rows each stands."""
+    known = ~np.isnan(x)
+    values, place = np.unique(x[known], return_inverse=True)
+    upto = np.cumsum(np.bincount(place, n[known], minlength=len(values)))
+    if len(values) > POINTS:
+        step = np.floor(upto * (POINTS / upto[-1]))
+        kept = np.flatnonzero(np.append(step[1:] != step[:-1], True))
+        values, upto = values[kept], upto[kept]
+    return values, np.diff(upto, prepend=0.0)
+
+
 @dataclass
 class Block:
     """Cells: bins, rows and sums of targets per model, the class, and a number that samples are drawn by."""
