@@ -76,8 +76,8 @@ def fit_bins(df: DataFrame, features: str, numeric: int, size: int, max_bins: in
 def bins_of(df: DataFrame, numbers: Sequence[Column], size: int, max_bins: int = MAX_BINS, rows: str | None = None) -> Bins:
     """The bins of `size` positions, of which the first are the given numbers; `rows` says how many rows each stands for.
 
-    A task keeps at most POINTS values of BUFFER rows and their numbers of rows, so a rank
-    is wrong by less than a POINTS-th of all rows; fewer distinct values are exact.
+    A task keeps at most 2 * POINTS values of BUFFER rows and their numbers of rows, so a rank
+    is wrong by less than a POINTS-th of all rows; up to POINTS distinct values are exact.
     """
     cuts, numeric = [np.zeros(1)] * size, len(numbers)
     if not numeric:
@@ -117,10 +117,12 @@ def _thinned(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values that stand for themselves and smaller ones, and for how many rows each stands."""
     known = ~np.isnan(x)
     values, place = np.unique(x[known], return_inverse=True)
-    upto = np.cumsum(np.bincount(place, n[known], minlength=len(values)))
+    own = np.bincount(place, n[known], minlength=len(values))
+    upto = np.cumsum(own)
     if len(values) > POINTS:
-        step = np.floor(upto * (POINTS / upto[-1]))
-        kept = np.flatnonzero(np.append(step[1:] != step[:-1], True))
+        share = upto[-1] / POINTS
+        step = np.floor(upto / share)
+        kept = np.flatnonzero(np.append(step[1:] != step[:-1], True) | (own >= share))
         values, upto = values[kept], upto[kept]
     return values, np.diff(upto, prepend=0.0)
 

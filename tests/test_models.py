@@ -201,3 +201,42 @@ def test_scores_are_looked_up_by_missing_values_too(spark):
     assert found.columns == ["k", "x", "g", "y", "prediction"]
     each = {r["k"]: r["prediction"] for r in fitted.predict_each(df).collect()}
     assert len(each) == 60 and {r["k"]: r["prediction"] for r in found.collect()} == each
+
+
+@pytest.mark.parametrize("name", ["Random Forest", "Logistic Regression", "Ridge Regression"])
+def test_encoders_and_models_start_from_distinct_rows(spark, name, monkeypatch):
+    seen, fitted = [], models.fit_features
+    monkeypatch.setattr(models, "fit_features", lambda df, *rest: seen.append(df.count()) or fitted(df, *rest))
+    df = _repeated(spark)
+    task = "classification" if name == "Logistic Regression" else "regression"
+    settings = {**SMALL, "iterations": 5} if name != "Logistic Regression" else {"iterations": 5}
+    run = models.train(df.withColumn("y", F.col("y").cast("string")) if task == "classification" else df, "y", "id", name, task, folds=2, **settings)
+    assert seen and max(seen) <= 6 * 2 * 2
+    assert run.predictions.count() == 120 and run.predictions.columns[:4] == ["id", "x", "g", "y"]
+    assert run.folds.count() == 2
+
+
+def test_counted_rows_give_the_same_features(spark):
+    rows = [(0.1, None, "a", None), (None, 2.0, "b", None), (0.1, float("nan"), "b", None), (0.1, 7.0, None, None), (None, 3.0, "c", None)]
+    few = spark.createDataFrame([(*r, k * k + 1) for k, r in enumerate(rows)], "c double, x double, g string, e double, n long")
+    every = few.select("c", "x", "g", "e", F.explode(F.expr("sequence(1, n)"))).drop("col")
+    one, two = fit_features(every), fit_features(few, ["c", "x", "g", "e"], "n")
+    assert one.names == two.names and one.numeric == two.numeric
+    parts = [np.array([r["features"].toArray() for r in m.transform(few).orderBy("n").collect()]) for m in (one, two)]
+    np.testing.assert_allclose(*parts, rtol=1e-12)
+    assert (parts[1][:, 0] == 0).all()  # equal values have no deviation, however often they are added up
+
+
+def test_spreads_of_counted_rows(spark):
+    rows = [(0, 0.1, 3), (0, 0.1, 7), (1, 1.0, 2), (1, 4.0, 1), (1, None, 5), (2, None, 1)]
+    few = spark.createDataFrame(rows, "fold int, y double, n long")
+    got = {r["fold"]: r["spread"] for r in evaluate.weighted_spreads(few, "y", "n").collect()}
+    assert got == {0: 0.0, 1: pytest.approx(np.var([1.0, 1.0, 4.0])), 2: None}
+
+
+def test_known_distinct_rows_give_the_same_predictions(items):
+    data = items.select("l_quantity", "l_discount", "l_returnflag", "y")
+    fitted = models.fit(data, "y", "Ridge Regression", "regression")
+    kinds = data.drop("y").distinct()
+    one, two = (sorted(map(tuple, d.collect())) for d in (fitted.predict(data), fitted.predict(data, kinds)))
+    assert one == two

@@ -160,3 +160,14 @@ def test_rows_with_maps_can_be_ordered_and_joined(spark):
     assert sorted(r["position"] for r in ranking.with_ordinal(df, "k").collect()) == list(range(1, 11))
     small = spark.createDataFrame([(0, "even")], "k long, name string")
     assert ranking.lookup_join(df, small, ["k"]).count() == 5
+
+
+def test_quantiles_of_rows_that_stand_for_others(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, float("nan"), -2.0, 0.0, rnd.gauss(0, 5)]), rnd.randint(1, 9)) for _ in range(300)]
+    few = spark.createDataFrame(rows, "v double, n long")
+    every = few.select("v", F.explode(F.expr("sequence(1, n)"))).drop("col")
+    for kept in (ranking.GATHERED, 0):
+        monkeypatch.setattr(ranking, "GATHERED", kept)
+        got = ranking.quantiles(few, ["v"], [0.0, 0.31, 0.5, 1.0], rows="n").first()
+        assert got == ranking.quantiles(every, ["v"], [0.0, 0.31, 0.5, 1.0]).first()

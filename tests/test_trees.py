@@ -126,3 +126,28 @@ def test_importance_and_scores_of_a_table(spark):
     np.testing.assert_allclose([r["p"] for r in rows], one.scores(x))
     found = trees.importances(one.trees, 3)
     assert found.sum() == pytest.approx(1.0) and found[0] == found.max()
+
+
+def test_cuts_of_rows_that_stand_for_others(spark):
+    rng = np.random.default_rng(9)
+    x, n = np.round(rng.normal(size=2000), 2), rng.integers(1, 20, 2000)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, n)], "x double, n long").repartition(3)
+    cuts = trees.bins_of(df, [F.col("x")], 1, 50, "n").cuts[0]
+    held = np.sort(np.repeat(x, n))
+    want = np.unique([held[max(0, int(np.ceil(k * len(held) / 50)) - 1)] for k in range(50)])
+    np.testing.assert_array_equal(cuts, want)
+
+
+def test_thinned_values_keep_their_ranks(monkeypatch):
+    monkeypatch.setattr(trees, "POINTS", 40)
+    rng = np.random.default_rng(2)
+    x, n = np.append(rng.normal(size=3000), np.nan), np.append(rng.integers(1, 5, 3000), 1).astype(float)
+    n[17] = 2000.0  # one value holds a fifth of the rows
+    v, w = trees._thinned(x, n)
+    total = n[:-1].sum()
+    assert len(v) <= 2 * 40 and w.sum() == total and (np.diff(v) > 0).all() and (w > 0).all()
+    order = np.argsort(x[:-1])
+    upto = dict(zip(x[order], np.cumsum(n[order])))
+    assert all(upto[a] == b for a, b in zip(v, np.cumsum(w)))
+    others = np.diff(np.cumsum(w), prepend=0)[v != x[17]]
+    assert others.max() <= total / 40 + 4
