@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +27,8 @@ from gridlens.session import materialise
 
 SEED = 42
 LABEL, WEIGHT, ROWS = "_label", "_weight", "_rows"
+ROWS_PER_TASK = 50_000
+SIDE_BY_SIDE = 6
 CLASSIFIERS = (
     "Random Forest", "Gradient Boosting", "Logistic Regression", "SVM", "XGBoost", "LightGBM",
     "Ensemble",
@@ -247,6 +250,13 @@ def over_tasks(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def by_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Deals rows whose work is small, and which a job per step may read, to tasks of ROWS_PER_TASK; to no more than :func:`over_tasks`."""
+    spark = df.sparkSession
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(most, -(-rows // ROWS_PER_TASK))))
+
+
 def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The distinct rows of some columns, and in ROWS how many rows each stands for; counts that the table has are added up."""
     n = F.sum(ROWS) if ROWS in df.columns else F.count("*")
@@ -269,6 +279,14 @@ def fit(
     return fit_each(df, [F.lit(True)], target, model, task, columns, fit_on, **params)[0]
 
 
+def fit_apart(df: DataFrame, uses: Sequence[Column], *settings: Any, **params: Any) -> list[FittedModel]:
+    """One model per row filter in ``uses``, each with its own encoders; their many short jobs run at the same time."""
+    carried = inheritable_thread_target(df.sparkSession)
+    with ThreadPoolExecutor(min(len(uses), SIDE_BY_SIDE)) as pool:
+        found = [pool.submit(carried(fit), df.where(u), *settings, **params) for u in uses]
+    return [f.result() for f in found]
+
+
 def fit_each(
     df: DataFrame, uses: Sequence[Column], target: str, model: str, task: str,
     columns: Sequence[str] | None = None, fit_on: DataFrame | None = None, **params: Any,
@@ -293,7 +311,8 @@ def fit_each(
     known = labelled(rows, target, task)
     if ROWS in df.columns:  # without what told them apart
         known = known.groupBy(*[quoted(c) for c in kept]).agg(F.sum(ROWS).alias(ROWS))
-    ready = features.transform(over_tasks(known)).select(FEATURES, quoted(target), ROWS, *flags)
+    dealt = by_rows(known, rows.count()) if name in LINEAR or name in FITTERS else over_tasks(known)
+    ready = features.transform(dealt).select(FEATURES, quoted(target), ROWS, *flags)
     labels: list[str] = []
     if task == "classification":
         indexer = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc")
@@ -346,12 +365,9 @@ def train(
     placed = split_and_folds(labelled(df, target, task), id_column, by, test_size, folds or 2, SEED)
     counted = materialise(distinct_rows(placed, list(dict.fromkeys([*columns, target, "is_test", "fold"]))), "distinct")
     everything = counted if fit_on == "all" else None
-    train_rows = ~F.col("is_test")
-    if known_name(model, task) in FITTERS:
-        fitted, in_folds = fit(counted.where(train_rows), target, model, task, columns, everything, **params), None
-    else:
-        uses = [train_rows, *[F.col("fold") != i for i in range(folds)]]
-        fitted, *in_folds = fit_each(counted, uses, target, model, task, columns, everything, **params)
+    uses = [~F.col("is_test"), *[F.col("fold") != i for i in range(folds)]]
+    fits = fit_apart if known_name(model, task) in FITTERS else fit_each
+    fitted, *in_folds = fits(counted, uses, target, model, task, columns, everything, **params)
     held_out = placed.where("is_test").drop("is_test", "fold")
     held_rows = counted.where("is_test").select(*[quoted(c) for c in columns]).distinct()
     # scored once; metrics, confusion and report read the written rows
@@ -374,20 +390,21 @@ def cross_validate(
 
     Trees and linear models of all folds are fitted together on one encoding, which
     only places rows on axes: linear models scale their columns by their own rows.
-    For the others encoders and scalers are fitted inside each fold.  Folds are scored by
-    their distinct rows, and the scores are stored.
+    For the others encoders and scalers are fitted inside each fold, the folds side by side.
+    Folds are scored by their distinct rows, and the scores are stored.
     """
+    known = known_name(model, task)
     held = materialise(distinct_rows(dealt, list(dict.fromkeys([*columns, target, "fold"]))), "fold-rows")
-    if fitted is None and known_name(model, task) not in FITTERS:
-        uses = [F.col("fold") != i for i in range(folds)]
+    uses = [F.col("fold") != i for i in range(folds)]
+    if fitted is None and known not in FITTERS:
         fitted = fit_each(held, uses, target, model, task, columns, held if fit_on is None else fit_on, **params)
+    elif fitted is None:
+        fitted = fit_apart(held, uses, target, model, task, columns, fit_on, **params)
+    rows = held.count()
     out = None
-    for i in range(folds):
-        if fitted is None:
-            one = fit(held.where(F.col("fold") != i), target, model, task, columns, fit_on, **params)
-        else:
-            one = fitted[i]
-        scored = one.predict_each(over_tasks(held.where(F.col("fold") == i)))
+    for i, one in enumerate(fitted):
+        own = held.where(F.col("fold") == i)
+        scored = one.predict_each(by_rows(own, rows) if known in LINEAR or known in FITTERS else over_tasks(own))
         part = evaluate.weighted_fold_sums(scored, task, target, "prediction", ROWS)
         out = part if out is None else out.unionByName(part)
     if task == "classification":

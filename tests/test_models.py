@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -216,6 +218,22 @@ def test_encoders_and_models_start_from_distinct_rows(spark, name, monkeypatch):
     assert run.folds.count() == 2
 
 
+def test_logistic_fits_run_side_by_side_on_few_tasks(spark, monkeypatch):
+    """A job per step reads as many tasks as the rows are worth; no fit waits for another."""
+    met, tasks, plain = threading.Barrier(4, timeout=120), [], models.FITTERS["Logistic Regression"]
+
+    def fitted(rows, classes, **params):
+        met.wait()
+        tasks.append(rows.rdd.getNumPartitions())
+        return plain(rows, classes, **params)
+
+    monkeypatch.setitem(models.FITTERS, "Logistic Regression", fitted)
+    df = _repeated(spark).withColumn("y", F.when(F.col("x") > 0, "p").otherwise("q"))
+    run = models.train(df, "y", "id", "Logistic Regression", "classification", folds=3)
+    assert tasks == [1] * 4
+    assert sorted(r["fold"] for r in run.folds.where("score > 0.5").collect()) == [0, 1, 2]
+
+
 def test_counted_rows_give_the_same_features(spark):
     rows = [(0.1, None, "a", None), (None, 2.0, "b", None), (0.1, float("nan"), "b", None), (0.1, 7.0, None, None), (None, 3.0, "c", None)]
     few = spark.createDataFrame([(*r, k * k + 1) for k, r in enumerate(rows)], "c double, x double, g string, e double, n long")
