@@ -29,6 +29,7 @@ SEED = 42
 LABEL, WEIGHT, ROWS = "_label", "_weight", "_rows"
 ROWS_PER_TASK = 50_000
 SIDE_BY_SIDE = 6
+FOLDS_SIDE_BY_SIDE = 10
 CLASSIFIERS = (
     "Random Forest", "Gradient Boosting", "Logistic Regression", "SVM", "XGBoost", "LightGBM",
     "Ensemble",
@@ -177,11 +178,13 @@ class FittedModel:
         distinct row of the model's columns once, and the rows of the table look theirs up;
         so do the others where those rows are known."""
         name = "prediction" if self.task == "regression" else "probability"
+        large = all(hasattr(m.model, "scores") for m in self.members)
         if distinct is None:
-            if not self.columns or not all(hasattr(m.model, "scores") for m in self.members):
+            if not self.columns or not large:
                 return self._scored_rows(df)
             distinct = df.select(*[quoted(c) for c in self.columns]).distinct()
-        found = self._scored_rows(over_tasks(distinct)).withColumnRenamed(name, "_found")
+        dealt = over_tasks(distinct) if large else by_rows(distinct, distinct.count())
+        found = self._scored_rows(dealt).withColumnRenamed(name, "_found")
         return lookup_join(df, found, self.columns).select(*[quoted(c) for c in df.columns], F.col("_found").alias(name))
 
     def _scored_rows(self, df: DataFrame) -> DataFrame:
@@ -263,6 +266,18 @@ def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*[quoted(c) for c in columns]).agg(n.alias(ROWS))
 
 
+def counted_by_part(placed: DataFrame, columns: Sequence[str], folds: int) -> DataFrame:
+    """The distinct rows of some columns with their ``is_test`` and ``fold``, and in ROWS how many rows each stands for.
+
+    A row of the columns is held once with a count per part, so that a task has fewer groups to hold and to move.
+    """
+    counts = [F.count_if((F.col("is_test") if held_out else ~F.col("is_test")) & (F.col("fold") == i)) for held_out in (False, True) for i in range(folds)]
+    wide = placed.groupBy(*[quoted(c) for c in columns]).agg(F.array(*counts).alias("_parts"))
+    kept = [quoted(c) for c in columns]
+    return wide.select(*kept, F.posexplode("_parts").alias("_part", ROWS)).where(F.col(ROWS) > 0).select(
+        *kept, (F.col("_part") >= folds).alias("is_test"), (F.col("_part") % folds).alias("fold"), ROWS)
+
+
 def labelled(df: DataFrame, target: str, task: str) -> DataFrame:
     """For classes, missing is the class "nan"; rows without a number are dropped."""
     if task == "classification":
@@ -363,7 +378,9 @@ def train(
     by = target if task == "classification" else None
     # one ordering pass; every fit and fold below starts from the distinct rows of the written table
     placed = split_and_folds(labelled(df, target, task), id_column, by, test_size, folds or 2, SEED)
-    counted = materialise(distinct_rows(placed, list(dict.fromkeys([*columns, target, "is_test", "fold"]))), "distinct")
+    kinds = list(dict.fromkeys([*columns, target]))
+    parts = counted_by_part(placed, kinds, folds or 2) if folds <= FOLDS_SIDE_BY_SIDE else placed
+    counted = materialise(distinct_rows(parts, [*kinds, "is_test", "fold"]), "distinct")
     everything = counted if fit_on == "all" else None
     uses = [~F.col("is_test"), *[F.col("fold") != i for i in range(folds)]]
     fits = fit_apart if known_name(model, task) in FITTERS else fit_each

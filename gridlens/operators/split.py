@@ -66,7 +66,8 @@ def split_and_folds(
 
     Rows are written with their number within (hash bucket, class), for which they are
     dealt and hashed once; the rows of earlier buckets are counted in the written table
-    and added when it is read.
+    and added when it is read.  No bucket after the last one of the held-out rows is read
+    for these: a file is in the order of its buckets.
     """
     _check_share(test_size)
     if label is not None and not can_stratify(df, label):
@@ -80,11 +81,13 @@ def split_and_folds(
     stored = materialise(numbered, "split")
     by = Window.partitionBy(*[quoted(k) for k in keys[1:]])
     earlier = by.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = stored.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("_n")).select(
+    buckets = materialise(stored.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("_n")).select(
         *[quoted(k) for k in keys], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        _test_rows(F.sum("_n").over(by), test_size).alias("_n_test"))
+        _test_rows(F.sum("_n").over(by), test_size).alias("_n_test")), "buckets")
+    last = buckets.where("_before < _n_test").agg(F.max("_bucket")).first()[0]
+    near = F.col("_bucket").isNull() | (F.col("_bucket") <= F.lit(last or ""))
     placed = lookup_join(stored, buckets, keys).withColumn("_pos", F.col("_rn") + F.col("_before"))
-    return placed.select(*[quoted(c) for c in df.columns], (F.col("_pos") <= F.col("_n_test")).alias("is_test"), _fold(folds).alias("fold"))
+    return placed.select(*[quoted(c) for c in df.columns], (near & (F.col("_pos") <= F.col("_n_test"))).alias("is_test"), _fold(folds).alias("fold"))
 
 
 def _check_share(test_size: float) -> None:

@@ -234,6 +234,21 @@ def test_logistic_fits_run_side_by_side_on_few_tasks(spark, monkeypatch):
     assert sorted(r["fold"] for r in run.folds.where("score > 0.5").collect()) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("folds", [3, 0])
+def test_parts_are_counted_per_distinct_row(spark, folds, monkeypatch):
+    """A task groups rows by their values alone; the counts per fold and split are the same."""
+    placed = _repeated(spark).withColumn("is_test", F.col("id") < "r2").withColumn("fold", F.crc32("id") % (folds or 2))
+    columns = ["x", "g", "y"]
+    plain = placed.groupBy(*columns, "is_test", "fold").count()
+    counted = models.counted_by_part(placed, columns, folds or 2)
+    assert counted.columns == [*columns, "is_test", "fold", models.ROWS]
+    assert sorted(map(str, map(tuple, counted.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+    seen, counts = [], models.distinct_rows
+    monkeypatch.setattr(models, "distinct_rows", lambda df, columns: seen.append(df) or counts(df, columns))
+    models.train(_repeated(spark), "y", "id", "Ridge Regression", "regression", folds=folds)
+    assert seen[0].count() <= 6 * 2 * (folds or 2)
+
+
 def test_counted_rows_give_the_same_features(spark):
     rows = [(0.1, None, "a", None), (None, 2.0, "b", None), (0.1, float("nan"), "b", None), (0.1, 7.0, None, None), (None, 3.0, "c", None)]
     few = spark.createDataFrame([(*r, k * k + 1) for k, r in enumerate(rows)], "c double, x double, g string, e double, n long")

@@ -101,3 +101,18 @@ def test_nested_columns_take_their_most_frequent_value(spark):
     rows = {r["id"]: r for r in prep.fill_missing(df).collect()}
     assert rows[3]["a"] == [1, 2] and rows[2]["m"] == {"a": 1} and rows[4]["a"] == [3]
     assert {r["a"] for r in prep.fill_missing(empty).collect()} == {None}
+
+
+@pytest.mark.parametrize("by", [None, "y"])
+def test_held_out_rows_are_read_from_their_buckets_alone(spark, by):
+    rows = [(None if i % 50 == 0 else f"k{i // 2}", "a" if i % 3 else "b", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, y string, v long")
+    placed = split.split_and_folds(df, "id", by, 0.2, 4)
+    held_out = placed.where("is_test")
+    plan = held_out._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(_bucket" in plan
+    want = {"a": 400, "b": 200} if by else None
+    got = {r["y"]: r["count"] for r in held_out.groupBy("y").count().collect()}
+    assert got == want if by else sum(got.values()) == 600
+    assert placed.where("is_test is null").count() == 0 and placed.count() == 3000
+    assert sorted(r["count"] for r in placed.groupBy("fold").count().collect()) == [750] * 4
